@@ -124,15 +124,19 @@ def _from_brackets(
     return out.select("name", "grp", "n", "mean", "std", checked.otherwise(value).cast("double").alias("quantile"))
 
 
-def average_ranks(df: DataFrame, value: Column, n_rows: int, buckets: int | None = None) -> DataFrame:
-    """Average rank of every distinct value: ``v, c, n, rank, below``.
+def ordered_totals(
+    df: DataFrame, value: Column, n_rows: int, sums: dict[str, Column] | None = None, buckets: int | None = None
+) -> DataFrame:
+    """Running totals over the distinct values in ascending order, without a global window.
 
-    Equal values are counted first, so a value owning a third of the rows becomes one row. Sketch cut points
-    split the distinct values into ranges of similar size; ranks run inside a range on top of the number of
-    rows in the ranges before it.
+    One row per distinct ``v``: ``c`` rows, ``below`` rows under it, ``n`` rows in all; each entry of ``sums`` adds
+    its own total as ``name``, ``name_below`` and ``name_all``. Equal values are counted first, so a value owning a
+    third of the rows becomes one row. Sketch cut points split the distinct values into ranges of similar size;
+    totals run inside a range on top of the totals of the ranges before it.
     """
-    values = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    counts = values.groupBy("v").agg(F.count("*").alias("c"))
+    sums = sums or {}
+    values = df.select(value.cast("double").alias("v"), *[c.alias(k) for k, c in sums.items()]).where("v is not null")
+    counts = values.groupBy("v").agg(F.count("*").alias("c"), *[F.sum(k).alias(k) for k in sums])
     wanted = buckets or min(RANK_BUCKETS, n_rows // BUCKET_ROWS)
     inner: list[float] = []
     if wanted > 1:
@@ -145,15 +149,25 @@ def average_ranks(df: DataFrame, value: Column, n_rows: int, buckets: int | None
     else:
         counts = counts.withColumn("b", F.lit(0.0))
     # At most ``buckets`` rows: the running total over them is a small, fixed-size window.
-    totals = counts.groupBy("b").agg(F.sum("c").alias("t"))
+    tracked = {"c": ("below", "n"), **{k: (f"{k}_below", f"{k}_all") for k in sums}}
+    totals = counts.groupBy("b").agg(*[F.sum(k).alias(f"t_{k}") for k in tracked])
     before = Window.partitionBy(F.lit(0)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))
     offsets = totals.select(
         "b",
-        F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"),
-        F.sum("t").over(everything).alias("n"),
+        *[F.coalesce(F.sum(f"t_{k}").over(before), F.lit(0)).alias(f"s_{k}") for k in tracked],
+        *[F.sum(f"t_{k}").over(everything).alias(total) for k, (_, total) in tracked.items()],
     )
     inside = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.join(F.broadcast(offsets), "b").withColumn(
-        "below", F.col("start") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
-    return ranked.select("v", "c", "n", (F.col("below") + (F.col("c") + 1) / 2).alias("rank"), "below")
+    running = [
+        (F.col(f"s_{k}") + F.coalesce(F.sum(k).over(inside), F.lit(0))).alias(below)
+        for k, (below, _) in tracked.items()
+    ]
+    placed = counts.join(F.broadcast(offsets), "b")
+    return placed.select("v", *tracked, *running, *[total for _, total in tracked.values()])
+
+
+def average_ranks(df: DataFrame, value: Column, n_rows: int, buckets: int | None = None) -> DataFrame:
+    """Average rank of every distinct value: ``v, c, n, rank``."""
+    placed = ordered_totals(df, value, n_rows, buckets=buckets)
+    return placed.select("v", "c", "n", (F.col("below") + (F.col("c") + 1) / 2).alias("rank"))
