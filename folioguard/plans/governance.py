@@ -142,7 +142,7 @@ def f9_integral_values(spark, sf_dir):
 
 
 @query("f10_mixed_dates", on_lexical(
-    "select txn_id, case when k%8 in (5,6) then null else strftime(d,'%Y-%m-%d') end "day" from (select l.*, "
+    "select txn_id, case when k%8 in (5,6) then null else strftime(d,'%Y-%m-%d') end \"day\" from (select l.*, "
     "o_orderdate d from lex l join orders on o_orderkey=k)"))
 def f10_mixed_dates(spark, sf_dir):
     return lexical_dataset(spark, sf_dir).select(
