@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioguard.fixed_values import ISSUES, METRIC_NARRATIVES, METRICS, UNAVAILABLE
-from folioguard.functions.scalars import blank_to_null, fill, money, n_if, num, percent1, r1, thousands, ts
-from folioguard.operators.profile import assess
+from folioguard.fixed_values import METRIC_NARRATIVES, METRICS, UNAVAILABLE
+from folioguard.functions.scalars import blank_to_null, fill, money, n_if, num, percent1, thousands, ts
+from folioguard.operators.profile import assess, quoted
 
 NARRATED = (
     "transaction_value", "unique_customers", "non_default_outcome_share", "suspicious_records",
@@ -66,107 +66,99 @@ def metric_table(
     else:
         one = one.withColumn("__r", F.struct(
             F.lit(None).cast("long").alias("suspicious"), F.lit(None).cast("long").alias("high")))
-    a = F.col("__a")
-    issues = a["issues"]
+    def first_block(capability: str) -> str:
+        """SQL: first block issue of a capability, null when it is ready."""
+        return (
+            f"get(filter(__a.issues, i -> i.severity = 'block' and array_contains(i.capabilities, '{capability}')), 0)")
 
-    def blocking(capability: str) -> Column:
-        """First block issue of a capability, null when it is ready."""
-        return F.get(
-            F.filter(issues, lambda i: (i["severity"] == "block") & F.array_contains(i["capabilities"], capability)),
-            F.lit(0))
+    def reason(key: str) -> str:
+        why, recovery = UNAVAILABLE[key]
+        return f"named_struct('reason', {quoted(why)}, 'recovery', {quoted(recovery)})"
 
-    def warned(capability: str) -> Column:
-        return F.exists(
-            issues, lambda i: (i["severity"] == "warn") & F.array_contains(i["capabilities"], capability))
+    def blocked_by(capability: str) -> str:
+        hit = first_block(capability)
+        return (
+            f"case when {hit} is not null then named_struct('reason', {hit}.message, 'recovery', {hit}.recovery) end")
 
-    def why(key: str) -> Column:
-        reason, recovery = UNAVAILABLE[key]
-        return F.struct(F.lit(reason).alias("reason"), F.lit(recovery).alias("recovery"))
-
-    def blocked_by(capability: str) -> Column:
-        hit = blocking(capability)
-        return F.when(hit.isNotNull(), F.struct(hit["message"].alias("reason"), hit["recovery"].alias("recovery")))
-
-    def fixed_issue(code: str) -> Column:
-        return F.struct(F.lit(ISSUES[code][3]).alias("reason"), F.lit(ISSUES[code][4]).alias("recovery"))
-
-    null_why = F.lit(None).cast("struct<reason:string,recovery:string>")
+    never = "cast(null as struct<reason:string,recovery:string>)"
     if "transaction_amount" not in has:
-        no_amount = why("no_amount")
+        no_amount = reason("no_amount")
     else:
-        no_amount = F.coalesce(
-            blocked_by("transaction_analytics"), F.when(F.col("currency").isNull(), why("no_currency")))
+        no_amount = (
+            f"coalesce({blocked_by('transaction_analytics')}, "
+            f"case when currency is null then {reason('no_currency')} end)")
     if "defaulted" not in has:
-        no_share = why("no_outcome")
+        no_share = reason("no_outcome")
     else:
-        no_share = F.when(a["outcome_binary"] == 0, why("no_valid_outcome"))
+        no_share = f"case when __a.outcome_binary = 0 then {reason('no_valid_outcome')} end"
     if anomalies is None or not ruleset:
-        no_rules = why("no_rule_run")
+        no_rules = reason("no_rule_run")
     else:
-        no_rules = F.coalesce(
-            blocked_by("risk_rule_evaluation"), null_why if outputs else why("rule_output_incomplete"))
-    observed = (
-        F.when(F.exists(a["capabilities"], lambda x: x["status"] == "blocked"), "blocked")
-        .when(F.size(issues) > 0, "warn")
-        .otherwise("pass")
-    )
-
-    def status_for(capability: str, extra: Column | None = None) -> Column:
-        trouble = warned(capability) if extra is None else warned(capability) | extra
-        return F.when(trouble, "warn").otherwise("pass")
-
-    share = r1(F.col("outcome_zero") / F.nullif(a["outcome_binary"], F.lit(0)) * 100)
-    partly = a["outcome_binary"] < a["rows"]
-    r = F.col("__r")
+        otherwise = never if outputs else reason("rule_output_incomplete")
+        no_rules = f"coalesce({blocked_by('risk_rule_evaluation')}, {otherwise})"
+    one = one.selectExpr(
+        "*", f"{no_amount} as no_amount", f"{no_share} as no_share", f"{no_rules} as no_rules",
+        f"{blocked_by('customer_analytics')} as no_customers", f"{never} as never",
+        f"{first_block('transaction_analytics')} is null as amounts_ready",
+        "case when exists(__a.capabilities, x -> x.status = 'blocked') then 'blocked' "
+        "when size(__a.issues) > 0 then 'warn' else 'pass' end as observed")
+
+    def warned(capability: str, extra: str = "false") -> str:
+        hit = f"exists(__a.issues, i -> i.severity = 'warn' and array_contains(i.capabilities, '{capability}'))"
+        return f"case when {hit} or {extra} then 'warn' else 'pass' end"
+
+    amounts, rules = warned("transaction_analytics"), warned("risk_rule_evaluation")
+    share = "bround(outcome_zero / nullif(__a.outcome_binary, 0) * 100, 1)"
+    partly = "__a.outcome_binary < __a.rows"
     table = [
-        ("records_processed", a["rows"], null_why, observed),
-        ("data_quality_score", a["composite_score"], null_why, observed),
-        ("missing_values", a["missing_cells"], null_why, observed),
-        ("duplicate_rows", a["duplicate_rows"], null_why, observed),
-        ("transaction_value", F.coalesce("amount_sum", F.lit(0.0)), no_amount, status_for("transaction_analytics")),
-        ("average_transaction_value", F.col("amount_avg"), no_amount, status_for("transaction_analytics")),
-        ("unique_customers", F.col("customers"), blocked_by("customer_analytics"), status_for("customer_analytics")),
-        ("non_default_outcome_share", share, no_share, status_for("repayment_analytics", partly)),
-        ("suspicious_records", r["suspicious"], no_rules, status_for("risk_rule_evaluation")),
-        ("high_risk_records", r["high"], no_rules, status_for("risk_rule_evaluation")),
+        ("records_processed", "__a.rows", "never", "observed"),
+        ("data_quality_score", "__a.composite_score", "never", "observed"),
+        ("missing_values", "__a.missing_cells", "never", "observed"),
+        ("duplicate_rows", "__a.duplicate_rows", "never", "observed"),
+        ("transaction_value", "coalesce(amount_sum, 0.0D)", "no_amount", amounts),
+        ("average_transaction_value", "amount_avg", "no_amount", amounts),
+        ("unique_customers", "customers", "no_customers", warned("customer_analytics")),
+        ("non_default_outcome_share", share, "no_share", warned("repayment_analytics", partly)),
+        ("suspicious_records", "__r.suspicious", "no_rules", rules),
+        ("high_risk_records", "__r.high", "no_rules", rules),
     ]
     lines = []
-    for ordinal, (metric_id, value, reason, quality) in enumerate(table, 1):
+    for ordinal, (metric_id, value, why, quality) in enumerate(table, 1):
         label, unit, definition, fields = METRICS[metric_id]
-        available = reason.isNull()
-        source = F.array(*[F.lit(x) for x in fields])
-        if metric_id == "transaction_value":
-            if "transaction_amount" not in has:
-                source = F.array(F.lit("transaction_amount"))
-            else:
-                lacking = F.array(F.lit("transaction_amount"), F.lit("currency"))
-                only_currency = F.col("currency").isNull() & blocking("transaction_analytics").isNull()
-                source = F.when(only_currency, lacking).otherwise(source)
+        available = f"{why} is null"
+        source = f"array({', '.join(quoted(x) for x in fields)})"
+        if metric_id == "transaction_value" and "transaction_amount" not in has:
+            source = "array('transaction_amount')"
+        elif metric_id == "transaction_value":
+            lacking = "array('transaction_amount', 'currency')"
+            source = f"case when currency is null and amounts_ready then {lacking} else {source} end"
         of_share = metric_id == "non_default_outcome_share"
         of_rules = metric_id in ("suspicious_records", "high_risk_records")
         # The amount itself names a period only when it is available; every other metric always does.
-        dated = available if metric_id == "transaction_value" else F.lit(True)
-        lines.append(F.struct(
-            F.lit(ordinal).alias("ordinal"),
-            F.lit(metric_id).alias("metric_id"),
-            F.lit(label).alias("label"),
-            F.when(available, "available").otherwise("unavailable").alias("status"),
-            F.when(available, value.cast("double")).alias("value"),
-            F.lit(unit).alias("unit"),
-            (F.col("currency") if unit == "currency" else F.lit(None).cast("string")).alias("currency"),
-            F.lit(definition).alias("definition_version"),
-            F.lit(reference).cast("string").alias("source_reference"),
-            source.alias("source_fields"),
-            F.when(available, quality).otherwise("blocked").alias("quality_status"),
-            F.when(dated, F.col("period_start")).alias("period_start"),
-            F.when(dated, F.col("period_end")).alias("period_end"),
-            (F.when(available, F.col("outcome_zero")) if of_share else F.lit(None)).cast("long").alias("numerator"),
-            (F.when(available, a["outcome_binary"]) if of_share else F.lit(None)).cast("long").alias("denominator"),
-            reason["reason"].alias("unavailable_reason"),
-            reason["recovery"].alias("recovery"),
-            F.lit(ruleset if of_rules else None).cast("string").alias("logic_version"),
-        ))
-    return one.select(F.inline(F.array(*lines)))
+        dated = available if metric_id == "transaction_value" else "true"
+        cells = {
+            "ordinal": str(ordinal),
+            "metric_id": quoted(metric_id),
+            "label": quoted(label),
+            "status": f"case when {available} then 'available' else 'unavailable' end",
+            "value": f"case when {available} then cast({value} as double) end",
+            "unit": quoted(unit),
+            "currency": "currency" if unit == "currency" else quoted(None),
+            "definition_version": quoted(definition),
+            "source_reference": quoted(reference),
+            "source_fields": source,
+            "quality_status": f"case when {available} then {quality} else 'blocked' end",
+            "period_start": f"case when {dated} then period_start end",
+            "period_end": f"case when {dated} then period_end end",
+            "numerator": f"cast({f'case when {available} then outcome_zero end' if of_share else 'null'} as bigint)",
+            "denominator":
+                f"cast({f'case when {available} then __a.outcome_binary end' if of_share else 'null'} as bigint)",
+            "unavailable_reason": f"{why}.reason",
+            "recovery": f"{why}.recovery",
+            "logic_version": quoted(ruleset if of_rules else None),
+        }
+        lines.append(f"named_struct({', '.join(f'{quoted(k)}, {v}' for k, v in cells.items())})")
+    return one.selectExpr(f"inline(array({', '.join(lines)}))")
 
 
 def display_value() -> Column:

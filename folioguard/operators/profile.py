@@ -108,16 +108,23 @@ def profile(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counts.withColumn("duplicate_rows", repeats.scalar())
 
 
-def issue(code: str, applies: Column, count: Column | None = None, columns: Sequence[str] = ()) -> Column:
-    """The issue as a struct where it applies, else null."""
+def quoted(text: str | None) -> str:
+    """A SQL string literal."""
+    if text is None:
+        return "cast(null as string)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def issue(code: str, applies: str, count: str = "null", columns: Sequence[str] = ()) -> str:
+    """SQL: the issue as a struct where it applies, else null."""
     severity, dimension, column, message, recovery, capabilities, override = ISSUES[code]
-    return F.when(
-        applies,
-        issue_struct(
-            F.lit(code), F.lit(severity), F.lit(dimension), F.lit(column),
-            F.lit(None) if count is None else count,
-            F.lit(message.format(columns=", ".join(columns))), F.lit(recovery),
-            F.array(*[F.lit(c) for c in capabilities]), F.lit(override)))
+    names = ", ".join(quoted(c) for c in capabilities)
+    return (
+        f"case when {applies} then named_struct('code', {quoted(code)}, 'severity', {quoted(severity)}, "
+        f"'dimension', {quoted(dimension)}, 'column', {quoted(column)}, 'affected_count', cast({count} as bigint), "
+        f"'message', {quoted(message.format(columns=', '.join(columns)))}, 'recovery', {quoted(recovery)}, "
+        f"'capabilities', array({names}), 'masked_examples', cast(array() as array<string>), "
+        f"'override_allowed', {str(override).lower()}) end")
 
 
 def issue_struct(
@@ -141,72 +148,62 @@ def issue_struct(
 def _issues(columns: Sequence[str]) -> Column:
     """Issues of a profile row, in reporting order."""
     has = set(columns)
-    rows, c = F.col("rows"), F.col
     found = [
-        issue("missing_values", c("missing_cells") > 0, c("missing_cells")),
-        issue("duplicate_rows", c("duplicate_rows") > 0, c("duplicate_rows")),
+        issue("missing_values", "missing_cells > 0", "missing_cells"),
+        issue("duplicate_rows", "duplicate_rows > 0", "duplicate_rows"),
     ]
     if "transaction_amount" in has:
-        none = c("amount_valid") == 0
         found += [
-            issue("unparseable_transaction_amount", none, c("amount_invalid")),
-            issue("invalid_transaction_amount", ~none & (c("amount_invalid") > 0), c("amount_invalid")),
+            issue("unparseable_transaction_amount", "amount_valid = 0", "amount_invalid"),
+            issue("invalid_transaction_amount", "amount_valid > 0 and amount_invalid > 0", "amount_invalid"),
         ]
     else:
-        found.append(issue("missing_transaction_amount", F.lit(True)))
+        found.append(issue("missing_transaction_amount", "true"))
     if "date" in has:
-        none = c("date_valid") == 0
         found += [
-            issue("unparseable_event_date", none, c("date_invalid")),
-            issue("invalid_event_date", ~none & (c("date_invalid") > 0), c("date_invalid")),
+            issue("unparseable_event_date", "date_valid = 0", "date_invalid"),
+            issue("invalid_event_date", "date_valid > 0 and date_invalid > 0", "date_invalid"),
         ]
     else:
-        found.append(issue("missing_event_date", F.lit(True)))
+        found.append(issue("missing_event_date", "true"))
     if "customer_id" in has:
-        none = c("customer_present") == 0
         found += [
-            issue("empty_customer_id", none, rows),
-            issue("missing_customer_ids", ~none & (c("customer_present") < rows), rows - c("customer_present")),
+            issue("empty_customer_id", "customer_present = 0", "rows"),
+            issue("missing_customer_ids", "customer_present > 0 and customer_present < rows",
+                  "rows - customer_present"),
         ]
     else:
-        found.append(issue("missing_customer_id", F.lit(True)))
-    found.append(issue("missing_repayment_outcome", (c("outcome_binary") == 0) & (c("status_present") == 0)))
+        found.append(issue("missing_customer_id", "true"))
+    found.append(issue("missing_repayment_outcome", "outcome_binary = 0 and status_present = 0"))
     absent = [m for m in MODEL_INPUTS if m not in has]
     if absent:
-        found.append(issue("missing_model_inputs", F.lit(True), F.lit(len(absent)), absent))
+        found.append(issue("missing_model_inputs", "true", str(len(absent)), absent))
     if not has & {"defaulted", "repayment_status"}:
-        found.append(issue("missing_model_target", F.lit(True)))
+        found.append(issue("missing_model_target", "true"))
     absent = [m for m in RULE_INPUTS if m not in has]
     if absent:
-        found.append(issue("missing_risk_rule_inputs", F.lit(True), F.lit(len(absent)), absent))
-    empty = F.array(issue("empty_dataset", F.lit(True)))
-    is_empty = (rows == 0) | F.lit(not columns)
-    return F.when(is_empty, empty).otherwise(F.array_compact(F.array(*found)))
-
-
-def capability_results(issues: Column) -> Column:
-    """Readiness of each capability: blocked by the codes of its block issues."""
-
-    def blocking(name: str) -> Column:
-        hits = F.filter(
-            issues, lambda i: (i["severity"] == "block") & F.array_contains(i["capabilities"], F.lit(name)))
-        return F.transform(hits, lambda i: i["code"])
-
-    return F.array(*[
-        F.struct(
-            F.lit(name).alias("capability"),
-            F.when(F.size(blocking(name)) > 0, "blocked").otherwise("ready").alias("status"),
-            blocking(name).alias("blocking_issue_codes"),
-        )
-        for name in CAPABILITIES
-    ])
+        found.append(issue("missing_risk_rule_inputs", "true", str(len(absent)), absent))
+    empty = "rows = 0" if columns else "true"
+    return F.expr(
+        f"case when {empty} then array({issue('empty_dataset', 'true')}) "
+        f"else array_compact(array({', '.join(found)})) end")
+
+
+def capability_results() -> Column:
+    """Readiness of each capability from the ``issues`` column: blocked by the codes of its block issues."""
+    names = ", ".join(quoted(c) for c in CAPABILITIES)
+    return F.expr(
+        f"transform(transform(array({names}), name -> named_struct('capability', name, 'codes', transform(filter("
+        "issues, i -> i.severity = 'block' and array_contains(i.capabilities, name)), i -> i.code))), "
+        "x -> named_struct('capability', x.capability, 'status', case when size(x.codes) > 0 then 'blocked' else "
+        "'ready' end, 'blocking_issue_codes', x.codes))")
 
 
 def assess(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per dataset: shape, six dimensions, composite, issues, capabilities."""
     columns = data_columns(df, by)
     rows = profile(df, by).withColumn("issues", _issues(columns))
-    rows = rows.withColumn("capabilities", capability_results(F.col("issues")))
+    rows = rows.withColumn("capabilities", capability_results())
     c = F.col
     cells = c("rows") * c("columns")
     full = F.lit(100.0)
@@ -299,11 +296,15 @@ def numeric_columns(df: DataFrame, share: float = 0.65) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: a content reference that does not depend on row order or partitioning."""
+    """One row: a content reference that does not depend on row order or partitioning.
+
+    Each row is digested on its own; count, sum and parity of the leading digits make the whole.
+    """
     schema = "\x1f".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    lead = F.conv(F.left(row_digest(df, df.columns), F.lit(15)), 16, 10).cast("long")
+    rows = df.select(lead.alias("h"))
     material = F.concat_ws(
         "|", F.lit(schema), F.count("*").cast("string"),
-        F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("string"),
-        F.coalesce(F.bit_xor(h), F.lit(0)).cast("string"))
-    return df.agg(F.concat(F.lit("dataframe:sha256:"), F.sha2(material, 256)).alias("dataset_reference"))
+        F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string"),
+        F.coalesce(F.bit_xor("h"), F.lit(0)).cast("string"))
+    return rows.agg(F.concat(F.lit("dataframe:sha256:"), F.sha2(material, 256)).alias("dataset_reference"))

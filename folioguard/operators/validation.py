@@ -104,7 +104,7 @@ def validate(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) ->
     assessment = assess(canonicalize(lexical, fields, by), by)
     joined = assessment.join(mapping_issues(lexical, fields, by), list(by))
     runs = joined.withColumn("issues", F.concat("mapping_issues", "issues")).drop("mapping_issues", "capabilities")
-    runs = runs.withColumn("capabilities", capability_results(F.col("issues")))
+    runs = runs.withColumn("capabilities", capability_results())
     review = F.filter("capabilities", lambda x: x["capability"] == "quality_review")
     passed = F.get(review, F.lit(0))["status"] == "ready"
     return runs.withColumns({

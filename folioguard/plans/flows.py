@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioguard.fixed_values import MODEL_CATEGORICAL, MODEL_INPUTS, MODEL_NUMERIC, RULESET_VERSION
-from folioguard.functions.hashing import subject_digest
+from folioguard.functions.hashing import key_pads, subject_digest
 from folioguard.operators import metrics as M
 from folioguard.operators import modeling as Y
 from folioguard.operators import questions as Q
@@ -382,8 +382,30 @@ def x6_append_once(spark, sf_dir):
     return append_once(events, out, ["event_id"])
 
 
-@query("f13_subject_pseudonyms")
+_KEY = b"a fixed demonstration key, 32 bytes or more"
+_INNER, _OUTER = (pad.hex() for pad in key_pads(_KEY))
+
+
+@query("f13_subject_pseudonyms",
+       f"select event_id, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(concat('subject', "
+       "chr(10), event_type, chr(10), cast(user_id as varchar)))))) pseudonym from events")
 def f13_subject_pseudonyms(spark, sf_dir):
-    key = b"a fixed demonstration key, 32 bytes or more"
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("u"))
-    return rows.select("event_id", subject_digest(key, F.col("event_type"), F.col("u")).alias("pseudonym"))
+    return rows.select("event_id", subject_digest(_KEY, F.col("event_type"), F.col("u")).alias("pseudonym"))
+
+
+@query("x5_landed_files", "select cast(o_orderkey as varchar) order_key, o_orderstatus status, cast(o_custkey as "
+                          "varchar) customer from orders")
+def x5_landed_files(spark, sf_dir):
+    from folioguard.session import staging_path
+    from folioguard.streaming.landing import land
+
+    landing, out = staging_path(spark, "landing"), staging_path(spark, "landed")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("Order Key"), F.col("o_orderstatus").alias("Status"),
+        F.col("o_custkey").alias("Customer"))
+    rows.write.options(header=True, maxRecordsPerFile=50_000).csv(landing)
+    # Run twice on one checkpoint: the second run finds nothing new.
+    for _ in range(2):
+        land(spark, landing, out, f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/normalized/order_key-status-customer").select("order_key", "status", "customer")
