@@ -32,7 +32,7 @@ class Quantile:
 
 def exact_quantiles(
     df: DataFrame, wanted: Sequence[Quantile], n_rows: int, by: Column | None = None,
-    whole_group: int = WHOLE_GROUP,
+    whole_group: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per request and group: ``name, grp, n, mean, std, quantile``.
 
@@ -49,7 +49,7 @@ def exact_quantiles(
     sketch = _per_request(
         flat, wanted,
         lambda w, v: F.percentile_approx(v, [max(w.p - MARGIN, 0.0), min(w.p + MARGIN, 1.0)], SKETCH_ACCURACY))
-    return _from_brackets(flat, sketch, wanted, n_rows, whole_group)
+    return _from_brackets(flat, sketch, wanted, n_rows, WHOLE_GROUP if whole_group is None else whole_group)
 
 
 def _per_request(flat: DataFrame, wanted: Sequence[Quantile], measure) -> DataFrame:
