@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioguard.functions.scalars import n_if
 
@@ -55,7 +56,8 @@ def build_chain(events: DataFrame) -> DataFrame:
     columns = events.columns
     headed = events.withColumn("__head", chain_head(events))
     sorted_rows = headed.repartition(*WORKSPACE).sortWithinPartitions(*WORKSPACE, "audit_sequence")
-    schema = headed.drop("__head").schema.add("previous_event_hash", "string").add("event_hash", "string")
+    added = [T.StructField(n, T.StringType()) for n in ("previous_event_hash", "event_hash")]
+    schema = T.StructType([*events.schema.fields, *added])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place: tuple | None = None

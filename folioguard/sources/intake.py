@@ -22,13 +22,27 @@ class FilePolicy:
     delimiters: tuple[str, ...] = DELIMITERS
 
 
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files without a byte, which Spark's own file listing leaves out."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
+    found = []
+    while entries.hasNext():
+        entry = entries.next()
+        name = entry.getPath().getName()
+        if entry.getLen() == 0 and not name.startswith(("_", ".")):
+            found.append((entry.getPath().toString(), 0, bytearray()))
+    return spark.createDataFrame(found, "path string, length long, content binary")
+
+
 def read_files(spark: SparkSession, path: str, policy: FilePolicy = FilePolicy()) -> DataFrame:
     """``path, length, content``; files over the size limit are listed without being read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     small = files.where(F.col("length") <= policy.max_bytes).select("path", "length", "content")
     large = files.where(F.col("length") > policy.max_bytes).select(
         "path", "length", F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large)
+    return small.unionByName(large).unionByName(empty_files(spark, path))
 
 
 def detect_delimiter(first: Column, second: Column, policy: FilePolicy) -> Column:

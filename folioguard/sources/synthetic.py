@@ -47,7 +47,7 @@ def skewed_draws(rows: DataFrame, seed: int) -> DataFrame:
                 gammas[i], counts[i] = rng.gamma(2.4, 18500), rng.poisson(18)
             yield batch.assign(gamma_amount=gammas, poisson_count=counts)
 
-    return rows.mapInPandas(draw, rows.schema.add("gamma_amount", "double").add("poisson_count", "long"))
+    return rows.mapInPandas(draw, "id long, gamma_amount double, poisson_count long")
 
 
 def generate(spark: SparkSession, rows: int = 5000, seed: int = 42) -> DataFrame:

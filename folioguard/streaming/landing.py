@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioguard.operators.tables import append_absent
 from folioguard.sources.csv import read_lexical
-from folioguard.sources.intake import FilePolicy, audit_files
+from folioguard.sources.intake import FilePolicy, audit_files, empty_files
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -50,15 +50,23 @@ def land(
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_trigger).load(landing))
 
+    def record(audited: DataFrame) -> None:
+        flat = audited.withColumn("normalized_headers", F.array_join("normalized_headers", "|"))
+        append_once(flat, f"{out}/audit", ["path", "sha256"])
+
     def process(batch: DataFrame, _: int) -> None:
         audited = audit_files(batch.select("path", "length", "content"), policy).persist()
         try:
             normalize_accepted(batch.sparkSession, audited, f"{out}/normalized")
-            flat = audited.withColumn("normalized_headers", F.array_join("normalized_headers", "|"))
-            append_once(flat, f"{out}/audit", ["path", "sha256"])
+            record(audited)
         finally:
             audited.unpersist()
 
+    # The stream never sees empty files, so they are recorded on the way in.
+    empty = empty_files(spark, landing)
+    if not empty.isEmpty():
+        record(audit_files(empty, policy))
+
     return files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 

@@ -44,7 +44,7 @@ def big_plans(monkeypatch):
     monkeypatch.setattr(quantiles, "SMALL_ROWS", 0)
     monkeypatch.setattr(keyed, "FEW_KEYS", 3)
     monkeypatch.setattr(quantiles, "BUCKET_ROWS", 50)
-    monkeypatch.setattr(quantiles, "WHOLE_GROUP", 10)
+    monkeypatch.setattr(quantiles, "WHOLE_GROUP", 100)
     monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 200)
     monkeypatch.setattr(quantiles, "MARGIN", 4 / 200)
 

@@ -48,7 +48,7 @@ def test_quantiles_match_linear_interpolation(spark, big_plans, monkeypatch, n_r
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(values=st.lists(st.floats(-1e6, 1e6).map(lambda x: round(x, 3)), min_size=1, max_size=60), p=st.sampled_from(
+@given(values=st.lists(st.floats(-1e6, 1e6).map(lambda x: round(x, 3)), min_size=1, max_size=300), p=st.sampled_from(
     [0.0, 0.3, 0.5, 0.992, 1.0]))
 def test_any_values(spark, big_plans, values, p):
     df = load(spark, pd.DataFrame({"g": None, "v": values}))
