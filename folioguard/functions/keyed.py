@@ -12,7 +12,7 @@ from folioguard.session import materialize
 # Facts up to this many rows are broadcast; it is also the number of heavy keys broadcast beyond that.
 FEW_KEYS = 10_000
 # Inputs up to this many rows take the plain plans; larger ones the plans that bound every task.
-SMALL_ROWS = 2_000_000
+SMALL_ROWS = 500_000
 SPREAD = 1024
 
 On = Sequence[tuple[Column, str]]
@@ -28,12 +28,26 @@ def attach(
     ``rows`` is not shuffled at all. Above that, small input takes an ordinary join; for large input the facts
     are written to the shared folder and only the heaviest keys are broadcast.
     """
-    kept, few = keep_facts(facts, n_rows)
+    return attach_kept(rows, keep_facts(facts, n_rows), on, weight, values, n_rows)
+
+
+def attach_kept(
+    rows: DataFrame, kept: tuple[DataFrame, bool], on: On, weight: str, values: Sequence[str], n_rows: int
+) -> DataFrame:
+    """``attach`` for the outcome of ``keep_facts``."""
+    facts, few = kept
     if few:
-        return _join(rows, kept, on, values, hint=True)
+        return _join(rows, facts, on, values, hint=True)
     if n_rows <= SMALL_ROWS:
-        return _join(rows, kept, on, values, hint=False)
-    return attach_many(rows, kept, on, weight, values)
+        return _join(rows, facts, on, values, hint=False)
+    return attach_many(rows, facts, on, weight, values)
+
+
+def attach_stored(rows: DataFrame, stored: DataFrame, on: On, weight: str, values: Sequence[str]) -> DataFrame:
+    """``attach`` for facts that are a table already: their row count comes from the file footers."""
+    if stored.count() <= FEW_KEYS:
+        return _join(rows, stored, on, values, hint=True)
+    return attach_many(rows, stored, on, weight, values)
 
 
 def keep_facts(facts: DataFrame, n_rows: int) -> tuple[DataFrame, bool]:

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioguard.functions.keyed import SMALL_ROWS, attach
+from folioguard.functions.keyed import SMALL_ROWS, attach_stored
+from folioguard.session import materialize, together
 
-SKETCH_ACCURACY = 100_000
-# Groups up to this size keep all their distinct values in the second pass. Above it the margin of the
-# bracket (4 parts in SKETCH_ACCURACY) is at least two ranks wide.
+# A sketch yields GRID + 1 evenly spaced quantiles whose rank error is far below their spacing.
+GRID = 256
+SKETCH_ACCURACY = 10 * GRID
+# Groups up to this size, many grid steps in rows, are ranked whole.
 WHOLE_GROUP = 50_000
-MARGIN = 4 / SKETCH_ACCURACY
+# A bracket is narrowed until about this many distinct values of any group are left in it; those are ranked exactly.
+BRACKET_VALUES = 2_000_000
+MAX_ROUNDS = 8
 RANK_BUCKETS = 1024
 BUCKET_ROWS = 500_000
 
@@ -31,97 +36,161 @@ class Quantile:
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: Sequence[Quantile], n_rows: int, by: Column | None = None,
-    whole_group: int | None = None,
+    df: DataFrame, wanted: Sequence[Quantile], n_rows: int, by: Column | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per request and group: ``name, grp, n, mean, std, quantile``.
 
     ``grp`` is null for an overall request; rows whose ``by`` is null belong to no group. Up to ``SMALL_ROWS``
-    input rows one aggregation does it all, its buffers bounded by that number. Beyond, pass one sketches every
-    group (bounded memory) and brackets the wanted rank; pass two counts, per group, what lies below the
-    bracket and each distinct value inside it, which is a sliver of the group. A bracket that misses its rank
-    fails the job; it never yields a wrong number.
+    input rows one aggregation does it all, its buffers bounded by that number. Beyond, small sketches bracket
+    each wanted rank, exact counts below the bracket keep track of its place, and the bracket is narrowed until
+    few enough rows are left to rank.
     """
     group = (by if by is not None else F.lit(None)).cast("string").alias("grp")
     flat = df.select(group, *[w.value.cast("double").alias(f"v{i}") for i, w in enumerate(wanted)])
     if n_rows <= SMALL_ROWS:
         return _per_request(flat, wanted, lambda w, v: F.percentile(v, w.p))
-    sketch = _per_request(
-        flat, wanted,
-        lambda w, v: F.percentile_approx(v, [max(w.p - MARGIN, 0.0), min(w.p + MARGIN, 1.0)], SKETCH_ACCURACY))
-    return _from_brackets(flat, sketch, wanted, n_rows, WHOLE_GROUP if whole_group is None else whole_group)
+
+    def one_level(grouped: bool) -> DataFrame:
+        level = {i: w for i, w in enumerate(wanted) if w.grouped == grouped}
+        key = F.col("grp") if grouped else F.lit("")
+        rows = flat.select(key.alias("key"), *[F.col(f"v{i}") for i in level]).where("key is not null")
+        return _narrowed(rows, level).withColumn("grp", F.col("key") if grouped else F.lit(None).cast("string"))
+
+    parts = together(*[partial(one_level, g) for g in sorted({w.grouped for w in wanted})])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("name", "grp", "n", "mean", "std", "quantile")
+
+
+def _grid(v: Column) -> Column:
+    return F.percentile_approx(v, [i / GRID for i in range(GRID + 1)], SKETCH_ACCURACY)
+
+
+def _bounds(grid: Column, share: Column) -> tuple[Column, Column]:
+    """Grid values around a rank share, wide enough for the error of the sketch."""
+    slack = 2 / SKETCH_ACCURACY
+    low = F.floor((share - slack) * GRID) - 1
+    high = F.ceil((share + slack) * GRID) + 1
+    return (
+        F.when(low > 0, F.get(grid, low.cast("int"))),
+        F.when(high < GRID, F.get(grid, high.cast("int"))),
+    )
+
+
+def _inside(i: int) -> Column:
+    """Rows of request ``i`` inside its bracket; an absent bound is open."""
+    v, low, high = F.col(f"v{i}"), F.col(f"low{i}"), F.col(f"high{i}")
+    return v.isNotNull() & (low.isNull() | (v >= low)) & (high.isNull() | (v <= high))
+
+
+def _narrowed(rows: DataFrame, level: dict[int, Quantile]) -> DataFrame:
+    """``key, name, n, mean, std, quantile`` for the requests of one grouping level.
+
+    ``rows`` has ``key`` and a value column per request.
+    """
+    on = [(F.col("key"), "key")]
+    first = rows.groupBy("key").agg(F.count("*").alias("rows"), *[
+        c for i in level for c in (
+            F.count(f"v{i}").alias(f"n{i}"), F.avg(f"v{i}").alias(f"mean{i}"), F.stddev_pop(f"v{i}").alias(f"std{i}"),
+            _grid(F.col(f"v{i}")).alias(f"grid{i}"))])
+    columns = [F.col("key"), F.col("rows")]
+    for i, w in level.items():
+        low, high = _bounds(F.col(f"grid{i}"), F.lit(w.p))
+        large = F.col(f"n{i}") > WHOLE_GROUP
+        columns += [
+            F.col(f"n{i}"), F.col(f"mean{i}"), F.col(f"std{i}"), (F.col(f"n{i}") - 1).alias(f"last{i}"),
+            F.when(large, low).alias(f"low{i}"), F.when(large, high).alias(f"high{i}")]
+    state = materialize(first.select(columns), "brackets")
+    bounds = [f"{b}{i}" for i in level for b in ("low", "high")]
+    for _ in range(MAX_ROUNDS):
+        held = attach_stored(rows, state, on, "rows", bounds)
+        places = held.groupBy("key").agg(*[
+            c for i in level for c in (
+                F.count(F.when(F.col(f"v{i}") < F.col(f"low{i}"), 1)).alias(f"below{i}"),
+                F.count(F.when(_inside(i), 1)).alias(f"inside{i}"),
+                F.approx_count_distinct(F.when(_inside(i), F.col(f"v{i}"))).alias(f"distinct{i}"))])
+        stale = [c for i in level for c in (f"below{i}", f"inside{i}", f"distinct{i}")]
+        state = materialize(state.drop(*stale).join(places, "key"), "places")
+        widest = state.agg(*[F.max(f"distinct{i}").alias(f"m{i}") for i in level]).first()
+        if max(m or 0 for m in widest) <= BRACKET_VALUES:
+            break
+        held = attach_stored(rows, state, on, "rows", bounds)
+        again = held.groupBy("key").agg(*[
+            _grid(F.when(_inside(i), F.col(f"v{i}"))).alias(f"grid{i}") for i in level])
+        changed = {}
+        for i, w in level.items():
+            share = (w.p * F.col(f"last{i}") - F.col(f"below{i}")) / F.greatest(F.col(f"inside{i}") - 1, F.lit(1))
+            wide = F.col(f"distinct{i}") > BRACKET_VALUES
+            for name, bound in zip(("low", "high"), _bounds(F.col(f"grid{i}"), share)):
+                old = F.col(f"{name}{i}")
+                changed[f"{name}{i}"] = F.when(wide, F.coalesce(bound, old)).otherwise(old)
+        state = materialize(state.join(again, "key").withColumns(changed).select(state.columns), "brackets")
+    return _ranked(attach_stored(rows, state, on, "rows", bounds), state, level)
+
+
+def _ranked(held: DataFrame, state: DataFrame, level: dict[int, Quantile]) -> DataFrame:
+    """Exact order statistics among the rows left in the brackets, equal values counted together."""
+    entries = [
+        F.when(_inside(i), F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"))) for i in level]
+    left = held.select("key", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("key", "e.*")
+    counted = left.groupBy("key", "i", "v").agg(F.count("*").alias("c"))
+    facts = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.lit(w.name).alias("name"), F.col(f"n{i}").alias("n"),
+            F.col(f"mean{i}").alias("mean"), F.col(f"std{i}").alias("std"), F.col(f"below{i}").alias("below"),
+            (w.p * F.col(f"last{i}")).alias("rank"))
+        for i, w in level.items()
+    ])
+    wanted = state.select("key", F.inline(facts)).where("n > 0")
+    upto = Window.partitionBy("key", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("t", F.sum("c").over(upto)).join(wanted, ["key", "i"])
+    end = F.col("below") + F.col("t")
+
+    def value_at(position: Column) -> Column:
+        return F.max(F.when((position >= end - F.col("c")) & (position < end), F.col("v")))
+
+    out = placed.groupBy("key", "i").agg(
+        *[F.first(c).alias(c) for c in ("name", "n", "mean", "std", "rank")],
+        value_at(F.floor("rank")).alias("a"),
+        value_at(F.ceil("rank")).alias("b"),
+    )
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
+    # The counts are exact, so a bracket beside its rank would show here; it must never pass for a number.
+    missed = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("quantile bracket missed")))
+    return out.select("key", "name", "n", "mean", "std", missed.otherwise(value).cast("double").alias("quantile"))
 
 
 def _per_request(flat: DataFrame, wanted: Sequence[Quantile], measure) -> DataFrame:
-    """Moments and ``measure`` of every request in one aggregation over both grouping levels."""
+    """Moments and ``measure`` of every request in one aggregation.
+
+    A row appears once per grouping level, with only the values that level needs, so no value is measured twice.
+    """
+    none = F.lit(None).cast("double")
+    levels = []
+    for grouped in sorted({w.grouped for w in wanted}):
+        values = [
+            (F.col(f"v{i}") if w.grouped == grouped else none).alias(f"v{i}") for i, w in enumerate(wanted)]
+        group = F.col("grp") if grouped else F.lit(None).cast("string")
+        levels.append(F.struct(F.lit(grouped).alias("grouped"), group.alias("grp"), *values))
+    rows = flat.select(F.explode(F.array(*levels)).alias("e")).select("e.*")
+    rows = rows.where(~F.col("grouped") | F.col("grp").isNotNull())
     aggregates = []
     for i, w in enumerate(wanted):
         v = F.col(f"v{i}")
         aggregates.append(
             F.struct(
                 F.lit(w.name).alias("name"),
-                F.lit(w.grouped).alias("grouped"),
+                F.lit(w.grouped).alias("of_groups"),
                 F.count(v).alias("n"),
                 F.avg(v).alias("mean"),
                 F.stddev_pop(v).alias("std"),
                 measure(w, v).alias("quantile"),
             ).alias(f"r{i}"))
-    if any(w.grouped for w in wanted):
-        levels = [["grp"], []] if any(not w.grouped for w in wanted) else [["grp"]]
-        wide = flat.groupingSets(levels, "grp").agg(F.grouping_id().alias("level"), *aggregates)
-    else:
-        wide = flat.groupBy().agg(F.lit(1).alias("level"), F.lit(None).cast("string").alias("grp"), *aggregates)
-    long = wide.select(
-        "level", "grp", F.inline(F.array(*[F.col(f"r{i}") for i in range(len(wanted))])))
-    fits = F.when(F.col("grouped"), (F.col("level") == 0) & F.col("grp").isNotNull()).otherwise(F.col("level") != 0)
-    return long.where(fits & (F.col("n") > 0)).select("name", "grp", "n", "mean", "std", "quantile")
-
-
-def _from_brackets(
-    flat: DataFrame, sketch: DataFrame, wanted: Sequence[Quantile], n_rows: int, whole_group: int
-) -> DataFrame:
-    p = F.lit(0.0)
-    for w in wanted:
-        p = F.when(F.col("name") == w.name, w.p).otherwise(p)
-    brackets = sketch.select(
-        "name", F.coalesce("grp", F.lit("")).alias("key"), "grp", "n", "mean", "std",
-        (p * (F.col("n") - 1)).alias("rank"),
-        F.when(F.col("n") > whole_group, F.get("quantile", F.lit(0))).alias("low"),
-        F.when(F.col("n") > whole_group, F.get("quantile", F.lit(1))).alias("high"),
-    )
-    entries = [
-        F.struct(
-            F.lit(w.name).alias("name"),
-            (F.col("grp") if w.grouped else F.lit("")).alias("key"),
-            F.col(f"v{i}").alias("v"),
-        )
-        for i, w in enumerate(wanted)
-    ]
-    long = flat.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("v is not null and key is not null")
-    facts = ["grp", "n", "mean", "std", "rank", "low", "high"]
-    held = attach(long, brackets, [(F.col("name"), "name"), (F.col("key"), "key")], "n", facts, n_rows)
-    inside = held.where("high is null or v <= high")
-    slot = F.when(F.col("low").isNull() | (F.col("v") >= F.col("low")), F.col("v"))
-    # Everything below the bracket shares one null slot and collapses before the shuffle.
-    counted = inside.groupBy("name", "key", slot.alias("slot")).agg(
-        F.count("*").alias("c"), *[F.first(c).alias(c) for c in facts[:5]])
-    upto = Window.partitionBy("name", "key").orderBy(F.asc_nulls_first("slot")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("upto", F.sum("c").over(upto))
-
-    def value_at(position: Column) -> Column:
-        here = (position >= F.col("upto") - F.col("c")) & (position < F.col("upto"))
-        return F.max(F.when(here, F.col("slot")))
-
-    out = placed.groupBy("name", "key").agg(
-        *[F.first(c).alias(c) for c in facts[:5]],
-        value_at(F.floor("rank")).alias("a"),
-        value_at(F.ceil("rank")).alias("b"),
-    )
-    part = F.col("rank") - F.floor("rank")
-    value = F.col("a") + (F.col("b") - F.col("a")) * part
-    checked = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("quantile bracket missed")))
-    return out.select("name", "grp", "n", "mean", "std", checked.otherwise(value).cast("double").alias("quantile"))
+    wide = rows.groupBy("grouped", "grp").agg(*aggregates)
+    long = wide.select("grouped", "grp", F.inline(F.array(*[F.col(f"r{i}") for i in range(len(wanted))])))
+    fits = (F.col("grouped") == F.col("of_groups")) & (F.col("n") > 0)
+    return long.where(fits).select("name", "grp", "n", "mean", "std", "quantile")
 
 
 def ordered_totals(

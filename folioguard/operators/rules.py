@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioguard.fixed_values import REVIEW_COLUMNS, RULE_INPUTS, RULES, RULESET_VERSION
-from folioguard.functions.keyed import attach, keep_facts
+from folioguard.functions.keyed import attach, attach_kept, keep_facts
 from folioguard.functions.scalars import clip, missing, n_if, num, present_text, r1
 from folioguard.operators.quantiles import Quantile, average_ranks, exact_quantiles
+from folioguard.session import together
 
 RULE_IDS = [rule_id for rule_id, _ in RULES]
 
@@ -100,22 +101,24 @@ def rule_statuses(df: DataFrame, n_rows: int | None = None) -> DataFrame:
     """
     require_rule_inputs(df)
     n_rows = size_of(df, n_rows)
-    baselines, _ = keep_facts(rule_baselines(df, n_rows), n_rows)
+    repeated = repeated_keys(df)
+    jobs = [lambda: keep_facts(rule_baselines(df, n_rows), n_rows)]
+    if repeated is not None:
+        jobs.append(lambda: keep_facts(repeated.withColumnRenamed("copies", "__copies"), n_rows))
+    (baselines, few), *copies = together(*jobs)
     limits = rule_thresholds(baselines).first()
     rows = df
     if "segment" in df.columns:
         medians = baselines.where(F.col("name") == "segment_amount").select(
             F.col("grp").alias("segment"), "n", F.col("quantile").alias("__median"))
-        rows = attach(rows, medians, [(F.col("segment"), "segment")], "n", ["__median"], n_rows)
+        rows = attach_kept(rows, (medians, few), [(F.col("segment"), "segment")], "n", ["__median"], n_rows)
     else:
         rows = rows.withColumn("__median", F.lit(limits["median_amount"]).cast("double"))
-    repeated = repeated_keys(df)
-    if repeated is None:
-        rows = rows.withColumn("__copies", F.lit(None).cast("long"))
+    if copies:
+        on = [(F.col(k), k) for k in duplicate_key(df)[0]]
+        rows = attach_kept(rows, copies[0], on, "__copies", ["__copies"], n_rows)
     else:
-        keys, _ = duplicate_key(df)
-        copies = repeated.withColumn("__copies", F.col("copies"))
-        rows = attach(rows, copies, [(F.col(k), k) for k in keys], "copies", ["__copies"], n_rows)
+        rows = rows.withColumn("__copies", F.lit(None).cast("long"))
     amount, income = num(df, "transaction_amount"), num(df, "income")
     loan, debt = num(df, "loan_amount"), num(df, "existing_debt")
     score, frequency = num(df, "repayment_history_score"), num(df, "transaction_frequency")

@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def build_session(app: str = "folioguard", master: str | None = None, **conf: str) -> SparkSession:
     """Session for scripts and tests; a cluster brings its own."""
@@ -45,6 +50,12 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def together(*jobs: Callable[[], T]) -> list[T]:
+    """Run independent Spark jobs side by side, so that a small one need not wait for a large one."""
+    with ThreadPoolExecutor(max_workers=max(len(jobs), 1)) as pool:
+        return [done.result() for done in [pool.submit(job) for job in jobs]]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing a Parquet table below the shared folder and reading it back.
 

@@ -44,9 +44,10 @@ def big_plans(monkeypatch):
     monkeypatch.setattr(quantiles, "SMALL_ROWS", 0)
     monkeypatch.setattr(keyed, "FEW_KEYS", 3)
     monkeypatch.setattr(quantiles, "BUCKET_ROWS", 50)
-    monkeypatch.setattr(quantiles, "WHOLE_GROUP", 100)
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 200)
-    monkeypatch.setattr(quantiles, "MARGIN", 4 / 200)
+    monkeypatch.setattr(quantiles, "WHOLE_GROUP", 64)
+    monkeypatch.setattr(quantiles, "GRID", 16)
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 160)
+    monkeypatch.setattr(quantiles, "BRACKET_VALUES", 64)
 
 
 PORTFOLIO = (
