@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioguard.functions.scalars import n_if
+from folioguard.functions.scalars import n_if, type_of
 
 GENESIS = hashlib.sha256(b"").hexdigest()
 WORKSPACE = ["organization_id", "workspace_id"]
@@ -35,7 +35,9 @@ def chain_head(events: DataFrame) -> Column:
         if name == "audit_sequence":
             shown = c.cast("string")
         elif name == "occurred_at":
-            stamp = F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+            if isinstance(type_of(events, name), T.TimestampType):
+                c = F.to_utc_timestamp(c, F.current_timezone())
+            stamp = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
             shown = F.concat(F.lit('"'), F.regexp_replace(stamp, r"\.?0+$", ""), F.lit('+00:00"'))
         else:
             shown = json_text(c)

@@ -310,7 +310,7 @@ def admission_requests(events):
     """Events as requests of one scope: subject is the user, a few request ids repeat, sign-ups reset."""
     return events.select(
         F.lit("assistant_query_actor").alias("scope"), F.col("user_id").cast("string").alias("subject"),
-        F.expr(_REQUEST).alias("request_id"), X.micros(F.col("ts")).alias("at_micros"),
+        F.expr(_REQUEST).alias("request_id"), X.micros("ts").alias("at_micros"),
         F.expr(_KIND).alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
 
 

@@ -248,8 +248,8 @@ def s4_file_audit(spark, sf_dir):
     return I.audit_files(_document_files(spark, sf_dir)).select("path", "length", "sha256", "encoding", "error_code")
 
 
-@query("s5_delimiters", f"""select {_PATH} path, case doc_id%10 when 4 then ';' when 8 then 'unsupported' else ',' end
- delimiter from documents""")
+@query("s5_delimiters", f"""select {_PATH} path, case doc_id%10 when 2 then null when 3 then null when 4 then ';'
+ when 8 then 'unsupported' else ',' end delimiter from documents""")
 def s5_delimiters(spark, sf_dir):
     return I.audit_files(_document_files(spark, sf_dir)).select("path", "delimiter")
 

@@ -35,8 +35,10 @@ def with_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
     return requests.join(F.broadcast(policies), "scope")
 
 
-def micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+def micros(column: str) -> Column:
+    """Microseconds on the clock the column shows, whatever the session's time zone."""
+    return F.expr(
+        f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
 
 
 def decide(

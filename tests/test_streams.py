@@ -1,5 +1,4 @@
 import pandas as pd
-from pyspark.sql import functions as F
 
 from folioguard.sources import intake as I
 from folioguard.streaming import admission as X
@@ -112,4 +111,12 @@ def test_policies(spark):
     assert len(known) == 7 and isinstance(known, pd.DataFrame)
     unknown = spark.createDataFrame([("nope",)], "scope string")
     assert X.with_policy(unknown, X.policy_dimension(spark)).isEmpty()
-    assert X.micros(F.lit("2026-01-01").cast("timestamp")) is not None
+
+
+def test_clock_does_not_depend_on_the_session(spark):
+    df = spark.sql("select timestamp_ntz'1970-01-01 00:00:01.5' as ts")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Africa/Lagos")
+        assert df.select(X.micros("ts")).first()[0] == 1_500_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
