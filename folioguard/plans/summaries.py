@@ -11,13 +11,14 @@ from folioguard.plans.registry import query
 from folioguard.plans.sql import ANOMALY_CTES, PORTFOLIO_COLUMNS, on_anomalies, on_portfolio, with_ctes
 from folioguard.sources.portfolio import portfolio
 
+# The median may lie half a cent between two amounts, so sums with imputed amounts are compared to a tenth of a cent.
 _MEDIAN = {
     "med": "select quantile_cont(transaction_amount,0.5) m from portfolio",
     "filled": "select p.*, coalesce(transaction_amount, m) amount from portfolio p, med",
 }
 _KPIS = {
     **PROFILE, **_MEDIAN,
-    "kpis": """select n records_processed, round((select sum(amount) from filled),2) total_revenue,
+    "kpis": """select n records_processed, round((select sum(amount) from filled),3) total_revenue,
  (select count(distinct customer_id) from portfolio) total_customers,
  round((select avg(amount) from filled),4) average_transaction_value,
  round_even((1-(select avg(defaulted) from portfolio))*100,1) loan_repayment_rate,
@@ -38,7 +39,7 @@ def _kpis(spark, sf_dir):
 def a12_kpi_record(spark, sf_dir):
     kpis = _kpis(spark, sf_dir)[3]
     return kpis.withColumns({
-        "total_revenue": F.round("total_revenue", 2),
+        "total_revenue": F.round("total_revenue", 3),
         "average_transaction_value": F.round("average_transaction_value", 4),
     })
 
@@ -82,10 +83,10 @@ def p2_median_imputation(spark, sf_dir):
 
 
 @query("a13_monthly_amount", on_portfolio(
-    "select substr(date,1,7) as month, round(sum(amount),2) transaction_amount from filled group by 1", **_MEDIAN))
+    "select substr(date,1,7) as month, round(sum(amount),3) transaction_amount from filled group by 1", **_MEDIAN))
 def a13_monthly_amount(spark, sf_dir):
     months = S.monthly_amount(portfolio(spark, sf_dir))
-    return months.withColumn("transaction_amount", F.round("transaction_amount", 2))
+    return months.withColumn("transaction_amount", F.round("transaction_amount", 3))
 
 
 @query("a13_monthly_amount_governed", on_portfolio(
@@ -120,11 +121,11 @@ def a15_outcome_breakdown(spark, sf_dir):
 
 
 @query("a16_top_segment_by_amount", on_portfolio(
-    "select segment, round(sum(amount),2) total_amount from filled where segment is not null group by 1 "
+    "select segment, round(sum(amount),3) total_amount from filled where segment is not null group by 1 "
     "order by 2 desc, 1 limit 1", **_MEDIAN))
 def a16_top_segment_by_amount(spark, sf_dir):
     return S.top_segment_by_amount(portfolio(spark, sf_dir)).select(
-        "segment", F.round("total_amount", 2).alias("total_amount"))
+        "segment", F.round("total_amount", 3).alias("total_amount"))
 
 
 @query("a17_most_common_category", on_anomalies(
