@@ -19,15 +19,20 @@ On = Sequence[tuple[Column, str]]
 
 
 def attach(
-    rows: DataFrame, facts: DataFrame, on: On, weight: str, values: Sequence[str], n_rows: int
+    rows: DataFrame, facts: DataFrame, on: On, weight: str, values: Sequence[str], n_rows: int, many: bool = False
 ) -> DataFrame:
     """Left-join ``facts`` (one row per key) to ``rows``, which has ``n_rows`` rows.
 
     ``on`` pairs an expression over ``rows`` with a column of ``facts``; ``weight`` is the column of ``facts``
     that says how many rows own the key. The number of facts decides: up to ``FEW_KEYS`` are broadcast and
     ``rows`` is not shuffled at all. Above that, small input takes an ordinary join; for large input the facts
-    are written to the shared folder and only the heaviest keys are broadcast.
+    are written to the shared folder and only the heaviest keys are broadcast. ``many`` says that the facts are
+    about as many as the rows, which saves the count.
     """
+    if many:
+        if n_rows <= SMALL_ROWS:
+            return _join(rows, facts, on, values, hint=False)
+        return attach_many(rows, materialize(facts, "facts"), on, weight, values)
     return attach_kept(rows, keep_facts(facts, n_rows), on, weight, values, n_rows)
 
 

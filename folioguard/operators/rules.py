@@ -191,7 +191,7 @@ def attach_amount_rank(rows: DataFrame, source: DataFrame, n_rows: int) -> DataF
     """
     ranks = amount_percent_ranks(source, n_rows).withColumnsRenamed({"amount_rank": "__rank"})
     amount = num(rows, "transaction_amount")
-    ranked = attach(rows, ranks, [(amount, "transaction_amount")], "records", ["__rank"], n_rows)
+    ranked = attach(rows, ranks, [(amount, "transaction_amount")], "records", ["__rank"], n_rows, many=True)
     return ranked.withColumn("amount_rank", F.coalesce("__rank", F.lit(0.0))).drop("__rank")
 
 
