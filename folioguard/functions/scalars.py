@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 # Accepted spellings of a number in a text cell.
 NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
-# Unicode white space plus the four ASCII separators.
-EDGE_SPACE = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
+# Unicode white space plus the four ASCII separators; trimming by set looks at the ends of a cell only.
+EDGE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Accepted date shapes: guard pattern, then the format tried. Month-first wins over day-first.
 DATE_SHAPES = (
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
@@ -33,12 +36,12 @@ def is_text(df: DataFrame, name: str) -> bool:
 
 def txt(c: Column) -> Column:
     """Text with white space removed at both ends."""
-    return F.regexp_replace(c.cast("string"), EDGE_SPACE, "")
+    return F.btrim(c.cast("string"), F.lit(EDGE_SPACE))
 
 
 def present_text(c: Column) -> Column:
     """True where the cell holds something other than white space."""
-    return c.isNotNull() & c.cast("string").rlike(r"(?U)[^\s\x1C-\x1F]")
+    return c.isNotNull() & (txt(c) != "")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -76,10 +79,13 @@ def missing(df: DataFrame, name: str) -> Column:
 
 def ts_text(c: Column) -> Column:
     """A text cell as timestamp under the accepted shapes; time-only text is refused."""
-    s = txt(c)
-    tries = [F.when(s.rlike(guard), F.try_to_timestamp(s, F.lit(fmt))) for guard, fmt in DATE_SHAPES]
-    tries.append(F.when(s.rlike(ISO_TIMESTAMP), s.try_cast("timestamp")))
-    return F.coalesce(*tries)
+
+    def parse(s: Column) -> Column:
+        tries = [F.when(s.rlike(guard), F.try_to_timestamp(s, F.lit(fmt))) for guard, fmt in DATE_SHAPES]
+        return F.coalesce(*tries, F.when(s.rlike(ISO_TIMESTAMP), s.try_cast("timestamp")))
+
+    # The lambda binds the stripped text, so that it is worked out once and not for every shape.
+    return F.get(F.transform(F.array(txt(c)), parse), F.lit(0))
 
 
 def ts(df: DataFrame, name: str) -> Column:

@@ -24,16 +24,22 @@ DETAIL_KEYS = {
 }
 
 
+def stripped(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) -> DataFrame:
+    """The mapped columns without white space at the ends, blank as null."""
+    return lexical.select(*by, *[
+        blank_to_null(F.col(f.normalized_column)).alias(f"v{i}") for i, f in enumerate(fields)])
+
+
 def field_evidence(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) -> DataFrame:
     """Missing and invalid values per key and mapped field, from one aggregation."""
     counts = []
     for i, f in enumerate(fields):
-        v = blank_to_null(F.col(f.normalized_column))
+        v = F.col(f"v{i}")
         counts += [
             n_if(v.isNull()).alias(f"m{i}"),
             n_if(v.isNotNull() & ~valid_value(v, f.target_type)).alias(f"i{i}"),
         ]
-    one = lexical.groupBy(*by).agg(*counts)
+    one = stripped(lexical, fields, by).groupBy(*by).agg(*counts)
     lines = F.array(*[
         F.struct(
             F.lit(i).alias("position"), F.lit(f.concept).alias("concept"), F.lit(f.target_type).alias("target_type"),
@@ -47,12 +53,13 @@ def field_evidence(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str
 def invalid_values(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) -> DataFrame:
     """Distinct invalid values per key and concept."""
     pairs = []
-    for f in fields:
-        v = blank_to_null(F.col(f.normalized_column))
+    for i, f in enumerate(fields):
+        v = F.col(f"v{i}")
         pairs.append(F.when(
             v.isNotNull() & ~valid_value(v, f.target_type),
             F.struct(F.lit(f.concept).alias("concept"), v.alias("value"))))
-    long = lexical.select(*by, F.explode(F.array_compact(F.array(*pairs))).alias("x"))
+    rows = stripped(lexical, fields, by)
+    long = rows.select(*by, F.explode(F.array_compact(F.array(*pairs))).alias("x"))
     return long.select(*by, "x.*").distinct()
 
 
