@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioguard.llm import bpe
+from folioguard.llm import bpe, quality
 from folioguard.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,9 @@ def query(name: str, sql: str | None = None):
 @query("op2_bpe_round_trip")
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_host_quality_rules", quality.ORACLE)
+def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_documents(table(spark, sf_dir, "documents"))
+    return judged.drop("host", "host_rejected")
