@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioguard.llm import bpe, quality
+from folioguard.llm import bpe, quality, warc
 from folioguard.llm.common import table
+from folioguard.session import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,9 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_documents(table(spark, sf_dir, "documents"))
     return judged.drop("host", "host_rejected")
+
+
+@query("op1_warc_salvage", warc.ORACLE)
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_round_trip(table(spark, sf_dir, "pages"), staging_path(spark, "warc"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
