@@ -20,11 +20,12 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from folioguard.llm.common import pick
+from folioguard.llm.common import per_text
 
 # Fixed value: the split pattern of byte-level BPE vocabularies of this family.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -367,29 +368,30 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     One row per input row, repeated rows included; a null or empty text has no ids; a null key stays null.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare():
         bpe = vocabulary(path)
-        for batch in batches:
-            ids = list(bpe.encode([t or "" for t in batch["text"]]))
-            yield pd.DataFrame({"key": batch["key"], "ids": ids, "n_tokens": [len(i) // 4 for i in ids]})
 
-    rows = pick(docs, [key, text]).toDF("key", "text")
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(run, f"key {kind}, ids binary, n_tokens bigint").withColumnRenamed("key", key)
+        def work(texts: list[str]) -> dict:
+            ids = list(bpe.encode(texts))
+            return {"ids": ids, "n_tokens": [len(i) // 4 for i in ids]}
+
+        return work
+
+    return per_text(docs, [key], prepare, "ids binary, n_tokens bigint", text)
 
 
 def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key`` and the ``text`` that its ids stand for; bytes that are no UTF-8 become replacement characters."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            texts = [bpe.decode(np.frombuffer(i or b"", dtype="<u4")).decode("utf-8", "replace") for i in batch["ids"]]
-            yield pd.DataFrame({"key": batch["key"], "text": texts})
+            coded = batch.column("ids").to_pylist()
+            texts = [bpe.decode(np.frombuffer(i or b"", dtype="<u4")).decode("utf-8", "replace") for i in coded]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, type=pa.string())], names=[key, "text"])
 
-    rows = pick(encoded, [key, ids]).toDF("key", "ids")
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    rows = encoded.select(F.col(f"`{key}`"), F.col(f"`{ids}`").alias("ids"))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -399,21 +401,21 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     rows and null ids come out as they went in.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare():
         bpe = vocabulary(path)
         shown = bpe.decimals.__getitem__
-        for batch in batches:
-            rows = []
-            for raw in bpe.encode([t or "" for t in batch["text"]]):
+
+        def work(texts: list[str]) -> dict:
+            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            for raw in bpe.encode(texts):
                 ids = np.frombuffer(raw, dtype="<u4")
                 back = bpe.decode(ids).decode("utf-8", "replace")
                 decimals = ",".join(map(shown, ids.tolist()))
-                rows.append((len(ids), hashlib.sha256(decimals.encode()).hexdigest(),
-                             hashlib.sha256(back.encode("utf-8")).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out
-
-    rows = pick(docs, ["doc_id", "text"])
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                out["n_tokens"].append(len(ids))
+                out["ids_sha256"].append(hashlib.sha256(decimals.encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(back.encode("utf-8")).hexdigest())
+            return out
+
+        return work
+
+    return per_text(docs, ["doc_id"], prepare, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\x0c\r"
 
 
-class RecentCache(dict):
-    """A dictionary of at most about twice ``bound`` entries: what was not asked for lately goes first."""
-
-    def __init__(self, bound: int):
-        super().__init__()
-        self.bound = bound
-        self.old: dict = {}
-
-    def keep(self, key, value):
-        if len(self) >= self.bound:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +25,34 @@ def pick(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def bounded_partitions(df: DataFrame, rows: int) -> DataFrame:
-    """No more rows a partition than ``rows`` on average, dealt round robin; fewer files are left as they are."""
-    return df.repartition(max(1, -(-df.count() // rows)))
+def per_text(
+    docs: DataFrame, keep: Sequence[str], prepare: Callable[[], Callable[[list[str]], dict]], fields: str,
+    text: str = "text", rows: int = 1024,
+) -> DataFrame:
+    """New columns for each text, in Arrow batches; nothing is shuffled.
+
+    ``prepare`` runs once in a task and gives the function that takes up to ``rows`` texts (null: empty) and returns
+    the columns that ``fields`` declares. The columns in ``keep`` pass through untouched, nulls and large ids too.
+    """
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
+    kinds = dict(part.split() for part in fields.split(","))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = prepare()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                some = batch.slice(start, rows)
+                made = work(some.column("__text").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[:-1], *[pa.array(made[c], type=ARROW_KINDS[k]) for c, k in kinds.items()]],
+                    names=[*keep, *kinds])
+
+    return source.mapInArrow(run, f"{declared}, {fields}")
+
+
+ARROW_KINDS = {
+    "string": pa.string(), "binary": pa.binary(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(),
+    "float": pa.float32(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()),
+    "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
+}

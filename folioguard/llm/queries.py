@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioguard.llm import bpe, quality, warc
+from folioguard.llm import bpe, quality, token_files, warc
 from folioguard.llm.common import table
 from folioguard.session import staging_path
 
@@ -40,3 +40,9 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_round_trip(table(spark, sf_dir, "pages"), staging_path(spark, "warc"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_token_files")
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.file_round_trip(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), staging_path(spark, "tokens"))
