@@ -119,7 +119,8 @@ def judge_documents(docs: DataFrame, host: Column | None = None, max_rate: float
     """
     host = F.col("source") if host is None else host
     measures = materialize(document_measures(docs, host), "quality")
-    rejected = host_verdicts(measures, max_rate).where("rejected").select(F.col("host").alias("__host")).distinct()
+    rejected = materialize(  # a table, so that its size is known when the join is planned
+        host_verdicts(measures, max_rate).where("rejected").select(F.col("host").alias("__host")).distinct(), "hosts")
     failures = rule_failures()
     joined = measures.join(rejected, F.col("host") == F.col("__host"), "left")
     return joined.select(

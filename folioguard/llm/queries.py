@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioguard.llm import bpe, quality, token_files, warc
+from folioguard.llm import bpe, quality, simhash, token_files, warc
 from folioguard.llm.common import table
 from folioguard.session import staging_path
 
@@ -46,3 +47,9 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.file_round_trip(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), staging_path(spark, "tokens"))
+
+
+@query("op8_simhash_components")
+def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"), shingle=3).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
