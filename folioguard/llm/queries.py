@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioguard.llm import bpe, quality, simhash, token_files, warc
-from folioguard.llm.common import table
+from folioguard.llm import bpe, language, quality, simhash, token_files, warc
+from folioguard.llm.common import fold, table
 from folioguard.session import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"), shingle=3).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_language_network")
+def op7_language_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, folds=5, held_out=0).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
