@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioguard.llm import bpe, language, quality, simhash, token_files, warc
+from folioguard.llm import bpe, language, quality, repeats, simhash, token_files, warc
 from folioguard.llm.common import fold, table
 from folioguard.session import staging_path
 
@@ -60,3 +60,9 @@ def op7_language_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, folds=5, held_out=0).select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_prefix_doubling_dedup")
+def op5_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.strip_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
