@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioguard.llm import bpe, language, quality, repeats, simhash, token_files, warc
+from folioguard.llm import bpe, decontamination, language, quality, repeats, simhash, token_files, warc
 from folioguard.llm.common import fold, table
 from folioguard.session import staging_path
 
@@ -66,3 +66,9 @@ def op7_language_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.strip_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_template_decontamination", decontamination.ORACLE)
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
