@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioguard.llm import bpe, decontamination, language, quality, repeats, simhash, token_files, warc
+from folioguard.llm import bpe, decontamination, language, quality, repeats, simhash, token_files, toxicity, warc
 from folioguard.llm.common import fold, table
 from folioguard.session import staging_path
 
@@ -72,3 +72,8 @@ def op5_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+@query("op3_toxicity_sentences")
+def op3_toxicity_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
