@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioguard.llm import bpe, decontamination, language, quality, repeats, simhash, token_files, toxicity, warc
+from folioguard.llm import bpe, decontamination, language, lattice, quality, repeats, simhash, token_files, toxicity, warc
 from folioguard.llm.common import fold, table
 from folioguard.session import staging_path
 
@@ -77,3 +77,9 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxicity_sentences")
 def op3_toxicity_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_lattice_likelihood")
+def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), folds=7, held_out=2)
