@@ -6,12 +6,41 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioguard.llm import bpe
+from folioguard.llm import bpe, decontamination, language, repeats, simhash
 from folioguard.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+LEAST_LANGUAGE_SCORE = 0.3
+SHINGLE_WORDS = 5
+NEAR_BITS = 5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language the network learned; those without a letter or with a low score go."""
+    named = language.identify(docs, keep=tuple(docs.columns))
+    kept = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return named.where(kept).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash neighbours over five-word shingles, that with the smallest doc_id."""
+    return simhash.first_of_groups(docs, SHINGLE_WORDS, NEAR_BITS)
+
+
+def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that are met elsewhere. No document goes, though a text may be left empty."""
+    stripped = repeats.strip_repeats(docs, [c for c in docs.columns if c != "text"], as_text=True)
+    return stripped.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("bigint")).select(
+        docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, parameters changed or not."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
@@ -19,6 +48,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("simhash", drop_near_duplicates),
+    ("repeats", strip_repeated_passages),
+    ("decontamination", drop_benchmark_leaks),
     ("bpe", encode),
 ]
 

@@ -34,8 +34,10 @@ def per_text(
     ``prepare`` runs once in a task and gives the function that takes up to ``rows`` texts (null: empty) and returns
     the columns that ``fields`` declares. The columns in ``keep`` pass through untouched, nulls and large ids too.
     """
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
+    read = text if text in keep else "__text"
+    own = [] if text in keep else [F.col(f"`{text}`").alias("__text")]
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], *own)
+    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(keep)])
     kinds = dict(part.split() for part in fields.split(","))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,9 +45,9 @@ def per_text(
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 some = batch.slice(start, rows)
-                made = work(some.column("__text").to_pylist())
+                made = work([t or "" for t in some.column(read).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns[:-1], *[pa.array(made[c], type=ARROW_KINDS[k]) for c, k in kinds.items()]],
+                    [*some.columns[: len(keep)], *[pa.array(made[c], type=ARROW_KINDS[k]) for c, k in kinds.items()]],
                     names=[*keep, *kinds])
 
     return source.mapInArrow(run, f"{declared}, {fields}")

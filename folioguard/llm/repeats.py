@@ -391,10 +391,13 @@ def without(data: bytes, spans: list[dict]) -> tuple[bytes, int]:
 
 
 def strip_repeats(
-    docs: DataFrame, keep: Sequence[str] = ("doc_id",), min_len: int = MIN_LEN, local_members: int = LOCAL_MEMBERS
+    docs: DataFrame, keep: Sequence[str] = ("doc_id",), min_len: int = MIN_LEN, local_members: int = LOCAL_MEMBERS,
+    as_text: bool = False,
 ) -> DataFrame:
     """``keep``, kept (the remaining bytes), n_bytes, n_removed and n_spans of every document.
 
+    With ``as_text``, kept is text: of a character that a cut goes through nothing is left.
+
     Null and empty texts have nothing to remove, nor have texts shorter than ``min_len`` bytes. Repeated rows are
     copies of one another and lose all windows. Every row comes out, null ids too; an empty table gives no rows.
     """
@@ -411,14 +414,14 @@ def strip_repeats(
                 for blob, cut in zip(some.column("packed").to_pylist(), some.column("spans").to_pylist()):
                     data = unpack.decompress(blob)
                     rest, n = without(data, cut) if cut else (data, 0)
-                    kept.append(rest)
+                    kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                     sizes.append((len(data), len(data) - len(rest)))
                     runs.append(n)
                 yield pa.RecordBatch.from_arrays(
-                    [*[some.column(c) for c in keep], pa.array(kept, type=pa.binary()),
+                    [*[some.column(c) for c in keep], pa.array(kept, type=pa.string() if as_text else pa.binary()),
                      *[pa.array([s[i] for s in sizes], type=pa.int64()) for i in (0, 1)], pa.array(runs, type=pa.int64())],
                     names=[*keep, "kept", "n_bytes", "n_removed", "n_spans"])
 
     joined = packed(texts, keep).join(spans, list(DOC), "left").select(*[F.col(f"`{c}`") for c in keep], "packed", "spans")
     declared = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema[:-2])
-    return joined.mapInArrow(run, f"{declared}kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    return joined.mapInArrow(run, f"{declared}kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint")

@@ -171,17 +171,38 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
         lambda batches: _posting_links(batches, max_bits), "a bigint, b bigint")
 
 
-def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``fp`` and ``component_id``, the smallest doc_id that links reach, for every document.
+def _roots(marked: DataFrame, max_bits: int) -> DataFrame:
+    """print, first and root: each distinct fingerprint of ``marked`` (fp, doc_id), its smallest doc_id and the smallest
+    fingerprint that links reach."""
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    roots = components(links(nodes.select("fp"), max_bits))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("print"), "first", F.coalesce("root", "fp").alias("root"))
+
+
+def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """doc_id, ``fp`` and ``component_id``, the smallest doc_id that links reach, for every document.
 
     Documents with equal fingerprints are linked, those without words among them. Null ids belong to a component as
     others do; it has the null id only if no member has another. Repeated rows stay. An empty table gives no rows.
     """
-    marked = materialize(fingerprints(docs, shingle, tuple(dict.fromkeys(("doc_id", *keep)))), "fingerprints")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(nodes.select("fp"), max_bits))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("print"), "first", F.coalesce("root", "fp").alias("root"))
+    marked = materialize(fingerprints(docs, shingle), "fingerprints")
+    named = _roots(marked, max_bits)
     least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "of_root")
     labels = named.join(least, F.col("root") == F.col("of_root")).select("print", "component_id")
     return marked.join(labels, F.col("fp") == F.col("print")).drop("print")
+
+
+def first_of_groups(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """One row of ``docs`` (doc_id, text and any others) for each component: that with the smallest doc_id.
+
+    Of rows that share it, one is kept; a row without an id only if its component has no other.
+    """
+    kept = list(docs.columns)
+    marked = materialize(fingerprints(docs, shingle, tuple(kept)).withColumnRenamed("fp", "__fp").withColumn(
+        "__row", F.monotonically_increasing_id()), "fingerprints")  # written, so the numbers stand
+    narrow = marked.select(F.col("__fp").alias("fp"), "doc_id", "__row")
+    rows = narrow.join(_roots(narrow, max_bits).select("print", "root"), F.col("fp") == F.col("print"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("one"))
+    return marked.join(first.select(F.col("one.__row").alias("__kept")), F.col("__row") == F.col("__kept"),
+                       "left_semi").select(*[F.col(f"`{c}`") for c in kept])
