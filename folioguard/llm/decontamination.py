@@ -3,7 +3,7 @@
 Everything is DataFrame expressions. A text's words are trimmed of punctuation and lower-cased; a number, a unit of
 measure and a name (capitalised inside a sentence, or a sentence's first word that is capitalised inside one elsewhere
 in the text) become a placeholder that keeps its value aside. Windows of ``WINDOW`` words are hashed and joined with the
-benchmark's windows. Windows that lie on one diagonal (place in the document less place in the item) are one
+benchmark's windows, at first as bare hashes; the documents this touches are read again with their slots. Windows that lie on one diagonal (place in the document less place in the item) are one
 occurrence, and its slots must be consistent: a value of the item is replaced by one value throughout, with at most one
 further replacement for every four values (two equal numbers of an item may be changed apart). A document is
 contaminated by an item if consistent occurrences cover at least ``MIN_SHARE`` of the item's windows.
@@ -42,43 +42,70 @@ def _quoted(values: Sequence[str]) -> str:
     return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
 
 
+def _tokens(rows: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+    """``key``, __slots (word by word the kind and value behind a placeholder, null for a literal word), __marks (hashes
+    of words, or of placeholders' kinds) and __eight (hashes of eight words from each on)."""
+    words = rows.select(*[F.col(f"`{c}`") for c in key], F.array_remove(
+        F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), WORD_GAP, -1), "").alias("__words"))
+    trim, ends, name = _quoted([TRIMMED]), _quoted(list(SENTENCE_ENDS)), _quoted([NAME])
+    inner_names = (
+        "array_distinct(filter(transform(filter(__words, (w, i) -> not (ascii(w) between 97 and 122) and i > 0 "
+        f"and not right(get(__words, i - 1), 1) in ({ends}) and w != lower(w)), w -> btrim(w, {trim})), "
+        f"w -> w rlike {name}))")
+    bare = words.select(*key, F.expr(inner_names).alias("__names"), F.expr(
+        f"filter(transform(__words, w -> btrim(w, {trim})), w -> w != '')").alias("__bare"))
+    lowered = bare.select("*", F.expr("transform(__bare, w -> lower(w))").alias("__lower"))
+
+    def slots(is_name: str) -> str:
+        return ("zip_with(__bare, __lower, (w, l) -> case "
+                f"when (ascii(w) < 65 or ascii(w) in (163, 8364)) and w rlike {_quoted([NUMBER])} then concat('n ', w) "
+                f"when l in ({_quoted(UNITS)}) then concat('u ', l) {is_name} end)")
+
+    # a column that only a lambda uses would be computed anew for each element: it is also asked for outside
+    with_names = "when w != l and array_contains(__names, w) then concat('N ', w)"
+    slotted = lowered.select("*", F.expr(
+        f"if(size(__names) = 0, {slots('')}, {slots(with_names)})").alias("__slots"))
+    marks = ("if(exists(__slots, s -> s is not null), zip_with(__lower, __slots, (l, s) -> "
+             "xxhash64(if(s is null, l, concat('\u0001', left(s, 1))))), transform(__lower, l -> xxhash64(l)))")
+    marked = slotted.select(*key, "__slots", F.expr(marks).alias("__marks"))
+    # hashes of 2, 4 and 8 words, each from two of half the length
+    pairs = "zip_with({0}, slice({0}, {1}, greatest(size({0}) - {2}, 0)), (a, b) -> xxhash64(a, b))"
+    return marked.select("*", F.expr(pairs.format("__marks", 2, 1)).alias("__two")).select(
+        "*", F.expr(pairs.format("__two", 3, 2)).alias("__four")).select(
+        *key, "__slots", "__marks", F.expr(pairs.format("__four", 5, 4)).alias("__eight"))
+
+
+def _hashes(size: int) -> str:
+    """Array of the hashes of all windows of ``size`` words, null where the text is shorter."""
+    if size == 8:
+        return "if(size(__marks) < 8, null, slice(__eight, 1, size(__marks) - 7))"
+    return (f"if(size(__marks) < {size}, null, transform(sequence(0, size(__marks) - {size}), "
+            f"i -> xxhash64(slice(__marks, i + 1, {size}))))")
+
+
+def window_hashes(rows: DataFrame, key: Sequence[str], text: str, sizes: Sequence[int]) -> DataFrame:
+    """``key`` and h of every window of ``sizes`` words."""
+    none = F.expr("cast(array() as array<bigint>)")
+    hashes = [F.coalesce(F.expr(_hashes(n)), none) for n in sizes]
+    return _tokens(rows, key, text).select(*key, F.explode(F.concat(*hashes)).alias("h"))
+
+
 def windows(rows: DataFrame, key: Sequence[str], text: str, sizes: Sequence[int]) -> DataFrame:
     """``key``, size, place, h and slots of every window of ``sizes`` words with enough literal words.
 
-    ``slots`` has, word by word, the kind and value behind a placeholder, null for a literal word; it is null where the
-    window has none. Null and empty texts have no windows, nor have texts shorter than a window.
+    ``slots`` has the window's part of the text's slots; it is null where the window has none. Null and empty texts
+    have no windows, nor have texts shorter than a window.
     """
-    first = rows.select(*[F.col(f"`{c}`") for c in key], F.array_remove(
-        F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), WORD_GAP, -1), "").alias("__words"))
-    tokens = first.select(*key, F.expr(
-        f"filter(transform(__words, w -> named_struct('b', btrim(w, {_quoted([TRIMMED])}), 'e', right(w, 1))), "
-        "t -> t.b != '')").alias("__tokens"))
-    ends = _quoted(list(SENTENCE_ENDS))
-    name = _quoted([NAME])
-    inside = f"(i > 0 and not get(__tokens, i - 1).e in ({ends}))"
-    named = tokens.select("*", F.expr(
-        f"array_distinct(transform(filter(__tokens, (t, i) -> t.b != lower(t.b) and {inside} and t.b rlike {name}), "
-        "t -> t.b))").alias("__names"))
-    slots = named.select("*", F.expr(
-        "transform(__tokens, (t, i) -> case "
-        f"when t.b rlike {_quoted([NUMBER])} then concat('n ', t.b) "
-        f"when lower(t.b) in ({_quoted(UNITS)}) then concat('u ', lower(t.b)) "
-        f"when t.b != lower(t.b) and t.b rlike {name} and ({inside} or array_contains(__names, t.b)) "
-        "then concat('N ', t.b) end)").alias("__slots"))
-    marked = slots.select(*key, "__slots", F.expr(
-        "zip_with(__tokens, __slots, (t, s) -> xxhash64(if(s is null, lower(t.b), concat('\\u0001', left(s, 1)))))"
-    ).alias("__marks"), F.expr("exists(__slots, s -> s is not null)").alias("__any"))
+    none = F.expr("filter(array(named_struct('size', 0, 'place', 0, 'h', 0L, 'slots', array(''))), x -> false)")
 
     def of(size: int) -> Column:
-        return F.expr(
-            f"transform(sequence(0, size(__marks) - {size}), i -> named_struct('size', {size}, 'place', i, "
-            f"'h', xxhash64(slice(__marks, i + 1, {size})), 'slots', "
-            f"if(__any and exists(slice(__slots, i + 1, {size}), s -> s is not null), slice(__slots, i + 1, {size}), null)))")
-
-    parts = [F.when(F.size("__marks") >= size, of(size)) for size in sizes]
-    empty = F.expr("filter(array(named_struct('size', 0, 'place', 0, 'h', 0L, 'slots', array(''))), x -> false)")
-    all_of = F.concat(*[F.coalesce(p, empty) for p in parts])
-    out = marked.select(*key, F.explode(all_of).alias("__w")).select(*key, "__w.*")
+        own = f"slice(__slots, i + 1, {size})"
+        return F.coalesce(F.expr(
+            f"transform({_hashes(size)}, (h, i) -> named_struct('size', {size}, 'place', i, 'h', h, "
+            f"'slots', if(exists({own}, s -> s is not null), {own}, null)))"), none)
+
+    out = _tokens(rows, key, text).select(*key, F.explode(F.concat(*[of(n) for n in sizes])).alias("__w")).select(
+        *key, "__w.*")
     literals = F.col("size") - F.coalesce(F.size(F.filter("slots", lambda s: s.isNotNull())), F.lit(0))
     return out.where(F.col("slots").isNull() | (literals >= F.least(F.lit(MIN_LITERALS), F.col("size"))))
 
@@ -103,9 +130,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: Sequence[str], min_share
     item_windows = materialize(item_windows, "item-windows")
     totals = item_windows.groupBy("item_id").agg(F.count_distinct("item_place").alias("n_windows"))
     few = item_windows.count() <= BROADCAST_WINDOWS
-    side = F.broadcast(item_windows) if few else item_windows
-    found = windows(docs, key, "text", sizes).join(
-        side, (F.col("h") == F.col("item_h")) & (F.col("size") == F.col("item_size")))
+    side = F.broadcast if few else (lambda windows: windows)
+    touched = materialize(window_hashes(docs, key, "text", sizes).join(
+        side(item_windows.select("item_h").distinct()), F.col("h") == F.col("item_h"), "left_semi").select(
+        *[F.col(c).alias(f"__of_{c}") for c in key]).distinct(), "touched")
+    again = docs.join(touched, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in key], "left_semi")
+    found = windows(again, key, "text", sizes).join(
+        side(item_windows), (F.col("h") == F.col("item_h")) & (F.col("size") == F.col("item_size")))
     found = found.select(*key, "item_id", "item_place", "place", F.when(F.col("slots").isNotNull(), F.filter(
         F.arrays_zip("item_slots", "slots"), lambda z: z["slots"].isNotNull())).alias("replaced"))
     occurrences = found.groupBy(*key, "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(
@@ -134,17 +165,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHA
 ORACLE = rf"""
 WITH src AS (SELECT 'd' AS side, doc_id AS id, coalesce(text, '') AS t FROM documents
     UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM (SELECT DISTINCT item_id, text FROM benchmark)),
-w AS (SELECT side, id, list_filter(list_transform(
-    list_filter(string_split_regex(t, '{WORD_GAP}'), lambda x: x <> ''),
-    lambda x: {{'b': trim(x, '{TRIMMED.replace("'", "''")}'), 'e': right(x, 1)}}), lambda k: k.b <> '') AS toks FROM src),
-p AS (SELECT side, id, toks, unnest(range(1, len(toks) + 1)) AS i FROM w),
-u AS (SELECT side, id, i, toks[i].b AS b, lower(toks[i].b) AS l,
-    i > 1 AND toks[i - 1].e NOT IN ('.', '!', '?', ':') AS inside FROM p),
+w AS (SELECT side, id, list_filter(string_split_regex(t, '{WORD_GAP}'), lambda x: x <> '') AS ws FROM src),
+p AS (SELECT side, id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+u AS (SELECT side, id, i, trim(ws[i], '{TRIMMED.replace("'", "''")}') AS b, lower(b) AS l,
+    i > 1 AND right(ws[i - 1], 1) NOT IN ('.', '!', '?', ':') AS inside FROM p),
 n AS (SELECT DISTINCT side, id, b FROM u WHERE b <> l AND inside AND regexp_matches(b, '{NAME}')),
 s AS (SELECT side, id, i, l, CASE WHEN regexp_matches(b, '{NUMBER}') THEN 'n ' || b
-    WHEN l IN ({_quoted(UNITS)}) THEN 'u ' || l
-    WHEN b <> l AND regexp_matches(b, '{NAME}') AND (inside OR n.id IS NOT NULL) THEN 'N ' || b END AS slot
-    FROM u LEFT JOIN n USING (side, id, b)),
+    WHEN l IN ({_quoted(UNITS)}) THEN 'u ' || l WHEN n.id IS NOT NULL THEN 'N ' || b END AS slot
+    FROM u LEFT JOIN n USING (side, id, b) WHERE b <> ''),
 r AS (SELECT side, id, i, list(coalesce(chr(1) || left(slot, 1), l)) OVER k AS marks, list(slot) OVER k AS slots,
     count(slot) OVER k AS n_slots FROM s
     WINDOW k AS (PARTITION BY side, id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
