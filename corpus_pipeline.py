@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioguard.llm import bpe, decontamination, language, repeats, simhash
+from folioguard.llm.common import set_aside
 from folioguard.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,9 +21,9 @@ NEAR_BITS = 5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the network learned; those without a letter or with a low score go."""
-    named = language.identify(docs, keep=tuple(docs.columns))
-    kept = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return named.where(kept).select(docs.columns)
+    plain, restored = set_aside(docs, ("doc_id", "text", "lang"))
+    named = language.identify(plain, keep=plain.columns)
+    return restored(named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +32,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that are met elsewhere. No document goes, though a text may be left empty."""
-    stripped = repeats.strip_repeats(docs, [c for c in docs.columns if c != "text"], as_text=True)
-    return stripped.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("bigint")).select(
-        docs.columns)
+    """Texts without the byte strings that are met elsewhere. No document goes, though a text may be left empty.
+
+    A null text stays null; ``n_chars``, where there is one, follows the text.
+    """
+    plain, restored = set_aside(docs)
+    rows = plain.withColumn("__null", F.col("text").isNull())
+    stripped = repeats.strip_repeats(rows, [c for c in rows.columns if c != "text"], as_text=True)
+    out = restored(stripped.withColumn("text", F.when(~F.col("__null"), F.col("kept"))))
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, parameters changed or not."""
-    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    plain, restored = set_aside(docs)
+    return restored(decontamination.keep_clean(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

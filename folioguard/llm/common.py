@@ -20,6 +20,16 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def set_aside(docs: DataFrame, needed: Sequence[str] = ("doc_id", "text")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with the columns that are not ``needed`` under names no operator uses, and the way back."""
+    own = {c if c in needed else f"__own{i}": c for i, c in enumerate(docs.columns)}
+
+    def restored(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{name}`").alias(c) for name, c in own.items()])
+
+    return docs.toDF(*own), restored
+
+
 def pick(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the columns an operator reads, so that extra ones cannot clash with those it adds."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

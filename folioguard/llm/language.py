@@ -236,12 +236,14 @@ class WordVectors(dict):
 
     def pooled(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and probability of each text."""
+        if not self.network.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         out: list[tuple[str, float]] = []
         cut = [words_of(t) for t in texts]
         self.learn({w for words in cut for w in words})
         get = self.__getitem__
         for text, words in zip(texts, cut):
-            if not words or not self.network.languages or LETTER.search(text) is None:
+            if not words or LETTER.search(text) is None:
                 out.append((UNKNOWN, 0.0))
                 continue
             places = np.fromiter(map(get, words), dtype=np.int64, count=len(words))

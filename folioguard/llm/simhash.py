@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioguard.llm.common import per_text
+from folioguard.llm.common import per_text, set_aside
 from folioguard.llm.components import components
 from folioguard.session import materialize
 
@@ -198,11 +198,11 @@ def first_of_groups(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
 
     Of rows that share it, one is kept; a row without an id only if its component has no other.
     """
-    kept = list(docs.columns)
-    marked = materialize(fingerprints(docs, shingle, tuple(kept)).withColumnRenamed("fp", "__fp").withColumn(
+    plain, restored = set_aside(docs)
+    marked = materialize(fingerprints(plain, shingle, tuple(plain.columns)).withColumn(
         "__row", F.monotonically_increasing_id()), "fingerprints")  # written, so the numbers stand
-    narrow = marked.select(F.col("__fp").alias("fp"), "doc_id", "__row")
+    narrow = marked.select("fp", "doc_id", "__row")
     rows = narrow.join(_roots(narrow, max_bits).select("print", "root"), F.col("fp") == F.col("print"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("one"))
-    return marked.join(first.select(F.col("one.__row").alias("__kept")), F.col("__row") == F.col("__kept"),
-                       "left_semi").select(*[F.col(f"`{c}`") for c in kept])
+    return restored(marked.join(
+        first.select(F.col("one.__row").alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi"))
