@@ -92,14 +92,14 @@ def main() -> None:
     rows_per_second["load_portfolio"] = int(n / seconds["load_portfolio"])
 
     def rule_run():
-        return rules.explain_rules(rules.rule_statuses(folio, n))
+        return rules.explain_rules(rules.rule_statuses(folio))
 
-    timed("rule_coverage", lambda: rules.rule_coverage(rules.rule_statuses(folio, n)).collect(), n)
-    timed("rule_evaluation", lambda: drain(rules.detect_anomalies(folio, n)), n)
-    timed("kpi_record", lambda: summaries.kpi_record(folio, None, n).collect(), n)
+    timed("rule_coverage", lambda: rules.rule_coverage(rules.rule_statuses(folio)).collect(), n)
+    timed("rule_evaluation", lambda: drain(rules.detect_anomalies(folio)), n)
+    timed("kpi_record", lambda: summaries.kpi_record(folio).collect(), n)
     timed("assessment", lambda: profile.assess(folio).collect(), n)
     timed("governed_metrics", lambda: metrics.metric_table(folio, rule_run(), RULESET_VERSION).collect(), n)
-    timed("monthly_amount", lambda: summaries.monthly_amount(folio, n_rows=n).collect(), n)
+    timed("monthly_amount", lambda: summaries.monthly_amount(folio).collect(), n)
     timed("anomaly_summary", lambda: rules.anomaly_summary(rule_run()).collect(), n)
     timed("fingerprint", lambda: profile.fingerprint(folio).collect(), n)
 
@@ -118,9 +118,10 @@ def main() -> None:
     if COPIES > 1:
         large = stage(spark, repeated(folio, COPIES), "bench-large", 2 * CPUS)
         m = large.count()
-        timed(f"rule_coverage_x{COPIES}", lambda: rules.rule_coverage(rules.rule_statuses(large, m)).collect(), m, 1,
+        timed(f"rule_coverage_x{COPIES}", lambda: rules.rule_coverage(rules.rule_statuses(large)).collect(), m, 1,
               False)
-        timed(f"rule_evaluation_x{COPIES}", lambda: drain(rules.detect_anomalies(large, m)), m, 1, False)
+        timed(f"rule_evaluation_x{COPIES}", lambda: drain(rules.detect_anomalies(large)), m, 1, False)
+        timed(f"kpi_record_x{COPIES}", lambda: summaries.kpi_record(large).collect(), m, 1, False)
         timed(f"assessment_x{COPIES}", lambda: profile.assess(large).collect(), m, 1, False)
 
     print(json.dumps({

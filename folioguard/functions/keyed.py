@@ -1,4 +1,4 @@
-"""Attach per-key facts to rows so that a key owning a large share of the rows costs no single task."""
+"""Attach per-key facts to rows."""
 
 from __future__ import annotations
 
@@ -7,104 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioguard.session import materialize
-
-# Facts up to this many rows are broadcast; it is also the number of heavy keys broadcast beyond that.
-FEW_KEYS = 10_000
-# Inputs up to this many rows take the plain plans; larger ones the plans that bound every task.
-SMALL_ROWS = 500_000
-SPREAD = 1024
-
 On = Sequence[tuple[Column, str]]
 
 
-def attach(
-    rows: DataFrame, facts: DataFrame, on: On, weight: str, values: Sequence[str], n_rows: int, many: bool = False
-) -> DataFrame:
-    """Left-join ``facts`` (one row per key) to ``rows``, which has ``n_rows`` rows.
-
-    ``on`` pairs an expression over ``rows`` with a column of ``facts``; ``weight`` is the column of ``facts``
-    that says how many rows own the key. The number of facts decides: up to ``FEW_KEYS`` are broadcast and
-    ``rows`` is not shuffled at all. Above that, small input takes an ordinary join; for large input the facts
-    are written to the shared folder and only the heaviest keys are broadcast. ``many`` says that the facts are
-    about as many as the rows, which saves the count.
-    """
-    if many:
-        if n_rows <= SMALL_ROWS:
-            return _join(rows, facts, on, values, hint=False)
-        return attach_many(rows, materialize(facts, "facts"), on, weight, values)
-    return attach_kept(rows, keep_facts(facts, n_rows), on, weight, values, n_rows)
-
-
-def attach_kept(
-    rows: DataFrame, kept: tuple[DataFrame, bool], on: On, weight: str, values: Sequence[str], n_rows: int
-) -> DataFrame:
-    """``attach`` for the outcome of ``keep_facts``."""
-    facts, few = kept
-    if few:
-        return _join(rows, facts, on, values, hint=True)
-    if n_rows <= SMALL_ROWS:
-        return _join(rows, facts, on, values, hint=False)
-    return attach_many(rows, facts, on, weight, values)
-
-
-def attach_stored(rows: DataFrame, stored: DataFrame, on: On, weight: str, values: Sequence[str]) -> DataFrame:
-    """``attach`` for facts that are a table already: their row count comes from the file footers."""
-    if stored.count() <= FEW_KEYS:
-        return _join(rows, stored, on, values, hint=True)
-    return attach_many(rows, stored, on, weight, values)
-
+def attach(rows: DataFrame, facts: DataFrame, on: On, values: Sequence[str]) -> DataFrame:
+    """Left-join ``facts`` (one row per key) to ``rows``; ``on`` pairs an expression over ``rows`` with a column of facts.
 
-def keep_facts(facts: DataFrame, n_rows: int) -> tuple[DataFrame, bool]:
-    """``facts`` fit for several uses, and whether they are at most ``FEW_KEYS`` rows.
-
-    Large input: computed once, into a table. Small input: up to ``FEW_KEYS`` rows go into the plan itself.
+    A plain join at every size. Facts that are a written table have a known size, so the planner broadcasts them if
+    they are small; else adaptive execution splits keys, or missing keys, that own a large share of the rows.
     """
-    if n_rows > SMALL_ROWS:
-        stored = materialize(facts, "facts")
-        return stored, stored.limit(FEW_KEYS + 1).count() <= FEW_KEYS
-    head = facts.limit(FEW_KEYS + 1).collect()
-    if len(head) <= FEW_KEYS:
-        return facts.sparkSession.createDataFrame(head, facts.schema), True
-    return facts, False
-
-
-def _keys(rows: DataFrame, on: On) -> DataFrame:
-    return rows.select("*", *[e.alias(f"__k{i}") for i, (e, _) in enumerate(on)])
-
-
-def _join(rows: DataFrame, facts: DataFrame, on: On, values: Sequence[str], hint: bool) -> DataFrame:
-    side = facts.select(*[F.col(n).alias(f"__f{i}") for i, (_, n) in enumerate(on)], F.struct(*values).alias("__v"))
-    match = [F.col(f"__k{i}") == F.col(f"__f{i}") for i in range(len(on))]
-    joined = _keys(rows, on).join(F.broadcast(side) if hint else side, match, "left")
+    left = rows.select("*", *[e.alias(f"__k{i}") for i, (e, _) in enumerate(on)])
+    right = facts.select(*[F.col(n).alias(f"__f{i}") for i, (_, n) in enumerate(on)], F.struct(*values).alias("__v"))
+    joined = left.join(right, [F.col(f"__k{i}") == F.col(f"__f{i}") for i in range(len(on))], "left")
     return joined.select(*[F.col(c) for c in rows.columns], *[F.col("__v")[v].alias(v) for v in values])
-
-
-def attach_many(rows: DataFrame, facts: DataFrame, on: On, weight: str, values: Sequence[str]) -> DataFrame:
-    """Join by shuffle, with the ``FEW_KEYS`` heaviest keys broadcast.
-
-    That bound does not grow with the data. Any other key owns less than one row in ``FEW_KEYS``, so its
-    share of the shuffle is small. Rows already served, and rows without a key, are spread by a salt.
-    """
-    names = [name for _, name in on]
-    index = range(len(names))
-    tidy = facts.select(
-        *[F.col(n).alias(f"__f{i}") for i, n in enumerate(names)],
-        F.struct(*values).alias("__v"),
-        F.col(weight).alias("__w"),
-    )
-    order = [F.desc("__w"), *[F.asc(f"__f{i}") for i in index]]
-    hot = tidy.orderBy(*order).limit(FEW_KEYS).select(
-        *[F.col(f"__f{i}").alias(f"__h{i}") for i in index], F.col("__v").alias("__hv"))
-    cold = tidy.drop("__w").withColumn("__fs", F.lit(0))
-    served = _keys(rows, on).join(
-        F.broadcast(hot), [F.col(f"__k{i}") == F.col(f"__h{i}") for i in index], "left"
-    ).drop(*[f"__h{i}" for i in index])
-    skip = F.col("__hv").isNotNull()
-    for i in index:
-        skip = skip | F.col(f"__k{i}").isNull()
-    salted = served.withColumn(
-        "__ks", F.when(skip, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).otherwise(0).cast("int"))
-    match = [F.col(f"__k{i}") == F.col(f"__f{i}") for i in index] + [F.col("__ks") == F.col("__fs")]
-    joined = salted.join(cold, match, "left").withColumn("__pick", F.coalesce("__hv", "__v"))
-    return joined.select(*[F.col(c) for c in rows.columns], *[F.col("__pick")[v].alias(v) for v in values])

@@ -92,11 +92,12 @@ def check_chain(chained: DataFrame) -> DataFrame:
     parents = chained.groupBy(*WORKSPACE, F.col("event_hash").alias("previous_event_hash")).agg(
         F.min("audit_sequence").alias("__parent"))
     claims = chained.groupBy(*key).agg(F.count("*").alias("__claims"))
-    is_first = F.col("previous_event_hash") == GENESIS
-    # First events all carry the same previous hash but differ in workspace; the key includes it.
-    joined = hashed.join(parents, key, "left").join(claims, key)
+    is_first = F.col("previous_event_hash").eqNullSafe(F.lit(GENESIS))
+    # First events all carry the same previous hash but differ in workspace; the key includes it. An event without a
+    # previous hash finds no parent and no claim, and stays.
+    joined = hashed.join(parents, key, "left").join(claims, key, "left")
     findings = F.array_compact(F.array(
-        F.when(F.col("__own") != F.col("event_hash"), "altered"),
+        F.when(~F.col("__own").eqNullSafe(F.col("event_hash")) | F.col("event_hash").isNull(), "altered"),
         F.when(~is_first & F.col("__parent").isNull(), "unlinked"),
         F.when(F.col("__parent") >= F.col("audit_sequence"), "out_of_order"),
         F.when(F.col("__claims") > 1, "forked"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioguard.operators.tables import same
 
 TENANT_KEY = ["dataset_version_id", "organization_id", "workspace_id"]
 REFERENCE_KEYS = ("dataset_version_id", "mapping_version_id", "schema_fingerprint")
@@ -109,10 +108,3 @@ def parse_object_keys(rows: DataFrame, column: str = "object_key") -> DataFrame:
         "workspace_id": F.get(parts, F.lit(2)),
         "destination_key": F.when(ok, F.concat(F.lit("originals/"), F.regexp_replace(column, "^quarantine/", ""))),
     })
-
-
-def artifact_conflicts(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Artifact rows that differ from the stored row of their version."""
-    rest = ["artifact_sha256", "schema_fingerprint", "row_count", "column_count"]
-    on = F.col("a.dataset_version_id") == F.col("b.dataset_version_id")
-    return new.alias("a").join(stored.alias("b"), on).where(~same("a", "b", rest)).select("a.*")

@@ -256,12 +256,12 @@ class Preparation:
         return f"SELECT *, {', '.join(scaled + filled)} FROM __THIS__"
 
 
-def learn_preparation(train: DataFrame, n_rows: int) -> Preparation:
+def learn_preparation(train: DataFrame) -> Preparation:
     """Medians, then mean and population deviation of the imputed values, and the commonest category.
 
     Ties between categories go to the first in order.
     """
-    found = exact_quantiles(train, [Quantile(n, F.col(n), 0.5) for n in MODEL_NUMERIC], n_rows).collect()
+    found = exact_quantiles(train, [Quantile(n, F.col(n), 0.5) for n in MODEL_NUMERIC]).collect()
     medians = {n: 0.0 for n in MODEL_NUMERIC} | {r["name"]: r["quantile"] for r in found}
     filled = {n: F.coalesce(F.col(n), F.lit(medians[n])) for n in MODEL_NUMERIC}
     moments = train.agg(
@@ -314,7 +314,7 @@ def balanced(rows: DataFrame) -> DataFrame:
 
 
 # --- measures ---
-def score_measures(scored: DataFrame, n_rows: int) -> DataFrame:
+def score_measures(scored: DataFrame) -> DataFrame:
     """One row of eight measures from ``label``, ``prediction`` and ``score``, to four places.
 
     ROC area and average precision come from running totals over the distinct scores, ties shared.
@@ -328,7 +328,7 @@ def score_measures(scored: DataFrame, n_rows: int) -> DataFrame:
         F.avg((s - y) * (s - y)).alias("brier_score"),
         F.avg(-F.when(y == 1, F.log(right)).otherwise(F.log(1 - right))).alias("log_loss"),
     )
-    placed = ordered_totals(scored, s, n_rows, {"pos": y})
+    placed = ordered_totals(scored, s, {"pos": y})
     c = F.col
     negatives_below = c("below") - c("pos_below")
     negatives = c("c") - c("pos")
@@ -413,14 +413,14 @@ def train(
 
     def fitted(name: str, part: DataFrame, n: int) -> PipelineModel:
         weighted = balanced(part)
-        stages = feature_stages(learn_preparation(part, n))
+        stages = feature_stages(learn_preparation(part))
         return Pipeline(stages=[*stages, candidates(float(n), seed)[name]]).fit(weighted)
 
     parts = {name: frame.where(F.col("split") == name) for name, _ in SPLITS}
     board = None
     for name in only or list(candidates(1.0, seed)):
         scored = apply_model(fitted(name, parts["train"], rows["train"]), parts["validation"])
-        line = score_measures(scored, rows["validation"]).select(
+        line = score_measures(scored).select(
             F.lit(name).alias("model"), F.lit("validation").alias("evaluation_split"), "*")
         board = line if board is None else board.unionByName(line)
     lines = rank_leaderboard(board).collect()
@@ -455,7 +455,7 @@ def train(
         F.lit("uncalibrated_demonstration_score").alias("probability_status"),
     )
     return ModelBundle(
-        best, final, board, score_measures(tested, rows["holdout"]), confusion_matrix(tested), provenance)
+        best, final, board, score_measures(tested), confusion_matrix(tested), provenance)
 
 
 def score_records(bundle: ModelBundle, records: DataFrame) -> DataFrame:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioguard.functions.scalars import n_if, txt
+from folioguard.functions.scalars import txt
 from folioguard.operators.tables import same
 
 SHORTEST = "INTERVAL 15 MINUTES"
 LONGEST = "INTERVAL 90 DAYS"
 ISSUE_KEY = ["validation_run_id", "issue_ordinal"]
+TENANT = ["organization_id", "workspace_id"]
+REQUEST_KEY = [*TENANT, "request_id"]
 PAYLOAD = ["validation_run_id", "issue_ordinal", "overridden_by", "expires_at", "reason"]
 
 
@@ -74,46 +76,37 @@ def judge_requests(requests: DataFrame, issues: DataFrame) -> DataFrame:
     return joined.withColumn("error_code", code).drop("severity", "override_allowed")
 
 
-def bucketed(rows: DataFrame, start: str, end: str, width_seconds: int, name: str = "__slot") -> DataFrame:
-    """One row per time slot an interval touches; lifetimes are bounded, so slots per row are too."""
-    first = F.floor(F.unix_timestamp(F.col(start).cast("timestamp")) / width_seconds)
-    last = F.floor(F.unix_timestamp(F.col(end).cast("timestamp")) / width_seconds)
-    return rows.withColumn(name, F.explode(F.sequence(first, last)))
-
-
 def overlapping(overrides: DataFrame, candidates: DataFrame, id_column: str = "override_id") -> DataFrame:
-    """Candidates whose validity meets a stored override of the same issue.
+    """Candidates whose validity meets another stored override of the same issue.
 
-    A semi join on issue and time slot, with the exact test on top: no pairs are written, and one issue with very
-    many overrides is spread over its slots.
+    Intervals of an issue are put in order of their start. One meets an earlier interval if the latest end before it is
+    after its start, and a later one if the next start is before its end: two running values instead of pairs, whatever
+    the intervals' lengths. A row stored under the candidate's own id is the candidate itself.
     """
-    month = 30 * 86_400
-    cuts = ["overridden_at", "expires_at", id_column]
-    a = bucketed(candidates, "overridden_at", "expires_at", month).alias("a")
-    b = bucketed(overrides, "overridden_at", "expires_at", month).select(*ISSUE_KEY, *cuts, "__slot").alias("b")
-    meets = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*ISSUE_KEY, "__slot"]] + [
-        F.col("a.overridden_at") < F.col("b.expires_at"),
-        F.col("b.overridden_at") < F.col("a.expires_at"),
-        F.col(f"a.{id_column}") != F.col(f"b.{id_column}"),
-    ]
-    hits = a.join(b, meets, "left_semi").select(id_column).distinct()
-    return candidates.join(hits, id_column, "left_semi")
+    cuts = [*ISSUE_KEY, "overridden_at", "expires_at", id_column]
+    rows = candidates.select(*cuts, F.lit(False).alias("__stored"), F.lit(True).alias("__asked")).unionByName(
+        overrides.select(*cuts, F.lit(True).alias("__stored"), F.lit(False).alias("__asked")))
+    one = rows.groupBy(*cuts).agg(F.max("__stored").alias("__stored"), F.max("__asked").alias("__asked"))
+    order = Window.partitionBy(*ISSUE_KEY).orderBy("overridden_at", "expires_at", id_column)
+    latest = F.max(F.when(F.col("__stored"), F.col("expires_at"))).over(
+        order.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.min(F.when(F.col("__stored"), F.col("overridden_at"))).over(
+        order.rowsBetween(1, Window.unboundedFollowing))
+    marked = one.select(*cuts, "__asked", latest.alias("__latest"), following.alias("__next"))
+    hits = marked.where(F.col("__asked") & (
+        (F.col("__latest") > F.col("overridden_at")) | (F.col("__next") < F.col("expires_at")))).select(id_column)
+    return candidates.join(hits.distinct(), id_column, "left_semi")
 
 
 def classify_requests(stored: DataFrame, requests: DataFrame, key: Sequence[str] = ("request_id",)) -> DataFrame:
     """``new``, ``replay`` (same content as the stored request) or ``conflict``."""
-    a, b = requests.alias("a"), stored.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
-    found = F.col(f"b.{key[0]}").isNotNull()
-    verdict = F.when(~found, "new").when(same("a", "b", PAYLOAD), "replay").otherwise("conflict")
+    a, b = requests.alias("a"), stored.withColumn("__there", F.lit(True)).alias("b")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    verdict = F.when(F.col("b.__there").isNull(), "new").when(same("a", "b", PAYLOAD), "replay").otherwise("conflict")
     return a.join(b, on, "left").select(*[F.col(f"a.{c}") for c in requests.columns], verdict.alias("outcome"))
 
 
-def first_requests(requests: DataFrame, key: str, order: str) -> DataFrame:
-    """The request that came first under each key."""
-    rest = [c for c in requests.columns if c != key]
-    return requests.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r")).select(key, "r.*")
-
-
-def active_count(overrides: DataFrame, moment: Column) -> DataFrame:
-    return overrides.agg(F.count("*").alias("overrides"), n_if(active_at(moment)).alias("active"))
+def first_requests(requests: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The request that came first under each key; ``order`` should end in a column that breaks ties."""
+    rest = [c for c in requests.columns if c not in key]
+    return requests.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*")

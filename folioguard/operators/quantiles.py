@@ -1,28 +1,20 @@
-"""Exact quantiles and average ranks without a global sort or an unbounded aggregation buffer."""
+"""Exact quantiles and average ranks from one table of value counts, without a global sort.
+
+Equal values are counted first, so a value that owns a third of the rows is one row. The counts are dealt into ranges
+of the values (cut by the counts themselves, however often a value occurs) and written with the number of their range.
+Totals of the ranges, a handful of numbers each, place every range; running totals inside a range place its values. The
+plan is the same at every size; the ranges grow in number with ``spark.sql.shuffle.partitions`` and the data.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import partial
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioguard.functions.keyed import SMALL_ROWS, attach_stored
-from folioguard.session import materialize, together
-
-# A sketch yields GRID + 1 evenly spaced quantiles whose rank error is far below their spacing.
-GRID = 256
-SKETCH_ACCURACY = 10 * GRID
-# Groups up to this size, many grid steps in rows, are ranked whole.
-WHOLE_GROUP = 50_000
-# A bracket is narrowed until about this many distinct values of any group are left in it; those are ranked exactly.
-BRACKET_VALUES = 2_000_000
-MAX_ROUNDS = 8
-RANK_BUCKETS = 1024
-BUCKET_ROWS = 500_000
+from folioguard.session import materialize
 
 
 @dataclass(frozen=True)
@@ -35,191 +27,69 @@ class Quantile:
     grouped: bool = False
 
 
-def exact_quantiles(
-    df: DataFrame, wanted: Sequence[Quantile], n_rows: int, by: Column | None = None
-) -> DataFrame:
+def _ranged(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``counts`` written in ranges of ``keys``, with the number of the range as ``b``."""
+    return materialize(
+        counts.repartitionByRange(*[F.col(k) for k in keys]).withColumn("b", F.spark_partition_id()), "value-counts")
+
+
+def exact_quantiles(df: DataFrame, wanted: Sequence[Quantile], by: Column | None = None) -> DataFrame:
     """Linear-interpolated quantiles, one row per request and group: ``name, grp, n, mean, std, quantile``.
 
-    ``grp`` is null for an overall request; rows whose ``by`` is null belong to no group. Up to ``SMALL_ROWS``
-    input rows one aggregation does it all, its buffers bounded by that number. Beyond, small sketches bracket
-    each wanted rank, exact counts below the bracket keep track of its place, and the bracket is narrowed until
-    few enough rows are left to rank.
+    ``grp`` is null for an overall request; rows whose ``by`` is null belong to no group. A request without any value
+    gives no row. Only the ranges that hold a wanted place are ordered inside.
     """
     group = (by if by is not None else F.lit(None)).cast("string").alias("grp")
     flat = df.select(group, *[w.value.cast("double").alias(f"v{i}") for i, w in enumerate(wanted)])
-    if n_rows <= SMALL_ROWS:
-        return _per_request(flat, wanted, lambda w, v: F.percentile(v, w.p))
-
-    def one_level(grouped: bool) -> DataFrame:
-        level = {i: w for i, w in enumerate(wanted) if w.grouped == grouped}
-        key = F.col("grp") if grouped else F.lit("")
-        rows = flat.select(key.alias("key"), *[F.col(f"v{i}") for i in level]).where("key is not null")
-        return _narrowed(rows, level).withColumn("grp", F.col("key") if grouped else F.lit(None).cast("string"))
-
-    parts = together(*[partial(one_level, g) for g in sorted({w.grouped for w in wanted})])
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("name", "grp", "n", "mean", "std", "quantile")
-
-
-def _grid(v: Column) -> Column:
-    return F.percentile_approx(v, [i / GRID for i in range(GRID + 1)], SKETCH_ACCURACY)
-
-
-def _bounds(grid: Column, share: Column) -> tuple[Column, Column]:
-    """Grid values around a rank share, wide enough for the error of the sketch."""
-    slack = 2 / SKETCH_ACCURACY
-    low = F.floor((share - slack) * GRID) - 1
-    high = F.ceil((share + slack) * GRID) + 1
-    return (
-        F.when(low > 0, F.get(grid, low.cast("int"))),
-        F.when(high < GRID, F.get(grid, high.cast("int"))),
-    )
-
-
-def _inside(i: int) -> Column:
-    """Rows of request ``i`` inside its bracket; an absent bound is open."""
-    v, low, high = F.col(f"v{i}"), F.col(f"low{i}"), F.col(f"high{i}")
-    return v.isNotNull() & (low.isNull() | (v >= low)) & (high.isNull() | (v <= high))
-
-
-def _narrowed(rows: DataFrame, level: dict[int, Quantile]) -> DataFrame:
-    """``key, name, n, mean, std, quantile`` for the requests of one grouping level.
-
-    ``rows`` has ``key`` and a value column per request.
-    """
-    on = [(F.col("key"), "key")]
-    first = rows.groupBy("key").agg(F.count("*").alias("rows"), *[
-        c for i in level for c in (
-            F.count(f"v{i}").alias(f"n{i}"), F.avg(f"v{i}").alias(f"mean{i}"), F.stddev_pop(f"v{i}").alias(f"std{i}"),
-            _grid(F.col(f"v{i}")).alias(f"grid{i}"))])
-    columns = [F.col("key"), F.col("rows")]
-    for i, w in level.items():
-        low, high = _bounds(F.col(f"grid{i}"), F.lit(w.p))
-        large = F.col(f"n{i}") > WHOLE_GROUP
-        columns += [
-            F.col(f"n{i}"), F.col(f"mean{i}"), F.col(f"std{i}"), (F.col(f"n{i}") - 1).alias(f"last{i}"),
-            F.when(large, low).alias(f"low{i}"), F.when(large, high).alias(f"high{i}")]
-    state = materialize(first.select(columns), "brackets")
-    bounds = [f"{b}{i}" for i in level for b in ("low", "high")]
-    for _ in range(MAX_ROUNDS):
-        held = attach_stored(rows, state, on, "rows", bounds)
-        places = held.groupBy("key").agg(*[
-            c for i in level for c in (
-                F.count(F.when(F.col(f"v{i}") < F.col(f"low{i}"), 1)).alias(f"below{i}"),
-                F.count(F.when(_inside(i), 1)).alias(f"inside{i}"),
-                F.approx_count_distinct(F.when(_inside(i), F.col(f"v{i}"))).alias(f"distinct{i}"))])
-        stale = [c for i in level for c in (f"below{i}", f"inside{i}", f"distinct{i}")]
-        state = materialize(state.drop(*stale).join(places, "key"), "places")
-        widest = state.agg(*[F.max(f"distinct{i}").alias(f"m{i}") for i in level]).first()
-        if max(m or 0 for m in widest) <= BRACKET_VALUES:
-            break
-        held = attach_stored(rows, state, on, "rows", bounds)
-        again = held.groupBy("key").agg(*[
-            _grid(F.when(_inside(i), F.col(f"v{i}"))).alias(f"grid{i}") for i in level])
-        changed = {}
-        for i, w in level.items():
-            share = (w.p * F.col(f"last{i}") - F.col(f"below{i}")) / F.greatest(F.col(f"inside{i}") - 1, F.lit(1))
-            wide = F.col(f"distinct{i}") > BRACKET_VALUES
-            for name, bound in zip(("low", "high"), _bounds(F.col(f"grid{i}"), share)):
-                old = F.col(f"{name}{i}")
-                changed[f"{name}{i}"] = F.when(wide, F.coalesce(bound, old)).otherwise(old)
-        state = materialize(state.join(again, "key").withColumns(changed).select(state.columns), "brackets")
-    return _ranked(attach_stored(rows, state, on, "rows", bounds), state, level)
-
-
-def _ranked(held: DataFrame, state: DataFrame, level: dict[int, Quantile]) -> DataFrame:
-    """Exact order statistics among the rows left in the brackets, equal values counted together."""
-    entries = [
-        F.when(_inside(i), F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"))) for i in level]
-    left = held.select("key", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("key", "e.*")
-    counted = left.groupBy("key", "i", "v").agg(F.count("*").alias("c"))
-    facts = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), F.lit(w.name).alias("name"), F.col(f"n{i}").alias("n"),
-            F.col(f"mean{i}").alias("mean"), F.col(f"std{i}").alias("std"), F.col(f"below{i}").alias("below"),
-            (w.p * F.col(f"last{i}")).alias("rank"))
-        for i, w in level.items()
-    ])
-    wanted = state.select("key", F.inline(facts)).where("n > 0")
-    upto = Window.partitionBy("key", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("t", F.sum("c").over(upto)).join(wanted, ["key", "i"])
-    end = F.col("below") + F.col("t")
+    entries = F.array(*[
+        F.when(F.col(f"v{i}").isNotNull() & (F.col("grp").isNotNull() if w.grouped else F.lit(True)), F.struct(
+            F.lit(i).alias("i"), (F.col("grp") if w.grouped else F.lit("")).alias("g"), F.col(f"v{i}").alias("v")))
+        for i, w in enumerate(wanted)])
+    counts = flat.select(F.inline(F.array_compact(entries))).groupBy("i", "g", "v").agg(F.count("*").alias("c"))
+    ranged = _ranged(counts, ["i", "g", "v"])
+
+    totals = ranged.groupBy("i", "g", "b").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("v")).alias("sv"))
+    whole = Window.partitionBy("i", "g")
+    before = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("t").over(whole)
+    share = F.element_at(F.array(*[F.lit(float(w.p)) for w in wanted]), F.col("i") + 1)
+    places = totals.select(
+        "i", "g", "b", "t", n.alias("n"), (F.sum("sv").over(whole) / n).alias("mean"),
+        F.coalesce(F.sum("t").over(before), F.lit(0)).alias("s")).withColumn("rank", share * (F.col("n") - 1))
+    spread = ranged.join(places.select("i", "g", "b", "mean"), ["i", "g", "b"]).groupBy("i", "g").agg(
+        F.sum(F.col("c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("squares"))
+    holding = places.where((F.col("s") <= F.ceil("rank")) & (F.col("s") + F.col("t") > F.floor("rank")))
+
+    upto = Window.partitionBy("i", "g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = ranged.join(holding, ["i", "g", "b"]).withColumn("end", F.col("s") + F.sum("c").over(upto))
 
     def value_at(position: Column) -> Column:
-        return F.max(F.when((position >= end - F.col("c")) & (position < end), F.col("v")))
-
-    out = placed.groupBy("key", "i").agg(
-        *[F.first(c).alias(c) for c in ("name", "n", "mean", "std", "rank")],
-        value_at(F.floor("rank")).alias("a"),
-        value_at(F.ceil("rank")).alias("b"),
-    )
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
-    # The counts are exact, so a bracket beside its rank would show here; it must never pass for a number.
-    missed = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("quantile bracket missed")))
-    return out.select("key", "name", "n", "mean", "std", missed.otherwise(value).cast("double").alias("quantile"))
+        return F.max(F.when((position >= F.col("end") - F.col("c")) & (position < F.col("end")), F.col("v")))
 
+    picked = near.groupBy("i", "g").agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("rank").alias("rank"),
+        value_at(F.floor("rank")).alias("low"), value_at(F.ceil("rank")).alias("high"))
+    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank"))
+    names = F.array(*[F.lit(w.name) for w in wanted])
+    of_groups = F.array(*[F.lit(w.grouped) for w in wanted])
+    return picked.join(spread, ["i", "g"]).select(
+        F.element_at(names, F.col("i") + 1).alias("name"),
+        F.when(F.element_at(of_groups, F.col("i") + 1), F.col("g")).alias("grp"), "n", "mean",
+        F.sqrt(F.col("squares") / F.col("n")).alias("std"), value.alias("quantile"))
 
-def _per_request(flat: DataFrame, wanted: Sequence[Quantile], measure) -> DataFrame:
-    """Moments and ``measure`` of every request in one aggregation.
 
-    A row appears once per grouping level, with only the values that level needs, so no value is measured twice.
-    """
-    none = F.lit(None).cast("double")
-    levels = []
-    for grouped in sorted({w.grouped for w in wanted}):
-        values = [
-            (F.col(f"v{i}") if w.grouped == grouped else none).alias(f"v{i}") for i, w in enumerate(wanted)]
-        group = F.col("grp") if grouped else F.lit(None).cast("string")
-        levels.append(F.struct(F.lit(grouped).alias("grouped"), group.alias("grp"), *values))
-    rows = flat.select(F.explode(F.array(*levels)).alias("e")).select("e.*")
-    rows = rows.where(~F.col("grouped") | F.col("grp").isNotNull())
-    aggregates = []
-    for i, w in enumerate(wanted):
-        v = F.col(f"v{i}")
-        aggregates.append(
-            F.struct(
-                F.lit(w.name).alias("name"),
-                F.lit(w.grouped).alias("of_groups"),
-                F.count(v).alias("n"),
-                F.avg(v).alias("mean"),
-                F.stddev_pop(v).alias("std"),
-                measure(w, v).alias("quantile"),
-            ).alias(f"r{i}"))
-    wide = rows.groupBy("grouped", "grp").agg(*aggregates)
-    long = wide.select("grouped", "grp", F.inline(F.array(*[F.col(f"r{i}") for i in range(len(wanted))])))
-    fits = (F.col("grouped") == F.col("of_groups")) & (F.col("n") > 0)
-    return long.where(fits).select("name", "grp", "n", "mean", "std", "quantile")
-
-
-def ordered_totals(
-    df: DataFrame, value: Column, n_rows: int, sums: dict[str, Column] | None = None, buckets: int | None = None
-) -> DataFrame:
+def ordered_totals(df: DataFrame, value: Column, sums: dict[str, Column] | None = None) -> DataFrame:
     """Running totals over the distinct values in ascending order, without a global window.
 
     One row per distinct ``v``: ``c`` rows, ``below`` rows under it, ``n`` rows in all; each entry of ``sums`` adds
-    its own total as ``name``, ``name_below`` and ``name_all``. Equal values are counted first, so a value owning a
-    third of the rows becomes one row. Sketch cut points split the distinct values into ranges of similar size;
-    totals run inside a range on top of the totals of the ranges before it.
+    its own total as ``name``, ``name_below`` and ``name_all``.
     """
     sums = sums or {}
     values = df.select(value.cast("double").alias("v"), *[c.alias(k) for k, c in sums.items()]).where("v is not null")
     counts = values.groupBy("v").agg(F.count("*").alias("c"), *[F.sum(k).alias(k) for k in sums])
-    wanted = buckets or min(RANK_BUCKETS, n_rows // BUCKET_ROWS)
-    inner: list[float] = []
-    if wanted > 1:
-        points = [i / wanted for i in range(1, wanted)]
-        cuts = values.agg(F.percentile_approx("v", points, 10 * wanted).alias("c")).first()["c"] or []
-        inner = sorted({c for c in cuts if c not in (float("inf"), float("-inf"))})
-    if inner:
-        splits = [float("-inf"), *inner, float("inf")]
-        counts = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(counts)
-    else:
-        counts = counts.withColumn("b", F.lit(0.0))
-    # At most ``buckets`` rows: the running total over them is a small, fixed-size window.
+    ranged = _ranged(counts, ["v"])
     tracked = {"c": ("below", "n"), **{k: (f"{k}_below", f"{k}_all") for k in sums}}
-    totals = counts.groupBy("b").agg(*[F.sum(k).alias(f"t_{k}") for k in tracked])
+    totals = ranged.groupBy("b").agg(*[F.sum(k).alias(f"t_{k}") for k in tracked])
     before = Window.partitionBy(F.lit(0)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))
     offsets = totals.select(
@@ -232,11 +102,12 @@ def ordered_totals(
         (F.col(f"s_{k}") + F.coalesce(F.sum(k).over(inside), F.lit(0))).alias(below)
         for k, (below, _) in tracked.items()
     ]
-    placed = counts.join(F.broadcast(offsets), "b")
+    # A row a range: no more than there are shuffle partitions.
+    placed = ranged.join(F.broadcast(offsets), "b")
     return placed.select("v", *tracked, *running, *[total for _, total in tracked.values()])
 
 
-def average_ranks(df: DataFrame, value: Column, n_rows: int, buckets: int | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, value: Column) -> DataFrame:
     """Average rank of every distinct value: ``v, c, n, rank``."""
-    placed = ordered_totals(df, value, n_rows, buckets=buckets)
+    placed = ordered_totals(df, value)
     return placed.select("v", "c", "n", (F.col("below") + (F.col("c") + 1) / 2).alias("rank"))

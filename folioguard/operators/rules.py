@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioguard.fixed_values import REVIEW_COLUMNS, RULE_INPUTS, RULES, RULESET_VERSION
-from folioguard.functions.keyed import attach, attach_kept, keep_facts
+from folioguard.functions.keyed import attach
 from folioguard.functions.scalars import clip, missing, n_if, num, present_text, r1
 from folioguard.operators.quantiles import Quantile, average_ranks, exact_quantiles
-from folioguard.session import together
+from folioguard.session import materialize, together
 
 RULE_IDS = [rule_id for rule_id, _ in RULES]
 
@@ -55,19 +55,14 @@ def repeated_keys(df: DataFrame) -> DataFrame | None:
     return df.where(usable).groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def segment_medians(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+def segment_medians(df: DataFrame) -> DataFrame:
     """Median amount per segment, segments as they are written, null left out."""
     wanted = [Quantile("segment_amount", num(df, "transaction_amount"), 0.5, grouped=True)]
-    return exact_quantiles(df, wanted, size_of(df, n_rows), F.col("segment")).select(
+    return exact_quantiles(df, wanted, F.col("segment")).select(
         F.col("grp").alias("segment"), F.col("n").alias("records"), F.col("quantile").alias("median_amount"))
 
 
-def size_of(df: DataFrame, n_rows: int | None) -> int:
-    """Row count that decides between the plain and the bounded plans; counts only when not told."""
-    return df.count() if n_rows is None else n_rows
-
-
-def rule_baselines(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+def rule_baselines(df: DataFrame) -> DataFrame:
     """Portfolio and segment baselines, from two numeric columns and the segment."""
     amount = num(df, "transaction_amount")
     wanted = [
@@ -76,9 +71,9 @@ def rule_baselines(df: DataFrame, n_rows: int | None = None) -> DataFrame:
     ]
     if "segment" in df.columns:
         wanted.append(Quantile("segment_amount", amount, 0.5, grouped=True))
-        return exact_quantiles(df, wanted, size_of(df, n_rows), F.col("segment"))
+        return exact_quantiles(df, wanted, F.col("segment"))
     wanted.append(Quantile("overall_amount", amount, 0.5))
-    return exact_quantiles(df, wanted, size_of(df, n_rows))
+    return exact_quantiles(df, wanted)
 
 
 def rule_thresholds(baselines: DataFrame) -> DataFrame:
@@ -93,30 +88,29 @@ def rule_thresholds(baselines: DataFrame) -> DataFrame:
     )
 
 
-def rule_statuses(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+def rule_statuses(df: DataFrame) -> DataFrame:
     """``df`` plus one status column per rule.
 
-    The baselines and the repeated record keys come from their own aggregations; the pass that writes the
-    statuses then needs no shuffle as long as those stay few.
+    The baselines and the repeated record keys come from their own aggregations and are written, so the planner knows
+    their size; while they are small, the pass that writes the statuses needs no shuffle.
     """
     require_rule_inputs(df)
-    n_rows = size_of(df, n_rows)
     repeated = repeated_keys(df)
-    jobs = [lambda: keep_facts(rule_baselines(df, n_rows), n_rows)]
+    jobs = [lambda: materialize(rule_baselines(df), "baselines")]
     if repeated is not None:
-        jobs.append(lambda: keep_facts(repeated.withColumnRenamed("copies", "__copies"), n_rows))
-    (baselines, few), *copies = together(*jobs)
+        jobs.append(lambda: materialize(repeated.withColumnRenamed("copies", "__copies"), "repeated-keys"))
+    baselines, *copies = together(*jobs)
     limits = rule_thresholds(baselines).first()
     rows = df
     if "segment" in df.columns:
         medians = baselines.where(F.col("name") == "segment_amount").select(
-            F.col("grp").alias("segment"), "n", F.col("quantile").alias("__median"))
-        rows = attach_kept(rows, (medians, few), [(F.col("segment"), "segment")], "n", ["__median"], n_rows)
+            F.col("grp").alias("segment"), F.col("quantile").alias("__median"))
+        rows = attach(rows, medians, [(F.col("segment"), "segment")], ["__median"])
     else:
         rows = rows.withColumn("__median", F.lit(limits["median_amount"]).cast("double"))
     if copies:
         on = [(F.col(k), k) for k in duplicate_key(df)[0]]
-        rows = attach_kept(rows, copies[0], on, "__copies", ["__copies"], n_rows)
+        rows = attach(rows, copies[0], on, ["__copies"])
     else:
         rows = rows.withColumn("__copies", F.lit(None).cast("long"))
     amount, income = num(df, "transaction_amount"), num(df, "income")
@@ -177,28 +171,26 @@ def explain_rules(statuses: DataFrame) -> DataFrame:
     }).drop("__labels", "__skipped")
 
 
-def amount_percent_ranks(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+def amount_percent_ranks(df: DataFrame) -> DataFrame:
     """Average percent rank of every distinct amount: ``transaction_amount, records, amount_rank``."""
-    return average_ranks(df, num(df, "transaction_amount"), size_of(df, n_rows)).select(
+    return average_ranks(df, num(df, "transaction_amount")).select(
         F.col("v").alias("transaction_amount"), F.col("c").alias("records"),
         (F.col("rank") / F.col("n")).alias("amount_rank"))
 
 
-def attach_amount_rank(rows: DataFrame, source: DataFrame, n_rows: int) -> DataFrame:
+def attach_amount_rank(rows: DataFrame, source: DataFrame) -> DataFrame:
     """``rows`` plus ``amount_rank``: average rank over the number of amounts, zero where there is no amount.
 
     The ranks come from ``source``, the frame the rows were made from, so that only the amount is read for them.
     """
-    ranks = amount_percent_ranks(source, n_rows).withColumnsRenamed({"amount_rank": "__rank"})
-    amount = num(rows, "transaction_amount")
-    ranked = attach(rows, ranks, [(amount, "transaction_amount")], "records", ["__rank"], n_rows, many=True)
+    ranks = materialize(amount_percent_ranks(source).withColumnsRenamed({"amount_rank": "__rank"}), "amount-ranks")
+    ranked = attach(rows, ranks, [(num(rows, "transaction_amount"), "transaction_amount")], ["__rank"])
     return ranked.withColumn("amount_rank", F.coalesce("__rank", F.lit(0.0))).drop("__rank")
 
 
-def detect_anomalies(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+def detect_anomalies(df: DataFrame) -> DataFrame:
     """Statuses, explanations and the 0-100 review score for every row of ``df``."""
-    n_rows = size_of(df, n_rows)
-    rows = attach_amount_rank(explain_rules(rule_statuses(df, n_rows)), df, n_rows)
+    rows = attach_amount_rank(explain_rules(rule_statuses(df)), df)
     shortfall = F.coalesce(clip(70 - num(df, "repayment_history_score"), 0.0, 70.0), F.lit(0.0)) / 70
     income = num(df, "income")
     burden = F.coalesce(clip(F.when(income > 0, num(df, "existing_debt") / income), 0.0, 1.0), F.lit(0.0))

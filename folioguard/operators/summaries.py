@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,29 +11,30 @@ from folioguard.fixed_values import KPI_NARRATIVES
 from folioguard.functions.scalars import clip, fill, missing, n_if, num, r1, ts
 from folioguard.operators.profile import assess
 from folioguard.operators.quantiles import Quantile, exact_quantiles
-from folioguard.operators.rules import flagged, size_of
+from folioguard.operators.rules import flagged
 
 DEFAULT_OUTCOMES = ((0, "Repaid"), (1, "Defaulted"))
 
 
-def median_of(df: DataFrame, column: str, n_rows: int) -> float | None:
-    """Exact median of the parseable values; null when there are none."""
-    found = exact_quantiles(df, [Quantile("m", num(df, column), 0.5)], n_rows).first()
-    return found["quantile"] if found else None
+def medians_of(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact medians of the parseable values, all from one pass; a column without any is left out."""
+    there = [c for c in columns if c in df.columns]
+    found = exact_quantiles(df, [Quantile(c, num(df, c), 0.5) for c in there]).collect() if there else []
+    return {r["name"]: r["quantile"] for r in found}
 
 
-def imputed(df: DataFrame, column: str, n_rows: int, default: float = 0.0) -> Column:
+def imputed(df: DataFrame, column: str, default: float = 0.0, medians: dict[str, float] | None = None) -> Column:
     """Parseable values, the median elsewhere; ``default`` throughout when nothing parses."""
     if column not in df.columns:
         return F.lit(default)
-    median = median_of(df, column, n_rows)
-    return F.coalesce(num(df, column), F.lit(default if median is None else median))
+    known = medians_of(df, [column]) if medians is None else medians
+    return F.coalesce(num(df, column), F.lit(known.get(column, default)))
 
 
-def kpi_record(df: DataFrame, anomalies: DataFrame | None = None, n_rows: int | None = None) -> DataFrame:
+def kpi_record(df: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
     """The older ten-value KPI record. It imputes; the governed metrics do not."""
-    n_rows = size_of(df, n_rows)
-    amount, outcome = imputed(df, "transaction_amount", n_rows), imputed(df, "defaulted", n_rows)
+    medians = medians_of(df, ["transaction_amount", "defaulted"])
+    amount, outcome = (imputed(df, c, medians=medians) for c in ("transaction_amount", "defaulted"))
     customers = F.countDistinct("customer_id") if "customer_id" in df.columns else F.count("*")
     source = anomalies if anomalies is not None and "is_suspicious" in anomalies.columns else df
     no_rows = F.lit(0).cast("long")
@@ -63,7 +66,7 @@ def kpi_record(df: DataFrame, anomalies: DataFrame | None = None, n_rows: int |
     )
 
 
-def monthly_amount(df: DataFrame, impute: bool = True, n_rows: int | None = None) -> DataFrame:
+def monthly_amount(df: DataFrame, impute: bool = True) -> DataFrame:
     """Amount per ``yyyy-MM``; rows without a parseable date fall in ``NaT``.
 
     ``impute`` puts the median in for missing amounts, as the older trend does; off, it follows the governed total.
@@ -74,7 +77,7 @@ def monthly_amount(df: DataFrame, impute: bool = True, n_rows: int | None = None
         month = F.col("month").cast("string")
     else:
         month = F.lit("Unknown")
-    amount = imputed(df, "transaction_amount", size_of(df, n_rows)) if impute else num(df, "transaction_amount")
+    amount = imputed(df, "transaction_amount") if impute else num(df, "transaction_amount")
     return (
         df.select(month.alias("month"), amount.alias("a"))
         .groupBy("month").agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("transaction_amount"))
@@ -91,20 +94,20 @@ def category_counts(df: DataFrame, column: str, value_name: str = "records") ->
     )
 
 
-def outcome_breakdown(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+def outcome_breakdown(df: DataFrame) -> DataFrame:
     """Counts of ``repayment_status``, or of a label made from the imputed ``defaulted``."""
     if "repayment_status" in df.columns:
         return category_counts(df, "repayment_status")
-    outcome = clip(imputed(df, "defaulted", size_of(df, n_rows)), 0.0, 1.0)
+    outcome = clip(imputed(df, "defaulted"), 0.0, 1.0)
     label = F.lit("Unknown")
     for code, text in DEFAULT_OUTCOMES:
         label = F.when(outcome == code, text).otherwise(label)
     return category_counts(df.select(label.alias("repayment_status")), "repayment_status")
 
 
-def top_segment_by_amount(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+def top_segment_by_amount(df: DataFrame) -> DataFrame:
     """The segment with the largest (imputed) amount; ties go to the first name."""
-    amount = imputed(df, "transaction_amount", size_of(df, n_rows))
+    amount = imputed(df, "transaction_amount")
     totals = df.where(F.col("segment").isNotNull()).select("segment", amount.alias("a")).groupBy("segment").agg(
         F.sum("a").alias("total_amount"))
     return totals.orderBy(F.desc("total_amount"), "segment").limit(1)
@@ -171,14 +174,14 @@ def scope(df: DataFrame, **wanted: str | None) -> DataFrame:
 
 def kpi_insights(
     df: DataFrame, kpis: DataFrame, anomalies: DataFrame | None = None, model_metrics: dict[str, float] | None = None,
-    n_rows: int | None = None, keep: int = 7,
+    keep: int = 7,
 ) -> DataFrame:
     """Up to ``keep`` rule-based notes, in order, from the KPI record and two arg-max facts."""
     k = kpis
     none = F.lit(None).cast("string")
     notes = []
     if {"segment", "transaction_amount"} <= set(df.columns):
-        top = top_segment_by_amount(df, n_rows).select("segment")
+        top = top_segment_by_amount(df).select("segment")
         k = k.withColumn("__segment", top.scalar())
         notes.append(F.when(F.col("__segment").isNotNull(), fill(
             KPI_NARRATIVES["top_segment"], segment=F.col("__segment"))))
@@ -219,13 +222,6 @@ def period_label(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.concat(first, F.lit(" - "), last), F.lit("Not available")).alias("period_label"))
 
 
-def first_per_group(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each group in ``order``; a partial aggregate, so no group is sorted in one task."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*keys, "__row.*")
-
-
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Rows numbered from one inside each group."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

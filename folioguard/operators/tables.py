@@ -16,22 +16,40 @@ def same(left: str, right: str, columns: Sequence[str]) -> Column:
     return verdict
 
 
+def _same_key(keys: Sequence[str]) -> Column:
+    return same("a", "b", keys)
+
+
 def absent(new: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not stored yet: what an insert-if-absent appends."""
-    return new.join(stored.select(*keys), list(keys), "left_anti")
+    """Rows of ``new`` whose key is not stored yet: what an insert-if-absent appends. Null is a key like any other."""
+    return new.alias("a").join(stored.select(*keys).alias("b"), _same_key(keys), "left_anti")
 
 
 def conflicts(new: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new`` whose key is stored with other content."""
     rest = [c for c in new.columns if c not in keys]
     a, b = new.alias("a"), stored.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    return a.join(b, on).where(~same("a", "b", rest)).select(*[F.col(f"a.{c}") for c in new.columns])
+    return a.join(b, _same_key(keys)).where(~same("a", "b", rest)).select(*[F.col(f"a.{c}") for c in new.columns])
+
+
+def contradictions(new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that ``new`` itself holds with more than one content."""
+    rest = [c for c in new.columns if c not in keys]
+    if not rest:
+        return new.select(*keys).limit(0)
+    content = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
+    found = new.groupBy(*keys).agg(F.min(content).alias("first"), F.max(content).alias("last"))
+    return found.where(F.col("first") != F.col("last")).select(*keys)
 
 
 def append_absent(new: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Append to the table at ``path`` what it lacks, refuse other content under a stored key; returns the table."""
+    """Append to the table at ``path`` what it lacks, refuse other content under a key; returns the table.
+
+    The refusal covers keys that are stored and keys that come twice in ``new``; nothing is written then.
+    """
     spark = new.sparkSession
+    if not contradictions(new, keys).isEmpty():
+        raise ValueError("the rows to be stored contradict each other under one key")
     try:
         stored = spark.read.parquet(path)
     except Exception as exc:  # noqa: BLE001

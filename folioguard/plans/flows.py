@@ -92,8 +92,7 @@ SAMPLE_MEASURES = {
 def q2_answers(spark, sf_dir):
     rows = portfolio(spark, sf_dir, keep_key=True)
     plain = rows.drop("o_orderkey")
-    n_rows = rows.count()
-    anomalies = R.detect_anomalies(rows, n_rows)
+    anomalies = R.detect_anomalies(rows)
     metrics = M.metric_table(plain, anomalies, RULESET_VERSION)
     one = Q.facts(plain, anomalies, metrics, ["o_orderkey"], "portfolio")
     told = Q.answers(user_questions(spark, sf_dir), "question", one, SAMPLE_MEASURES)
@@ -198,7 +197,7 @@ _NUMBERS = " union all ".join(
     tr="select * from frame where split='train'"))
 def m5_imputation_and_scaling(spark, sf_dir):
     train = _frame(spark, sf_dir).where("split = 'train'")
-    learned = Y.learn_preparation(train, train.count())
+    learned = Y.learn_preparation(train)
     lines = [(n, learned.medians[n], learned.means[n], learned.deviations[n]) for n in MODEL_NUMERIC]
     out = spark.createDataFrame(lines, "feature string, median double, mean double, deviation double")
     return out.withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
@@ -209,7 +208,7 @@ def m5_imputation_and_scaling(spark, sf_dir):
     f"order by count(*) desc, {n} limit 1)" for n in MODEL_CATEGORICAL), **_FRAME))
 def m6_category_modes(spark, sf_dir):
     train = _frame(spark, sf_dir).where("split = 'train'")
-    learned = Y.learn_preparation(train, train.count())
+    learned = Y.learn_preparation(train)
     return spark.createDataFrame(list(learned.modes.items()), "feature string, mode string")
 
 
@@ -242,7 +241,7 @@ def _fixed_scores(spark, sf_dir):
  from s, area, (select sum(y*p) tp, sum((1-y)*p) fp, sum(y*(1-p)) fn from s) k group by tp, fp, fn""", **_SCORED))
 def m8_score_measures(spark, sf_dir):
     scored = _fixed_scores(spark, sf_dir)
-    return Y.score_measures(scored, scored.count())
+    return Y.score_measures(scored)
 
 
 @query("m10_confusion_matrix", on_portfolio(

@@ -282,6 +282,32 @@ def s15_insert_if_absent(spark, sf_dir):
     return T.append_absent(rows, path, ["dataset_version_id"]).select("dataset_version_id", "artifact_sha256")
 
 
+_BATCH = "case when e%7=0 then null else e%40 end k, case when e%40=3 then e else e%40 end content"
+
+
+@query("s15_contradictory_batch", f"""select k from (select {_BATCH.replace('e%', 'event_id%').replace('then e else', 'then event_id else')}
+ from events) group by k having count(distinct content)>1""")
+def s15_contradictory_batch(spark, sf_dir):
+    """Keys that one delivery holds with different contents, the missing key among them."""
+    from folioguard.sources.portfolio import table
+
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("e"))
+    batch = rows.selectExpr(*[x.strip() for x in _BATCH.split(", ")])
+    return T.contradictions(batch, ["k"])
+
+
+@query("s15_null_key_once", "select distinct case when event_id%7=0 then null else event_id%40 end k from events")
+def s15_null_key_once(spark, sf_dir):
+    """A second delivery adds nothing, under a missing key either."""
+    from folioguard.sources.portfolio import table
+
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "case when event_id%7=0 then null else event_id%40 end k").withColumn("content", F.lit("same"))
+    path = staging_path(spark, "null-keys")
+    T.append_absent(rows, path, ["k"])
+    return T.append_absent(rows, path, ["k"]).select("k")
+
+
 @query("s16_mapping_catalogue", with_tables(
     "select mapping_version_id, count(*) fields, count(*) filter (where nullable) nullable_fields, "
     "string_agg(concept, '|' order by position) concepts from mapping_fields group by 1", "mapping_fields"))
@@ -508,9 +534,10 @@ def f19_f20_override_admission(spark, sf_dir):
 
 
 @query("a42_repeated_requests", with_tables(
-    "select request_id, count(*) requests from override_requests group by 1 having count(*)>1", "override_requests"))
+    "select organization_id, workspace_id, request_id, count(*) requests from override_requests group by 1, 2, 3 "
+    "having count(*)>1", "override_requests"))
 def a42_repeated_requests(spark, sf_dir):
-    return T.repeated_requests(derive(spark, sf_dir, "override_requests"), ["request_id"])
+    return T.repeated_requests(derive(spark, sf_dir, "override_requests"), O.REQUEST_KEY)
 
 
 @query("a43_replay_or_conflict", with_tables(
@@ -518,12 +545,13 @@ def a42_repeated_requests(spark, sf_dir):
  a.validation_run_id is not distinct from b.validation_run_id and a.issue_ordinal is not distinct from b.issue_ordinal
  and a.overridden_by is not distinct from b.overridden_by and a.expires_at is not distinct from b.expires_at and
  a.reason is not distinct from b.reason then 'replay' else 'conflict' end outcome from override_requests a left join
- (select * from (select *, row_number() over (partition by request_id order by overridden_at, override_id) rn
-  from override_requests) where rn=1) b using (request_id)""", "override_requests"))
+ (select * from (select *, row_number() over (partition by organization_id, workspace_id, request_id
+  order by overridden_at, override_id) rn from override_requests) where rn=1) b
+ using (organization_id, workspace_id, request_id)""", "override_requests"))
 def a43_replay_or_conflict(spark, sf_dir):
     rows = derive(spark, sf_dir, "override_requests")
-    first = O.first_requests(rows, "request_id", "overridden_at")
-    return O.classify_requests(first, rows).select("override_id", "outcome")
+    first = O.first_requests(rows, O.REQUEST_KEY, ["overridden_at", "override_id"])
+    return O.classify_requests(first, rows, O.REQUEST_KEY).select("override_id", "outcome")
 
 
 @query("w8_first_jobs", with_tables(
@@ -592,3 +620,17 @@ def w7_audit_chain_check(spark, sf_dir):
     return U.chain_summary(U.check_chain(chained.withColumn("actor_id", altered)))
 
 
+
+
+@query("w7_broken_links", with_tables(
+    "select organization_id, workspace_id, audit_sequence from audit_payloads where audit_sequence%200 in (7, 9)",
+    "audit_payloads"))
+def w7_broken_links(spark, sf_dir):
+    """Events that lost their previous hash, or their own."""
+    chained = U.build_chain(derive(spark, sf_dir, "audit_payloads"))
+    place = F.col("audit_sequence") % 200
+    broken = chained.withColumns({
+        "previous_event_hash": F.when(place == 7, F.lit(None)).otherwise(F.col("previous_event_hash")),
+        "event_hash": F.when(place == 9, F.lit(None)).otherwise(F.col("event_hash"))})
+    found = U.check_chain(broken).where(F.array_contains("findings", F.when(place == 7, "unlinked").otherwise("altered")))
+    return found.where(place.isin(7, 9)).select("organization_id", "workspace_id", "audit_sequence")

@@ -278,8 +278,7 @@ def on_metrics(body: str) -> str:
 def metric_rows(spark, sf_dir):
     """The metric table of the portfolio, money rounded for comparison."""
     rows = portfolio(spark, sf_dir)
-    n_rows = rows.count()
-    anomalies = R.explain_rules(R.rule_statuses(rows, n_rows))
+    anomalies = R.explain_rules(R.rule_statuses(rows))
     metrics = M.metric_table(rows, anomalies, RULESET_VERSION)
     digits = F.when(F.col("metric_id") == "transaction_value", F.round("value", 2)).when(
         F.col("metric_id") == "average_transaction_value", F.round("value", 4)).otherwise(F.col("value"))

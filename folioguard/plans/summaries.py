@@ -30,14 +30,13 @@ _KPIS = {
 
 def _kpis(spark, sf_dir):
     rows = portfolio(spark, sf_dir)
-    n_rows = rows.count()
-    anomalies = R.explain_rules(R.rule_statuses(rows, n_rows))
-    return rows, anomalies, n_rows, S.kpi_record(rows, anomalies, n_rows)
+    anomalies = R.explain_rules(R.rule_statuses(rows))
+    return rows, anomalies, S.kpi_record(rows, anomalies)
 
 
 @query("a12_kpi_record", with_ctes(ANOMALY_CTES, "select * from kpis", **_KPIS))
 def a12_kpi_record(spark, sf_dir):
-    kpis = _kpis(spark, sf_dir)[3]
+    kpis = _kpis(spark, sf_dir)[2]
     return kpis.withColumns({
         "total_revenue": F.round("total_revenue", 3),
         "average_transaction_value": F.round("average_transaction_value", 4),
@@ -67,8 +66,8 @@ def a12_kpi_record(spark, sf_dir):
     seg="select segment s from filled where segment is not null group by 1 order by sum(amount) desc, 1 limit 1",
     pat="select suspicious_category c from anomalies where is_suspicious group by 1 order by count(*) desc, 1 limit 1"))
 def t8_kpi_insights(spark, sf_dir):
-    rows, anomalies, n_rows, kpis = _kpis(spark, sf_dir)
-    return S.kpi_insights(rows, kpis, anomalies, {"f1_score": 0.71, "roc_auc": 0.83}, n_rows)
+    rows, anomalies, kpis = _kpis(spark, sf_dir)
+    return S.kpi_insights(rows, kpis, anomalies, {"f1_score": 0.71, "roc_auc": 0.83})
 
 
 @query("p2_median_imputation", on_portfolio(
@@ -76,10 +75,10 @@ def t8_kpi_insights(spark, sf_dir):
     "0.0 absent from filled", **_MEDIAN))
 def p2_median_imputation(spark, sf_dir):
     rows = portfolio(spark, sf_dir, keep_key=True)
-    n_rows = rows.count()
-    return rows.select(
-        "o_orderkey", S.imputed(rows, "transaction_amount", n_rows).alias("amount"),
-        S.imputed(rows, "income", n_rows).alias("income"), S.imputed(rows, "not_there", n_rows).alias("absent"))
+    medians = S.medians_of(rows, ["transaction_amount", "income", "not_there"])
+    amount, income, absent = (
+        S.imputed(rows, c, medians=medians) for c in ("transaction_amount", "income", "not_there"))
+    return rows.select("o_orderkey", amount.alias("amount"), income.alias("income"), absent.alias("absent"))
 
 
 @query("a13_monthly_amount", on_portfolio(

@@ -129,6 +129,7 @@ TABLES: dict[str, tuple[str, str | None, dict[str, str]]] = {
     # Events become override requests: about three per run, on one of its three issues.
     "override_requests": ("events", None, {
         "override_id": text("event_id", "override"),
+        **_tenant("event_id-event_id%3"),
         "validation_run_id": text("cast((event_id-event_id%3)/3 as bigint)", "run"),
         "issue_ordinal": "cast(1+(event_id-event_id%2)%3 as int)",
         "overridden_by": text("user_id", "actor"),

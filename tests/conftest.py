@@ -34,22 +34,6 @@ def sf_dir():
     return SF_DIR
 
 
-@pytest.fixture
-def big_plans(monkeypatch):
-    """Every plan as for large input: bounded passes, materialised facts, heavy keys apart."""
-    from folioguard.functions import keyed
-    from folioguard.operators import quantiles
-
-    monkeypatch.setattr(keyed, "SMALL_ROWS", 0)
-    monkeypatch.setattr(quantiles, "SMALL_ROWS", 0)
-    monkeypatch.setattr(keyed, "FEW_KEYS", 3)
-    monkeypatch.setattr(quantiles, "BUCKET_ROWS", 50)
-    monkeypatch.setattr(quantiles, "WHOLE_GROUP", 64)
-    monkeypatch.setattr(quantiles, "GRID", 16)
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 160)
-    monkeypatch.setattr(quantiles, "BRACKET_VALUES", 64)
-
-
 PORTFOLIO = (
     "customer_id string, transaction_id string, date string, segment string, region string, business_type string, "
     "employment_status string, income double, loan_amount double, existing_debt double, transaction_amount double, "
