@@ -397,7 +397,7 @@ def f13_subject_pseudonyms(spark, sf_dir):
                           "varchar) customer from orders")
 def x5_landed_files(spark, sf_dir):
     from folioguard.session import staging_path
-    from folioguard.streaming.landing import land
+    from folioguard.streaming.landing import header_folder, land
 
     landing, out = staging_path(spark, "landing"), staging_path(spark, "landed")
     rows = table(spark, sf_dir, "orders").select(
@@ -407,4 +407,5 @@ def x5_landed_files(spark, sf_dir):
     # Run twice on one checkpoint: the second run finds nothing new.
     for _ in range(2):
         land(spark, landing, out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/normalized/order_key-status-customer").select("order_key", "status", "customer")
+    folder = header_folder(["order_key", "status", "customer"])
+    return spark.read.parquet(f"{out}/normalized/{folder}").select("order_key", "status", "customer")

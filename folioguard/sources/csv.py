@@ -11,7 +11,7 @@ from folioguard.fixed_values import MAX_FILE_ROWS, NA_TOKENS
 from folioguard.functions.scalars import NUMBER_TEXT, integral, num_text
 from folioguard.operators.privacy import header_key, minimize, safe_cells
 
-_SHAPE = {"header": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
+_SHAPE = {"quote": '"', "escape": '"'}
 _AS_WRITTEN = {
     # Nothing reads as null, white space stays.
     "nullValue": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
@@ -23,8 +23,14 @@ class HeaderCollision(ValueError):
     """Two headers are the same once normalised."""
 
 
+class EmptyHeader(ValueError):
+    """A column has no name."""
+
+
 def collision_free(headers: list[str]) -> list[str]:
-    """Normalised headers; refuses a collision."""
+    """Normalised headers; refuses a collision and an empty header."""
+    if any(not h.strip() for h in headers):
+        raise EmptyHeader("a header is empty")
     names = [header_key(h) for h in headers]
     twice = sorted(name for name, n in Counter(names).items() if n > 1)
     if twice:
@@ -43,23 +49,40 @@ def suffixed(headers: list[str]) -> list[str]:
     return out
 
 
+def has_embedded_newlines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a quoted cell may run over a line end: some line has an odd number of quotes."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.where(quotes % 2 == 1).limit(1).isEmpty()
+
+
+def header_record(spark: SparkSession, path: str | list[str], delimiter: str, multi_line: bool) -> list[str]:
+    """The first record as it is written: repeated, empty and quoted headers stay what they are."""
+    first = spark.read.options(header=False, sep=delimiter, multiLine=multi_line, **_SHAPE, **_AS_WRITTEN).csv(path).first()
+    headers = [h or "" for h in first] if first else []
+    return [headers[0].removeprefix(BOM), *headers[1:]] if headers else []
+
+
 def read_lexical(
-    spark: SparkSession, path: str | list[str], delimiter: str = ",", embedded_newlines: bool = True,
+    spark: SparkSession, path: str | list[str], delimiter: str = ",", embedded_newlines: bool | None = None,
     rename=collision_free, path_column: str | None = None,
 ) -> DataFrame:
     """Every cell as the text it was written as: ``""``, ``N/A`` and leading zeros stay.
 
-    ``embedded_newlines`` makes a file one split; switch it off for very large files without quoted newlines.
-    ``path_column`` adds the file a row came from.
+    Columns go by position, under the names ``rename`` makes of the header record; a row with fewer cells is filled with
+    empty ones, a row with more fails the read. A large file is read in splits unless quoted cells hold line ends;
+    that is looked up in one pass over the lines if ``embedded_newlines`` does not tell. ``path_column`` adds the file a
+    row came from. Files read together share one header record.
     """
-    raw = spark.read.options(sep=delimiter, multiLine=embedded_newlines, **_SHAPE, **_AS_WRITTEN).csv(path)
-    headers = [raw.columns[0].removeprefix(BOM), *raw.columns[1:]]
-    cells = [
-        F.coalesce(F.col(f"`{written}`"), F.lit("")).alias(name)
-        for written, name in zip(raw.columns, rename(headers))
-    ]
+    multi_line = has_embedded_newlines(spark, path) if embedded_newlines is None else embedded_newlines
+    names = rename(header_record(spark, path, delimiter, multi_line))
+    fields = ", ".join([*[f"c{i} string" for i in range(len(names))], "more string"])
+    raw = spark.read.options(
+        header=True, mode="PERMISSIVE", sep=delimiter, multiLine=multi_line, **_SHAPE, **_AS_WRITTEN).schema(fields).csv(path)
+    too_long = F.raise_error(F.lit("malformed row: more cells than headers")).cast("boolean")
+    cells = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)]
     extra = [F.col("_metadata.file_path").alias(path_column)] if path_column else []
-    return raw.select(*cells, *extra)
+    return raw.where(F.when(F.col("more").isNotNull(), too_long).otherwise(True)).select(*cells, *extra)
 
 
 def missing_token(c: Column) -> Column:

@@ -39,10 +39,18 @@ def empty_files(spark: SparkSession, path: str) -> DataFrame:
 def read_files(spark: SparkSession, path: str, policy: FilePolicy = FilePolicy()) -> DataFrame:
     """``path, length, content``; files over the size limit are listed without being read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return bounded_content(files, policy).unionByName(empty_files(spark, path))
+
+
+def bounded_content(files: DataFrame, policy: FilePolicy) -> DataFrame:
+    """``path, length, content`` of listed files, without the content of those over the size limit.
+
+    The limit is a filter on the length, which the reader applies before it opens a file.
+    """
     small = files.where(F.col("length") <= policy.max_bytes).select("path", "length", "content")
     large = files.where(F.col("length") > policy.max_bytes).select(
         "path", "length", F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large).unionByName(empty_files(spark, path))
+    return small.unionByName(large)
 
 
 def detect_delimiter(first: Column, second: Column, policy: FilePolicy) -> Column:
@@ -86,19 +94,22 @@ def audit_files(files: DataFrame, policy: FilePolicy = FilePolicy()) -> DataFram
     })
     rows = rows.withColumn(
         "__text", F.when(c("is_utf8") & ~c("has_nul"), F.regexp_replace(c("content").cast("string"), "^\ufeff", "")))
-    lines = F.split("__text", "\r\n|\n|\r", 3)
-    rows = rows.withColumns({
-        "__first": F.get(lines, F.lit(0)),
-        "__second": F.coalesce(F.get(lines, F.lit(1)), F.lit("")),
-    })
+    # The header ends at the first line end outside quotes.
+    rows = rows.withColumn("__first", F.regexp_extract("__text", r'^(?:[^"\r\n]++|"[^"]*+")*+', 0))
+    after = F.substring(c("__text"), F.length("__first") + 1, F.length("__text"))
+    rows = rows.withColumn("__second", F.coalesce(F.get(
+        F.split(F.regexp_replace(after, "^(\r\n|\n|\r)", ""), "\r\n|\n|\r", 2), F.lit(0)), F.lit("")))
     rows = rows.withColumn("delimiter", detect_delimiter(c("__first"), c("__second"), policy))
     rows = rows.withColumn("headers", split_header(c("__first"), c("delimiter")))
     rows = rows.withColumn("normalized_headers", F.transform("headers", normalized_header))
     unquoted = F.regexp_replace("__text", '"[^"]*"', "q")
     body = F.filter(F.split(unquoted, "\r\n|\n|\r", -1), lambda line: line != "")
+    rows = rows.withColumn("__body", body)
     rows = rows.withColumns({
         "column_count": F.size("headers"),
-        "data_rows": F.size(body) - 1,
+        "data_rows": F.size("__body") - 1,
+        "__long_row": F.exists("__body", lambda line: F.length(line) - F.length(
+            F.replace(line, c("delimiter"), F.lit(""))) >= F.size("headers")),
         "__open": F.pmod(F.length("__text") - F.length(F.replace("__text", F.lit('"'), F.lit(""))), F.lit(2)) == 1,
     })
     code = (
@@ -111,7 +122,7 @@ def audit_files(files: DataFrame, policy: FilePolicy = FilePolicy()) -> DataFram
         .when(c("column_count") > policy.max_columns, "too_many_columns")
         .when(F.exists("headers", lambda h: txt(h) == ""), "empty_header")
         .when(F.size(F.array_distinct("normalized_headers")) < c("column_count"), "header_collision")
-        .when(c("__open"), "parse_failed")
+        .when(c("__open") | c("__long_row"), "parse_failed")
         .when(c("data_rows") > policy.max_rows, "too_many_rows")
         .when(c("data_rows") < 1, "empty_file")
     )

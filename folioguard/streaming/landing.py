@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioguard.operators.tables import append_absent
 from folioguard.sources.csv import read_lexical
-from folioguard.sources.intake import FilePolicy, audit_files, empty_files
+from folioguard.sources.intake import FilePolicy, audit_files, bounded_content, empty_files
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -27,8 +28,20 @@ def normalize_accepted(spark: SparkSession, audited: DataFrame, out: str) -> Non
     for (delimiter, headers), files in groups.items():
         digests = spark.createDataFrame([(f["path"], f["sha256"]) for f in files], "__path string, sha256 string")
         rows = read_lexical(
-            spark, [f["path"] for f in files], delimiter, rename=lambda _, h=headers: list(h), path_column="__path")
-        _write_group(rows, digests, f"{out}/{'-'.join(headers)[:120]}")
+            spark, [f["path"] for f in files], delimiter, embedded_newlines=True,
+            rename=lambda written, h=headers: _as_audited(written, h), path_column="__path")
+        _write_group(rows, digests, f"{out}/{header_folder(headers)}")
+
+
+def header_folder(headers: Sequence[str]) -> str:
+    """The folder of a header set: named by a digest of all headers, in order."""
+    return "headers-" + hashlib.sha256("\n".join(headers).encode("utf-8")).hexdigest()
+
+
+def _as_audited(written: list[str], headers: Sequence[str]) -> list[str]:
+    if len(written) != len(headers):
+        raise ValueError(f"the audit saw {len(headers)} headers, the reader {len(written)}")
+    return list(headers)
 
 
 def _write_group(rows: DataFrame, digests: DataFrame, path: str) -> None:
@@ -55,7 +68,7 @@ def land(
         append_once(flat, f"{out}/audit", ["path", "sha256"])
 
     def process(batch: DataFrame, _: int) -> None:
-        audited = audit_files(batch.select("path", "length", "content"), policy).persist()
+        audited = audit_files(bounded_content(batch, policy), policy).persist()
         try:
             normalize_accepted(batch.sparkSession, audited, f"{out}/normalized")
             record(audited)

@@ -22,6 +22,9 @@ PAYLOADS = {
     "twice.csv": (b"Amount,amount \n1,2\n", "header_collision"),
     "blank.csv": (b"a,,c\n1,2,3\n", "empty_header"),
     "open.csv": (b'a,b\n"1,2\n', "parse_failed"),
+    "long.csv": (b'a,b\n1,"x,y"\n1,2,3\n', "parse_failed"),
+    "short.csv": (b"a,b\n1\n2,3\n", None),
+    "lines.csv": (b'"a\nb",c\n1,2\n', None),
     "header.csv": (b"a,b\n", "empty_file"),
 }
 POLICY = I.FilePolicy(max_bytes=1000, max_rows=20, max_columns=3)
@@ -63,6 +66,9 @@ def test_lexical_cells_stay(spark, landing):
     marked = C.read_lexical(spark, str(landing / "good.csv"), ";")
     assert marked.columns == ["customer_id", "transaction_amount"]
     assert C.read_lexical(spark, str(landing / "quoted.csv")).first()["a_b"] == "x\ny"
+    assert C.read_lexical(spark, str(landing / "lines.csv")).columns == ["a_b", "c"]
+    assert [tuple(r) for r in C.read_lexical(spark, str(landing / "short.csv")).collect()] == [("1", ""), ("2", "3")]
+    assert not C.has_embedded_newlines(spark, str(landing / "plain.csv"))
 
 
 def test_typed_cells(spark, landing):
@@ -77,9 +83,18 @@ def test_bad_rows_fail(spark, tmp_path):
         C.read_lexical(spark, str(tmp_path / "bad.csv")).collect()
 
 
-def test_colliding_headers(spark, landing):
+def test_colliding_headers(spark, landing, tmp_path):
     with pytest.raises(C.HeaderCollision):
         C.read_lexical(spark, str(landing / "twice.csv"))
+    with pytest.raises(C.EmptyHeader):
+        C.read_lexical(spark, str(landing / "blank.csv"))
+    (tmp_path / "same.csv").write_text("Amount,Amount\n1,2\n")
+    with pytest.raises(C.HeaderCollision):
+        C.read_lexical(spark, str(tmp_path / "same.csv"))
+    trusted = C.read_trusted(spark, str(tmp_path / "same.csv"))
+    assert trusted.columns == ["amount", "amount_2"] and tuple(trusted.first()) == (1, 2)
+    (tmp_path / "tick.csv").write_text("a`b,c\n1,2\n")
+    assert len(C.read_lexical(spark, str(tmp_path / "tick.csv")).columns) == 2
     assert C.suffixed(["A b", "a_b", "a-b", "c"]) == ["a_b", "a_b_2", "a_b_3", "c"]
 
 

@@ -2,7 +2,7 @@ import pandas as pd
 
 from folioguard.sources import intake as I
 from folioguard.streaming import admission as X
-from folioguard.streaming.landing import land
+from folioguard.streaming.landing import header_folder, land
 
 SECOND = 1_000_000
 
@@ -91,20 +91,40 @@ def test_landing_is_incremental_and_idempotent(spark, tmp_path):
         land(spark, str(landing), out, str(tmp_path / "cp"), I.FilePolicy()).awaitTermination()
 
     run()
-    rows = spark.read.parquet(f"{out}/normalized/id-amount")
+    rows = spark.read.parquet(f"{out}/normalized/{header_folder(['id', 'amount'])}")
     assert sorted((r["id"], r["amount"]) for r in rows.collect()) == [("001", "5"), ("002", "N/A"), ("003", "7")]
     (landing / "d.csv").write_text("id,amount\n004,9\n")
     run()
     run()
-    assert spark.read.parquet(f"{out}/normalized/id-amount").count() == 4
+    assert spark.read.parquet(f"{out}/normalized/{header_folder(['id', 'amount'])}").count() == 4
     audit = spark.read.parquet(f"{out}/audit").toPandas()
     assert sorted(audit["error_code"].fillna("ok")) == ["empty_file", "ok", "ok", "ok", "unsupported_extension"]
     # A fresh checkpoint delivers every file again: nothing is doubled.
     land(spark, str(landing), out, str(tmp_path / "cp2")).awaitTermination()
-    assert spark.read.parquet(f"{out}/normalized/id-amount").count() == 4
+    assert spark.read.parquet(f"{out}/normalized/{header_folder(['id', 'amount'])}").count() == 4
     assert spark.read.parquet(f"{out}/audit").count() == 5
 
 
+def test_bad_files_do_not_stop_the_others(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "good.csv").write_text("id,amount\n1,5\n")
+    (landing / "long.csv").write_text("id,amount\n1,5,9\n2,6\n")
+    (landing / "short.csv").write_text("id,amount\n7\n8,4\n")
+    (landing / "big.csv").write_text("id,amount\n" + "1,2\n" * 400)
+    (landing / "quoted.csv").write_text('"id\nof row",amount\n9,"a\nb"\n')
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        land(spark, str(landing), out, str(tmp_path / "cp"), I.FilePolicy(max_bytes=1000)).awaitTermination()
+    codes = {r["file_name"]: r["error_code"] for r in spark.read.parquet(f"{out}/audit").collect()}
+    assert codes == {"good.csv": None, "long.csv": "parse_failed", "short.csv": None, "big.csv": "file_too_large",
+                     "quoted.csv": None}
+    rows = spark.read.parquet(f"{out}/normalized/{header_folder(['id', 'amount'])}").collect()
+    assert sorted((r["id"], r["amount"]) for r in rows) == [("1", "5"), ("7", ""), ("8", "4")]
+    quoted = spark.read.parquet(f"{out}/normalized/{header_folder(['id_of_row', 'amount'])}").first()
+    assert (quoted["id_of_row"], quoted["amount"]) == ("9", "a\nb")
+
+
 def test_policies(spark):
     known = X.policy_dimension(spark).toPandas().set_index("scope")
     assert known.loc["login_account_failure"].tolist() == [5, 900]
