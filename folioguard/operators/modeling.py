@@ -100,6 +100,7 @@ def eligibility_counts(df: DataFrame) -> tuple[DataFrame, str | None, str | None
         n_if(F.col("__y") == 0).alias("class_0"),
         n_if(F.col("__y") == 1).alias("class_1"),
     ]
+    values = []
     for name in MODEL_INPUTS:
         if name not in df.columns:
             continue
@@ -108,9 +109,19 @@ def eligibility_counts(df: DataFrame) -> tuple[DataFrame, str | None, str | None
             n_if(has & value.isNotNull()).alias(f"{name}__valid"),
             n_if(has & missing(df, name)).alias(f"{name}__missing"),
             n_if(has & invalid).alias(f"{name}__invalid"),
-            F.countDistinct(F.when(has, value)).alias(f"{name}__unique"),
         ]
-    return rows.agg(*counts), column, definition
+        plain = (value + F.lit(0.0)).cast("string") if name in MODEL_NUMERIC else value
+        values.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("c"), plain.alias("v"))))
+    if not values:
+        return rows.agg(*counts), column, definition
+    # Distinct values of all inputs from one narrow aggregation, not one expanded row for each input.
+    distinct = rows.where(has).select(F.inline(F.array_compact(F.array(*values)))).distinct().groupBy("c").agg(
+        F.count("*").alias("n"))
+    names = [n for n in MODEL_INPUTS if n in df.columns]
+    uniques = distinct.agg(F.struct(*[
+        F.coalesce(F.max(F.when(F.col("c") == n, F.col("n"))), F.lit(0)).alias(n) for n in names]))
+    one = rows.agg(*counts).withColumn("__u", uniques.scalar())
+    return one.select("*", *[F.col("__u")[n].alias(f"{n}__unique") for n in names]).drop("__u"), column, definition
 
 
 def feature_profiles(counts: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
 
 def duplicate_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Exact repeats of earlier rows, per key. Only digests are shuffled, and copies collapse before that."""
-    digest = row_digest(df, data_columns(df, by))
+    digest = F.unhex(row_digest(df, data_columns(df, by)))  # 32 bytes
     groups = df.select(*by, digest.alias("__d")).groupBy(*by, "__d").agg(F.count("*").alias("__c"))
     return groups.groupBy(*by).agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 

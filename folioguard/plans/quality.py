@@ -236,10 +236,12 @@ _ROW_JSON = "concat('{', array_to_string(list_filter([" + ", ".join(
 _SCHEMA = ", chr(31), ".join(f"'{c}:{_WHOLE.get(c, 'string')}'" for c in _PLAIN)
 
 
-@query("a39_dataset_fingerprint", on_portfolio(
-    f"""select concat('dataframe:sha256:', sha256(concat({_SCHEMA}, '|', count(*), '|', sum(cast(h as hugeint)), '|',
- bit_xor(h)))) dataset_reference from (select cast(concat('0x', left(sha256({_ROW_JSON}),15)) as bigint) h
- from portfolio)"""))
+_REFERENCE = f"""select concat('dataframe:sha256:', sha256(concat({_SCHEMA}, '|', count(*), '|',
+ sum(cast(h as hugeint)), '|', bit_xor(h)))) dataset_reference
+ from (select cast(concat('0x', left(sha256({_ROW_JSON}),15)) as bigint) h from portfolio)"""
+
+
+@query("a39_dataset_fingerprint", on_portfolio(_REFERENCE))
 def a39_dataset_fingerprint(spark, sf_dir):
     return P.fingerprint(portfolio(spark, sf_dir).select(*_PLAIN))
 
@@ -258,7 +260,7 @@ _VALUES = {
     "suspicious_records": "(select count(*) filter (where is_suspicious) from anomalies)",
     "high_risk_records": "(select count(*) filter (where is_suspicious and risk_level='High') from anomalies)",
 }
-METRIC_CTES = {**PROFILE, "facts": _FACTS}
+METRIC_CTES = {**PROFILE, "facts": _FACTS, "reference": _REFERENCE}
 METRIC_CTES["metrics"] = " union all ".join(
     f"select {i} ordinal, '{m}' metric_id, '{label}' label, 'available' status, cast({_VALUES[m]} as double) value, "
     f"'{unit}' unit, {'cur' if unit == 'currency' else 'cast(null as varchar)'} currency, "
@@ -266,7 +268,7 @@ METRIC_CTES["metrics"] = " union all ".join(
     f"p1 period_end, cast({'z' if m == 'non_default_outcome_share' else 'null'} as bigint) numerator, "
     f"cast({'b' if m == 'non_default_outcome_share' else 'null'} as bigint) denominator, "
     + (f"'{RULESET_VERSION}'" if m in ("suspicious_records", "high_risk_records") else "cast(null as varchar)")
-    + " logic_version from score, facts"
+    + " logic_version, dataset_reference source_reference from score, facts, reference"
     for i, (m, (label, unit, definition, fields)) in enumerate(METRICS.items(), 1)
 )
 
@@ -279,7 +281,8 @@ def metric_rows(spark, sf_dir):
     """The metric table of the portfolio, money rounded for comparison."""
     rows = portfolio(spark, sf_dir)
     anomalies = R.explain_rules(R.rule_statuses(rows))
-    metrics = M.metric_table(rows, anomalies, RULESET_VERSION)
+    reference = P.fingerprint(rows.select(*_PLAIN)).first()["dataset_reference"]
+    metrics = M.metric_table(rows, anomalies, RULESET_VERSION, reference=reference)
     digits = F.when(F.col("metric_id") == "transaction_value", F.round("value", 2)).when(
         F.col("metric_id") == "average_transaction_value", F.round("value", 4)).otherwise(F.col("value"))
     return metrics.withColumn("value", digits)
@@ -295,7 +298,8 @@ def _metric_query(name: str, ids: tuple[str, ...]) -> None:
             "ordinal", "metric_id", "label", "status", "value", "unit", "currency", "definition_version",
             F.array_join("source_fields", "|").alias("source_fields"), "quality_status",
             F.col("period_start").cast("string").alias("period_start"),
-            F.col("period_end").cast("string").alias("period_end"), "numerator", "denominator", "logic_version")
+            F.col("period_end").cast("string").alias("period_end"), "numerator", "denominator", "logic_version",
+            "source_reference")
 
 
 for _name, _ids in {

@@ -217,19 +217,19 @@ def f18_risk_bands(spark, sf_dir):
 
 
 @query("f8_guarded_ratio", on_portfolio(
-    "select o_orderkey, round(least(greatest(case when income>0 then existing_debt/income end,0),1),9) debt_ratio "
-    "from portfolio where income is not null"))
+    "select o_orderkey, case when income>0 then round(least(greatest(existing_debt/income,0),1),9) end debt_ratio "
+    "from portfolio"))
 def f8_guarded_ratio(spark, sf_dir):
     from folioguard.functions.scalars import clip
 
-    rows = portfolio(spark, sf_dir, keep_key=True).where("income is not null")
+    rows = portfolio(spark, sf_dir, keep_key=True)
     ratio = F.when(F.col("income") > 0, F.col("existing_debt") / F.col("income"))
     return rows.select("o_orderkey", F.round(clip(ratio, 0.0, 1.0), 9).alias("debt_ratio"))
 
 
 @query("f15_legacy_currency", on_portfolio(
-    "select o_orderkey, concat('NGN ', format('{:,}', cast(round_even(transaction_amount,0) as bigint))) amount_text "
-    "from portfolio where transaction_amount is not null"))
+    "select o_orderkey, 'NGN ' || format('{:,}', cast(round_even(transaction_amount,0) as bigint)) amount_text "
+    "from portfolio"))
 def f15_legacy_currency(spark, sf_dir):
-    rows = portfolio(spark, sf_dir, keep_key=True).where("transaction_amount is not null")
+    rows = portfolio(spark, sf_dir, keep_key=True)
     return rows.select("o_orderkey", S.legacy_currency(F.col("transaction_amount")).alias("amount_text"))
