@@ -17,14 +17,20 @@ own, ``ranks/part-*``: uint32 ids, the most frequent first.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,8 +41,14 @@ from folioguard.session import materialize
 MAGIC = b"FQVB0001"
 END = b"\nEND\n"
 HEADER = struct.Struct("<8sIIIIIQQ")
-CACHED_WORDS = 500_000
-BATCH_CHARS = 4_000_000
+# Fixed value: the split pattern of the word-level vocabulary.
+PIECE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# White space but line feeds, the start of a special string, and the letter whose lower case hangs on its place.
+UNEASY = regex.compile(r"[^\S\n]|<\||Σ")
+CACHED_WORDS = 800_000
+CACHED_PIECES = 500_000
+TOGETHER = 128
+BATCH_CHARS = 6_000_000
 BLOCK_IDS = 1 << 20
 FILE_IDS = 1 << 23
 SHARD_GROUP = 1024
@@ -54,33 +66,47 @@ def length_table(bits: int) -> np.ndarray:
 
 def pack(ranks: np.ndarray, bits: int) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ``ranks``."""
-    ranks = ranks.astype(np.uint32)
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    per = 8 // bits
-    padded = np.zeros(-(-len(ranks) // per) * per, dtype=np.uint8)
-    padded[: len(ranks)] = extra
-    control = np.zeros(len(padded) // per, dtype=np.uint8)
-    for i in range(per):
-        control |= padded[i::per] << (bits * i)
-    spread = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : 1 << bits]
-    return control.tobytes(), spread[np.arange(1 << bits) <= extra[:, None]].tobytes()
+    extra = (ranks > 0xFF).astype(np.uint8)  # bytes beyond the first
+    if bits > 1:
+        extra += ranks > 0xFFFF
+        extra += ranks > 0xFFFFFF
+    ends = np.cumsum(extra, dtype=np.int32)
+    data = np.empty(len(ranks) + int(ends[-1]) if len(ranks) else 0, dtype=np.uint8)
+    starts = np.arange(len(ranks), dtype=np.int32)
+    starts += ends
+    starts -= extra
+    data[starts] = ranks.astype(np.uint8)
+    for i in range(1, 1 << bits):
+        longer = np.flatnonzero(extra >= i)
+        data[starts[longer] + i] = (ranks[longer] >> np.uint32(8 * i)).astype(np.uint8)
+    if bits == 1:
+        return np.packbits(extra, bitorder="little").tobytes(), data.tobytes()
+    extra = np.concatenate([extra, np.zeros(-len(extra) % 4, dtype=np.uint8)])
+    return (extra[0::4] | extra[1::4] << 2 | extra[2::4] << 4 | extra[3::4] << 6).tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int, bits: int) -> np.ndarray:
     """The ``n`` ranks behind control and data bytes."""
-    lengths = length_table(bits)[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n].astype(np.int64)
-    starts = np.cumsum(lengths) - lengths
+    lengths = length_table(bits)[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
+    starts = np.cumsum(lengths, dtype=np.int32)  # a block has far fewer bytes
+    starts -= lengths
     padded = np.frombuffer(data + b"\0\0\0", dtype=np.uint8)
-    ranks = np.zeros(n, dtype=np.uint32)
-    for i in range(1 << bits):
-        ranks |= np.where(lengths > i, padded[starts + i], 0).astype(np.uint32) << np.uint32(8 * i)
+    ranks = padded[starts].astype(np.uint32)
+    for i in range(1, 1 << bits):
+        more = np.flatnonzero(lengths > i)
+        ranks[more] |= padded[starts[more] + i].astype(np.uint32) << np.uint32(8 * i)
     return ranks
 
 
 # -- tokens
 
 class WordIds(dict):
-    """Ids, as bytes, of words between single spaces, coded by the library; bounded by ``CACHED_WORDS``."""
+    """Ids, as bytes, of the words between white space; bounded by ``CACHED_WORDS``.
+
+    A new word is cut into the pieces that the tokenizer's own split makes, and the library codes pieces not met
+    before. Words for which that cut could differ (odd white space, special strings, letters whose lower case or normal
+    form hangs on their neighbours) go to the library whole.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -90,15 +116,71 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def learn(self, wanted: set[str]) -> None:
-        new = [w for w in wanted if w not in self]
-        if len(self) + len(new) > CACHED_WORDS:
-            self.clear()
-            new = list(wanted)
-        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[word] = np.array(coded.ids, dtype=self.kind).tobytes()
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = "<u2" if self.code == "H" else "<u4"
+        self.pieces: dict[str, bytes] = {"\n": b""}
+        vocab = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "\0"
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        splits = PIECE_SPLIT in self.tokenizer.pre_tokenizer.__getstate__().decode().replace("\\\\", "\\")
+        self.cut = regex.compile(r"\n|" + PIECE_SPLIT) if splits else None
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, c.ids).tobytes() for c in self.tokenizer.encode_batch_fast(
+            texts, add_special_tokens=False)]
+
+    def library_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, coded by the library many in one text; an entry that ends a word ends a piece."""
+        out: list[bytes] = []
+        groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        for group, raw in zip(groups, self.library([" ".join(g) for g in groups])):
+            stops = ((np.flatnonzero(self.ends[np.frombuffer(raw, dtype=self.kind)]) + 1) * int(self.kind[2])).tolist()
+            if len(stops) == len(group):
+                out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+            else:
+                out += self.library(group)
+        return out
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one word's after another's, and how many each has."""
+        coded = list(map(self.get, words))
+        places = [i for i, c in enumerate(coded) if c is None]
+        if places:
+            new = [words[i] for i in places]
+            if len(self) + len(new) > CACHED_WORDS:
+                self.clear()
+            self.learn(new)
+            for i, word in zip(places, new):
+                coded[i] = self[word]
+        lengths = np.fromiter(map(len, coded), dtype=np.int32, count=len(coded)) // np.dtype(self.kind).itemsize
+        return np.frombuffer(b"".join(coded), dtype=self.kind), lengths
+
+    def learn(self, new: list[str]) -> None:
+        joined = "\n".join(["", *new])
+        if (self.cut is None or joined.count("\n") > len(new) or UNEASY.search(joined)
+                or not is_normalized("NFC", joined)):
+            easy = [self.cut is not None and "\n" not in w and not UNEASY.search(w) and is_normalized("NFC", w)
+                    for w in new]
+            whole = [w for w, e in zip(new, easy) if not e]
+            self.update(zip(whole, self.library(whole)))
+            new = [w for w, e in zip(new, easy) if e]
+            joined = "\n".join(["", *new])
+        if not new:
+            return
+        pieces = self.cut.findall(joined.lower())
+        known = self.pieces
+        fresh = list(set(pieces) - known.keys())
+        if len(known) + len(fresh) > CACHED_PIECES:
+            known.clear()
+            known["\n"] = b""
+            fresh = list(set(pieces) - known.keys())
+        known.update(zip(fresh, self.library_pieces(fresh)))
+        coded = list(map(known.__getitem__, pieces))
+        starts = [i + 1 for i, p in enumerate(pieces) if p == "\n"]
+        stops = [*[i - 1 for i in starts[1:]], len(pieces)]
+        self.update(zip(new, [
+            coded[a] if b - a == 1 else b"".join(coded[a:b]) for a, b in zip(starts, stops)]))
 
 
 @lru_cache(maxsize=2)
@@ -109,43 +191,57 @@ def word_ids(path: str) -> WordIds:
 def encode_texts(path: str, texts: list[str], end: int) -> Iterator[np.ndarray]:
     """The library's ids of each text, then ``end``.
 
-    The tokenizer drops white space and merges only between it, so a text's ids are those of its words one after
-    the other.
+    The tokenizer lower-cases, drops white space and merges only between it, so a text's ids are those of its
+    lower-cased words one after the other. Special strings have no capitals. Words are told apart by Arrow, looked up once a batch, and their ids gathered as arrays.
     """
     known = word_ids(path)
-    tail = np.array([end], dtype=known.kind).tobytes()
     start = 0
     while start < len(texts):
         stop, size = start, 0
         while stop < len(texts) and size < BATCH_CHARS:
             size += len(texts[stop])
             stop += 1
-        cut = [t.split(" ") for t in texts[start:stop]]
-        wanted: set[str] = set()
-        for words in cut:
-            wanted.update(words)
-        known.learn(wanted)
-        get = known.__getitem__
-        for words in cut:
-            yield np.frombuffer(b"".join(map(get, words)) + tail, dtype=known.kind)
+        plain = [t if "Σ" in t else t.lower() for t in texts[start:stop]]  # one letter's lower case hangs on its place
+        words = pc.ascii_split_whitespace(pa.array(plain, type=pa.string()))
+        coded = words.flatten().dictionary_encode()
+        ids, lengths = known.of(coded.dictionary.to_pylist())
+        places = np.cumsum(lengths, dtype=np.int32) - lengths
+        index = coded.indices.to_numpy()
+        n = lengths[index]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int32)])
+        where = np.repeat(places[index] - ends[:-1].astype(np.int32), n)
+        where += np.arange(len(where), dtype=np.int32)
+        run = ids[where]
+        cuts = ends[words.offsets.to_numpy()].tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield np.append(run[a:b], run.dtype.type(end))
         start = stop
 
 
 def encode(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id and the deflated ids of every text; a null text is an empty one, null ids and repeats are kept."""
+    """doc_id, the packed ids of every text, and in some rows ``seen``, how often the ids of that and the rows around it
+    occur; a null text is an empty one, null ids and repeats are kept."""
 
     def prepare():
+        pack = zstandard.ZstdCompressor(level=1)
+
         def work(texts: list[str]) -> dict:
-            coded = list(encode_texts(path, texts, end))
-            return {"ids": [zlib.compress(i.tobytes(), 1) for i in coded], "width": [i.itemsize for i in coded]}
+            gc.disable()  # millions of strings and no cycles among them: nothing for it to find
+            try:
+                coded = list(encode_texts(path, texts, end))
+            finally:
+                gc.enable()
+            seen = np.bincount(np.concatenate(coded)).astype("<u4")
+            return {"ids": [pack.compress(i.tobytes()) for i in coded], "width": [i.itemsize for i in coded],
+                    "seen": [pack.compress(seen.tobytes()), *[None] * (len(texts) - 1)]}
 
         return work
 
-    return per_text(docs, ["doc_id"], prepare, "ids binary, width int")
+    return per_text(docs, ["doc_id"], prepare, "ids binary, width int, seen binary", rows=2048)
 
 
-def inflate(ids: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(ids), dtype=f"<u{width}")
+def unpacked(ids: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(ids), dtype=f"<u{width}")
 
 
 def id_counts(coded: DataFrame) -> DataFrame:
@@ -154,15 +250,15 @@ def id_counts(coded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column("ids"), batch.column("width")):
-                seen = np.bincount(inflate(ids.as_py(), width.as_py()))
+            for blob in batch.column("seen").to_pylist():
+                seen = np.frombuffer(zstandard.decompress(blob), dtype="<u4")
                 if len(seen) > len(total):
                     total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
                 total[: len(seen)] += seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"token": used, "n": total[used]})
 
-    return coded.select("ids", "width").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(
+    return coded.where("seen is not null").select("seen").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(
         F.sum("n").alias("n"))
 
 
@@ -206,7 +302,7 @@ def write_files(coded: DataFrame, path: str) -> None:
         parts: list[np.ndarray] = []
         for batch in batches:
             for doc, ids, width in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "ids", "width")]):
-                parts.append(inflate(ids, width))
+                parts.append(unpacked(ids, width))
                 docs.append(doc)
                 held += len(parts[-1])
                 if held >= BLOCK_IDS:
@@ -217,7 +313,7 @@ def write_files(coded: DataFrame, path: str) -> None:
 
     files = max(1, -(-total // FILE_IDS))
     order = F.col("doc_id").cast("bigint").asc_nulls_first()
-    dealt = coded.repartitionByRange(files, order).sortWithinPartitions(order)
+    dealt = coded.drop("seen").repartitionByRange(files, order).sortWithinPartitions(order)
     _write(dealt.mapInArrow(run, "block binary"), "block", f"{path}/ids")
 
 
