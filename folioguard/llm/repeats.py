@@ -168,24 +168,24 @@ def contexts(wanted: DataFrame, blobs: DataFrame, lengths: Lengths) -> DataFrame
     """The bytes under each wanted run of windows, from the texts that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, data = None, b""
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = batch.to_pydict()
-            out = []
+            out: dict[str, list] = {c: [] for c in CONTEXT_KINDS}
             for i, blob in enumerate(batch.column("packed")):
-                name = rows["d1"][i], rows["d2"][i]
-                if name != last:
-                    last, data = name, unpack.decompress(blob.as_py())
-                lo = rows["lo"][i]
-                out.append(data[lo : lo + rows["more"][i] + lengths.min_len])
-            yield _batch({c: rows.get(c, out) for c in CONTEXT_KINDS}, CONTEXT_KINDS)
+                data = unpack.decompress(blob.as_py())
+                for r in batch.column("runs")[i].as_py():
+                    own = r | {"d1": batch.column("d1")[i].as_py(), "d2": batch.column("d2")[i].as_py(),
+                               "context": data[r["lo"] : r["lo"] + r["more"] + lengths.min_len]}
+                    for c in CONTEXT_KINDS:
+                        out[c].append(own[c])
+                if len(out["lo"]) > 20_000:
+                    yield _batch(out, CONTEXT_KINDS)
+                    out = {c: [] for c in CONTEXT_KINDS}
+            yield _batch(out, CONTEXT_KINDS)
 
     asked = wanted.groupBy(*DOC).agg(F.collect_list(F.struct("rank", "lo", "to_place", "more", "known")).alias("runs"))
     one = blobs.groupBy(*DOC).agg(F.first("packed").alias("packed"))  # of equal texts
-    joined = asked.join(one, list(DOC)).select(*DOC, "packed", F.explode("runs").alias("run")).select(
-        *DOC, "run.*", "packed")
-    return joined.mapInArrow(run, CONTEXT_FIELDS)
+    return asked.join(one, list(DOC)).select(*DOC, "packed", "runs").mapInArrow(run, CONTEXT_FIELDS)
 
 
 RUN = ("rank", "d1", "d2", "lo", "to_place", "more", "known")
