@@ -251,19 +251,31 @@ def m10_confusion_matrix(spark, sf_dir):
     return Y.confusion_matrix(_fixed_scores(spark, sf_dir))
 
 
+_TRAINED: dict[tuple[str, str], Y.ModelBundle] = {}
+
+
+def _trained(spark, sf_dir) -> Y.ModelBundle:
+    """All three candidates, fitted once in an application for the queries that ask for the run."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED.clear()
+        _TRAINED[key] = Y.train(portfolio(spark, sf_dir))
+    return _TRAINED[key]
+
+
 @query("t5_m7_m9_leaderboard")
 def t5_m7_m9_leaderboard(spark, sf_dir):
-    return Y.train(portfolio(spark, sf_dir)).leaderboard
+    return _trained(spark, sf_dir).leaderboard
 
 
 @query("m9_u5_holdout_measures")
 def m9_u5_holdout_measures(spark, sf_dir):
-    return Y.train(portfolio(spark, sf_dir), only=["Logistic Regression"]).metrics
+    return _trained(spark, sf_dir).metrics
 
 
 @query("m11_run_provenance")
 def m11_run_provenance(spark, sf_dir):
-    return Y.train(portfolio(spark, sf_dir), only=["Decision Tree"]).provenance.drop("generated_at")
+    return _trained(spark, sf_dir).provenance.drop("generated_at")
 
 
 _LACKING = ", ".join(f"case when {n} is null then '{n}' end" for n in MODEL_INPUTS)
@@ -275,8 +287,7 @@ _LACKING = ", ".join(f"case when {n} is null then '{n}' end" for n in MODEL_INPU
     f"list_filter([{_LACKING}], lambda v: v is not null) x from portfolio)"))
 def m12_batch_scoring_guard(spark, sf_dir):
     rows = portfolio(spark, sf_dir, keep_key=True)
-    bundle = Y.train(rows.drop("o_orderkey"), only=["Decision Tree"])
-    return Y.score_records(bundle, rows).select(
+    return Y.score_records(_trained(spark, sf_dir), rows).select(
         "o_orderkey", "status", "missing_inputs", F.col("model_score_percent").isNotNull().cast("int").alias(
             "has_score"), "routing")
 

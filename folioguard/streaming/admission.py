@@ -31,8 +31,8 @@ def policy_dimension(spark: SparkSession, policies: dict[str, tuple[int, int]] |
 
 
 def with_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
-    """Requests of known scopes with their limit and window; the policy table has one row per scope."""
-    return requests.join(F.broadcast(policies), "scope")
+    """Requests with the limit and window of their scope, null for a scope the policy table (a row each) lacks."""
+    return requests.join(policies, "scope", "left")
 
 
 def micros(column: str) -> Column:
@@ -61,7 +61,8 @@ def idle_runs(requests: DataFrame) -> DataFrame:
     not depend on each other and a busy key can be walked in several tasks. The window below sees the used slots of a
     key, not its requests.
     """
-    slotted = requests.withColumn("__slot", F.floor(F.col("at_micros") / (F.col("window_seconds") * MICROS)))
+    window = F.coalesce(F.col("window_seconds"), F.lit(1)) * MICROS
+    slotted = requests.withColumn("__slot", F.floor(F.col("at_micros") / window))
     slots = slotted.select(*KEY, "__slot").distinct()
     order = Window.partitionBy(*KEY).orderBy("__slot")
     fresh = (F.col("__slot") - F.lag("__slot").over(order) > 1).cast("int")
@@ -70,7 +71,7 @@ def idle_runs(requests: DataFrame) -> DataFrame:
 
 
 def admit(requests: DataFrame) -> DataFrame:
-    """Decision for every request.
+    """Decision for every request; one of an unknown scope is told so and counts nowhere.
 
     ``requests``: scope, subject, request_id, at_micros, kind (``consume`` or ``reset``), max_requests,
     window_seconds. Rows stream through sorted partitions; no key is held in memory.
@@ -98,6 +99,8 @@ COLUMNS = ["scope", "subject", "request_id", "at_micros", "kind", "outcome", "re
 
 def _step(admitted: list[tuple[int, str]], r) -> tuple[list[tuple[int, str]], tuple]:
     head = (r.scope, r.subject, r.request_id, r.at_micros, r.kind)
+    if pd.isna(r.max_requests):
+        return admitted, (*head, "unknown_scope", 0, 0)
     if r.kind == "reset":
         return [], (*head, "reset", int(r.max_requests), 0)
     admitted, outcome, remaining, wait = decide(
@@ -106,7 +109,10 @@ def _step(admitted: list[tuple[int, str]], r) -> tuple[list[tuple[int, str]], tu
 
 
 class AdmissionProcessor(StatefulProcessor):
-    """The same walk over a stream: the admitted entries of a key are its state, dropped once its window is over."""
+    """The same walk over a stream: the admitted entries of a key are its state, dropped once its window is over.
+
+    A key's requests of one micro-batch are put in time order, so the trigger bounds what is held at once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -141,7 +147,7 @@ def admit_stream(requests: DataFrame, late_by: str = "1 hour") -> DataFrame:
     """Streaming decisions; ``requests`` also has the event time ``ts``.
 
     Inside a micro-batch requests are taken in time order; what comes later than ``late_by`` is dropped by the
-    watermark. Needs the RocksDB state store.
+    watermark, so choose it as long as late requests are to be decided. Needs the RocksDB state store.
     """
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (

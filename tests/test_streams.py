@@ -130,7 +130,15 @@ def test_policies(spark):
     assert known.loc["login_account_failure"].tolist() == [5, 900]
     assert len(known) == 7 and isinstance(known, pd.DataFrame)
     unknown = spark.createDataFrame([("nope",)], "scope string")
-    assert X.with_policy(unknown, X.policy_dimension(spark)).isEmpty()
+    assert X.with_policy(unknown, X.policy_dimension(spark)).first()["max_requests"] is None
+
+
+def test_every_request_gets_a_decision(spark):
+    rows = [("nope", "s", f"r{i}", i * 1_000_000, "consume") for i in range(3)] + [
+        ("login_account_failure", "s", "k", 5, "consume")]
+    requests = spark.createDataFrame(rows, "scope string, subject string, request_id string, at_micros long, kind string")
+    got = {r["request_id"]: r["outcome"] for r in X.admit(X.with_policy(requests, X.policy_dimension(spark))).collect()}
+    assert got == {"r0": "unknown_scope", "r1": "unknown_scope", "r2": "unknown_scope", "k": "admitted"}
 
 
 def test_clock_does_not_depend_on_the_session(spark):
