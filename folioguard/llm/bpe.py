@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioguard.llm.common import per_text
+from folioguard.llm.common import held, per_text
 
 # Fixed value: the split pattern of byte-level BPE vocabularies of this family.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 500_000
-CACHED_PIECES = 300_000
+CACHED_WORDS = 350_000
+CACHED_PIECES = 250_000
 BATCH_CHARS = 4_000_000
 GATHER_TOKENS = 1 << 20
 MEMO_SLOTS = 1 << 21
@@ -356,10 +355,9 @@ class ByteBPE:
         return b"".join(parts)
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> ByteBPE:
     """A worker reads the file once."""
-    return ByteBPE(path)
+    return held(f"bytes {path}", lambda: ByteBPE(path))
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,6 +12,27 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What an operator keeps on a worker between tasks: vocabularies, models and bounded caches.
+
+    A worker serves many jobs, so only the latest operator's are kept.
+    """
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Drop what an operator before this one kept on the worker."""
+    if _held:
+        _held.clear()
+        gc.collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,8 +63,8 @@ def per_text(
 ) -> DataFrame:
     """New columns for each text, in Arrow batches; nothing is shuffled.
 
-    ``prepare`` runs once in a task and gives the function that takes up to ``rows`` texts (null: empty) and returns
-    the columns that ``fields`` declares. The columns in ``keep`` pass through untouched, nulls and large ids too.
+    ``prepare`` runs once in a task, takes what it keeps on a worker from ``held`` (or calls ``release``), and gives the
+    function that takes up to ``rows`` texts (null: empty) and returns the columns that ``fields`` declares. The columns in ``keep`` pass through untouched, nulls and large ids too.
     """
     read = text if text in keep else "__text"
     own = [] if text in keep else [F.col(f"`{text}`").alias("__text")]

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioguard.llm.common import fold, per_text
+from folioguard.llm.common import fold, held, per_text
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 3_000
@@ -32,7 +32,7 @@ LONGEST = 32  # bytes read as one sequence; longer runs are cut
 EPOCHS = 4
 BATCH = 256
 RATE = 0.01
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
 NETWORK_WORDS = 50_000
 
 LETTER = regex.compile(r"\p{L}")
@@ -254,9 +254,6 @@ class WordVectors(dict):
         return out
 
 
-_held: dict[str, WordVectors] = {}
-
-
 def predict(docs: DataFrame, network: Network, name: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, lang_pred and score for every document; ``name`` tells networks apart on the workers.
 
@@ -264,10 +261,7 @@ def predict(docs: DataFrame, network: Network, name: str, keep: tuple[str, ...]
     """
 
     def prepare():
-        if name not in _held:
-            _held.clear()
-            _held[name] = WordVectors(network)
-        vectors = _held[name]
+        vectors = held(f"language {name}", lambda: WordVectors(network))
 
         def work(texts: list[str]) -> dict:
             made = vectors.pooled(texts)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioguard.llm.bpe import IntTable
-from folioguard.llm.common import fold
+from folioguard.llm.common import fold, release
 from folioguard.session import materialize
 
 BLOCK_WORDS = 400_000
@@ -186,6 +186,7 @@ def block_words(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     kind = docs.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         task, chunk = TaskContext.get().partitionId(), 0
         number: dict[bytes, int] = {}
         seen = np.zeros(1 << 16, dtype=np.int64)
@@ -233,6 +234,7 @@ def listed_words(blocks: DataFrame) -> DataFrame:
     """word, c, block and place: a row for each word of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for block, words, counts in zip(*[batch.column(c).to_pylist() for c in ("block", "words", "counts")]):
                 names = zstandard.decompress(words).split(b"\n")
@@ -306,6 +308,7 @@ def word_scores(words: DataFrame, model: Model) -> DataFrame:
     tokens, vocabulary = model.train_tokens, model.vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         lattice = Lattice(*pool.value)
         for batch in batches:
             c = batch.column("c").to_numpy()

@@ -32,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioguard.llm.common import release
 from folioguard.session import materialize
 
 MIN_LEN = 400
@@ -133,6 +134,7 @@ def sample_positions(texts: DataFrame, lengths: Lengths) -> DataFrame:
     """Positions of ``texts`` (digest, data); texts shorter than a window have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             held: list[tuple] = []
             size = 0
@@ -168,6 +170,7 @@ def contexts(wanted: DataFrame, blobs: DataFrame, lengths: Lengths) -> DataFrame
     """The bytes under each wanted run of windows, from the texts that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out: dict[str, list] = {c: [] for c in CONTEXT_KINDS}
@@ -203,6 +206,7 @@ def blocks(found: DataFrame, lengths: Lengths) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         size, need = lengths.block, lengths.min_len
         name = xxhash.xxh3_128_digest
         for batch in batches:
@@ -241,6 +245,7 @@ def _windows(row: dict, need: int, size: int) -> Iterator[tuple[int, int, bytes]
 
 def _compare(batches: Iterator[pa.RecordBatch], lengths: Lengths) -> Iterator[pa.RecordBatch]:
     """Repeated stretches of the members of each rank, in partitions sorted by rank."""
+    release()
     need, size = lengths.min_len, lengths.block
 
     def settle(members: list[dict], out: list[tuple]) -> None:
@@ -288,6 +293,7 @@ def _count_windows(crowded: DataFrame, lengths: Lengths) -> DataFrame:
              "start": pa.int64(), "known": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 out: dict[str, list] = {c: [] for c in kinds}
@@ -363,6 +369,7 @@ def packed(texts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``keep``, d1, d2 and the packed text: what is shuffled is about a third of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
@@ -406,6 +413,7 @@ def strip_repeats(
     spans = repeated_spans(texts, min_len, local_members)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for first in range(0, batch.num_rows, 512):

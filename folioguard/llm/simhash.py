@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioguard.llm.common import per_text, set_aside
+from folioguard.llm.common import per_text, release, set_aside
 from folioguard.llm.components import components
 from folioguard.session import materialize
 
@@ -70,6 +70,8 @@ def fingerprints(docs: DataFrame, shingle: int, keep: tuple[str, ...] = ("doc_id
     """``keep`` and ``fp``, the fingerprint as a signed 64-bit integer. Null and empty texts have zero."""
 
     def prepare():
+        release()
+
         def work(texts: list[str]) -> dict:
             return {"fp": np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)}
 
@@ -122,6 +124,7 @@ def forest(values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _posting_links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
     """Links within each posting of a sorted partition; a posting may run over batches."""
+    release()
     keys, values = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
 
     def links(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:

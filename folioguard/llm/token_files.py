@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioguard.llm.common import per_text
+from folioguard.llm.common import held, per_text, release
 from folioguard.session import materialize
 
 MAGIC = b"FQVB0001"
@@ -183,9 +183,9 @@ class WordIds(dict):
             coded[a] if b - a == 1 else b"".join(coded[a:b]) for a, b in zip(starts, stops)]))
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    """A worker reads the file once."""
+    return held(f"words {path}", lambda: WordIds(path))
 
 
 def encode_texts(path: str, texts: list[str], end: int) -> Iterator[np.ndarray]:
@@ -248,6 +248,7 @@ def id_counts(coded: DataFrame) -> DataFrame:
     """token and n over all documents: a row for each id in use, at most as many as the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for blob in batch.column("seen").to_pylist():
@@ -294,6 +295,7 @@ def write_files(coded: DataFrame, path: str) -> None:
     book = spark.sparkContext.broadcast(ranked.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         order = np.frombuffer(book.value, dtype="<u4")
         rank = np.zeros(int(order.max(initial=0)) + 1, dtype=np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -350,6 +352,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     book = spark.sparkContext.broadcast(stored[: -len(END)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         order = np.frombuffer(book.value, dtype="<u4")
         for batch in batches:
             for content in batch.column("content"):

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioguard.llm.common import fold, per_text
+from folioguard.llm.common import fold, held, per_text
 
 SAMPLE_DOCS = 6_000
 SAMPLE_CHARS = 20_000_000
@@ -254,9 +254,6 @@ class WordScores(dict):
         return out
 
 
-_held: dict[str, WordScores] = {}  # one judge on a worker at a time
-
-
 def score(docs: DataFrame, judge: Judge, name: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, score, n_sentences, n_offending (probability of a half or more), worst_start (the byte at which the
     likeliest sentence starts) and worst_score for every document; ``name`` tells judges apart on the workers.
@@ -267,10 +264,8 @@ def score(docs: DataFrame, judge: Judge, name: str, keep: tuple[str, ...] = ("do
     weights, bias = docs.sparkSession.sparkContext.broadcast(judge.weights.tobytes()), judge.bias  # 1 MB
 
     def prepare():
-        if name not in _held:
-            _held.clear()
-            _held[name] = WordScores(Judge(np.frombuffer(weights.value, dtype=np.float32), bias))
-        return _held[name].judge_texts
+        return held(f"toxicity {name}", lambda: WordScores(
+            Judge(np.frombuffer(weights.value, dtype=np.float32), bias))).judge_texts
 
     return per_text(docs, keep, prepare, "score double, n_sentences bigint, n_offending bigint, worst_start bigint, "
                     "worst_score double", rows=256)

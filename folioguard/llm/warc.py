@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioguard.llm.common import pick
+from folioguard.llm.common import pick, release
 
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 MEMBER_START = b"\x1f\x8b\x08"
@@ -92,6 +92,7 @@ def write_archives(rows: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z
     """Archives below ``path`` with a record for every row of ``with_first_copies``; an empty table gives no record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             members = [
                 gzip_member(build_record(k, u, p, r, date), level)
@@ -217,6 +218,7 @@ def _read(spark: SparkSession, path: str, fields: str, rows) -> DataFrame:
         return pd.DataFrame(rows, columns=list(kinds)).astype({n: "Int64" for n, k in kinds.items() if k == "bigint"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             for archive, content in zip(batch["path"], batch["content"]):
                 out, size = [], 0

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from folioguard.llm import token_files
+from folioguard.llm import common, token_files
 from tests.llm.test_bpe import LETTERS
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -34,9 +34,9 @@ def test_words_together_give_the_librarys_ids(monkeypatch):
     monkeypatch.setattr(token_files, "CACHED_WORDS", 50)
     monkeypatch.setattr(token_files, "CACHED_PIECES", 20)
     monkeypatch.setattr(token_files, "BATCH_CHARS", 2_000)
-    token_files.word_ids.cache_clear()
+    common.release()
     assert [i.tolist() for i in token_files.encode_texts(PATH, texts, 2)] == expected
-    token_files.word_ids.cache_clear()
+    common.release()
 
 
 def expected_rows(rows):
