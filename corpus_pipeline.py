@@ -17,6 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_LANGUAGE_SCORE = 0.3
 SHINGLE_WORDS = 5
 NEAR_BITS = 5
+CACHED_WORDS = 120_000  # workers share an executor's memory with what the earlier stages made it grow to
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), CACHED_WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [

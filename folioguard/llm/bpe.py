@@ -133,7 +133,9 @@ class LongestStarts:
 class ByteBPE:
     """One vocabulary file. Entries are numbered single bytes first, then merges by rank."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int | None = None):
+        self.cached_words = cached_words or CACHED_WORDS
+        self.cached_pieces = min(CACHED_PIECES, self.cached_words)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, symbols = spec["model"], byte_symbols()
@@ -288,7 +290,7 @@ class ByteBPE:
         new = [w for w in wanted if w not in into]
         if not new:
             return
-        if len(into) + len(new) > CACHED_WORDS:
+        if len(into) + len(new) > self.cached_words:
             into.clear()
             new = list(wanted)
         plain, odd = [], []
@@ -304,7 +306,7 @@ class ByteBPE:
                     row.append(piece)
         pieces += [self.pieces.findall(space + word) for word in odd]
         distinct = list({p for row in pieces for p in row if p not in self.known})
-        if len(self.known) + len(distinct) > CACHED_PIECES:
+        if len(self.known) + len(distinct) > self.cached_pieces:
             self.known.clear()
             distinct = list({p for row in pieces for p in row})
         known = self.known
@@ -355,9 +357,9 @@ class ByteBPE:
         return b"".join(parts)
 
 
-def vocabulary(path: str) -> ByteBPE:
+def vocabulary(path: str, cached_words: int | None = None) -> ByteBPE:
     """A worker reads the file once."""
-    return held(f"bytes {path}", lambda: ByteBPE(path))
+    return held(f"bytes {cached_words} {path}", lambda: ByteBPE(path, cached_words))
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -392,15 +394,17 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: st
     return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, cached_words: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded and decoded in one pass.
 
+    ``cached_words`` bounds what a worker keeps, where memory is short; it changes no result.
+
     Null and empty texts have no tokens and the digests of nothing. Rows are never dropped or joined: repeated
     rows and null ids come out as they went in.
     """
 
     def prepare():
-        bpe = vocabulary(path)
+        bpe = vocabulary(path, cached_words)
         shown = bpe.decimals.__getitem__
 
         def work(texts: list[str]) -> dict:
