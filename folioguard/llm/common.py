@@ -33,6 +33,14 @@ def release() -> None:
         gc.collect()
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """At most ``rows`` rows in an Arrow batch of this session: a row is a whole text here, and the default of 10 000 of
+    them would fill an executor's memory outside the heap. A lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,13 +67,15 @@ def pick(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def per_text(
     docs: DataFrame, keep: Sequence[str], prepare: Callable[[], Callable[[list[str]], dict]], fields: str,
-    text: str = "text", rows: int = 1024,
+    text: str = "text", rows: int = 1024, large_batches: bool = False,
 ) -> DataFrame:
     """New columns for each text, in Arrow batches; nothing is shuffled.
 
     ``prepare`` runs once in a task, takes what it keeps on a worker from ``held`` (or calls ``release``), and gives the
     function that takes up to ``rows`` texts (null: empty) and returns the columns that ``fields`` declares. The columns in ``keep`` pass through untouched, nulls and large ids too.
     """
+    if not large_batches:
+        small_batches(docs.sparkSession)
     read = text if text in keep else "__text"
     own = [] if text in keep else [F.col(f"`{text}`").alias("__text")]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], *own)

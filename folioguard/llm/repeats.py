@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioguard.llm.common import release
+from folioguard.llm.common import release, small_batches
 from folioguard.session import materialize
 
 MIN_LEN = 400
@@ -409,6 +409,7 @@ def strip_repeats(
     copies of one another and lose all windows. Every row comes out, null ids too; an empty table gives no rows.
     """
     keep = list(keep)
+    small_batches(docs.sparkSession)
     texts = named_texts(docs, keep)
     spans = repeated_spans(texts, min_len, local_members)
 

@@ -237,7 +237,7 @@ def encode(docs: DataFrame, path: str, end: int) -> DataFrame:
 
         return work
 
-    return per_text(docs, ["doc_id"], prepare, "ids binary, width int, seen binary", rows=2048)
+    return per_text(docs, ["doc_id"], prepare, "ids binary, width int, seen binary", rows=2048, large_batches=True)
 
 
 def unpacked(ids: bytes, width: int) -> np.ndarray:
