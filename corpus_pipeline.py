@@ -17,6 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_LANGUAGE_SCORE = 0.3
 SHINGLE_WORDS = 5
 NEAR_BITS = 5
+LEAST_SIMILARITY = 0.8
 CACHED_WORDS = 120_000  # workers share an executor's memory with what the earlier stages made it grow to
 
 
@@ -28,8 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash neighbours over five-word shingles, that with the smallest doc_id."""
-    return simhash.first_of_groups(docs, SHINGLE_WORDS, NEAR_BITS)
+    """One document of each group linked by a similarity of 0.8 or more of its five-word shingles, that with the
+    smallest doc_id."""
+    return simhash.first_of_similar(docs, SHINGLE_WORDS, NEAR_BITS, LEAST_SIMILARITY)
 
 
 def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,11 @@ four or three bytes alike; then all sets of so many positions are posted.
 Inside a posting the shared positional bytes of a pair are tallied, pairs below the guaranteed minimum are left, the
 rest is verified by counting differing bits. Of the verified links a posting gives a spanning forest, so a group of many near copies costs
 links in proportion to its members, not to its pairs. Equal fingerprints are one node throughout.
+
+Few bits do not say how many shingles two texts share: at a similarity of 0.8 some ten bits of 64 differ.
+``first_of_similar`` therefore takes the neighbours above as one candidate search among several. The others are
+min-wise postings over the sets of shingles, of which a pair at 0.8 meets in one at least with a probability above
+0.9999. Within every posting the links are verified by the exact Jaccard similarity before components are formed.
 """
 
 from __future__ import annotations
@@ -32,6 +37,9 @@ SEED = 42
 POSITIONS = 8
 HASHES_AT_ONCE = 1 << 15
 LOOK_UP_FROM = 20_000
+BANDS, MINIMA = 24, 5  # 1 - (1 - 0.8**5)**24 is 0.99993
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MINIMA_AT_ONCE = 1 << 12
 
 
 def posting_sets(max_bits: int) -> list[tuple[int, ...]]:
@@ -43,21 +51,24 @@ def posting_sets(max_bits: int) -> list[tuple[int, ...]]:
     return list(combinations(range(POSITIONS), POSITIONS - max_bits))
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """64 bits, each set if it is in more than half of the hashes of the text's word shingles, repeats included.
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """A 64-bit hash of each word shingle of the text in order, repeats included.
 
-    A-Z are lower-cased, words end at ASCII white space. Fewer words than a shingle are one shingle; none give zero.
+    A-Z are lower-cased, words end at ASCII white space. Fewer words than a shingle are one shingle; no word gives none.
     """
     words = text.encode("utf-8").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     width = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1]
     spans = zip(starts.tolist(), ends[width - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), HASHES_AT_ONCE):
         some = hashes[at : at + HASHES_AT_ONCE].view(np.uint8).reshape(-1, 8)
@@ -66,6 +77,19 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int) -> int:
+    """64 bits, each set if it is in more than half of the hashes of the text's word shingles; no word gives zero."""
+    return _majority(shingle_hashes(text, shingle))
+
+
+def min_postings(distinct: np.ndarray) -> list[int]:
+    """One key a band for a set of hashes: a digest of its smallest elements under the band's permutations."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(distinct), MINIMA_AT_ONCE):
+        np.minimum(least, (FACTORS[:, None] * distinct[at : at + MINIMA_AT_ONCE]).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, MINIMA))]
+
+
 def fingerprints(docs: DataFrame, shingle: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``fp``, the fingerprint as a signed 64-bit integer. Null and empty texts have zero."""
 
@@ -209,3 +233,128 @@ def first_of_groups(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("one"))
     return restored(marked.join(
         first.select(F.col("one.__row").alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi"))
+
+
+def _marks(texts: list[str], shingle: int) -> dict:
+    prints, nodes, bands = [], [], []
+    for text in texts:
+        hashes = shingle_hashes(text, shingle)
+        distinct = np.unique(hashes)
+        prints.append(_majority(hashes))
+        nodes.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
+        bands.append(min_postings(distinct))
+    return {"fp": np.array(prints, dtype=np.uint64).view(np.int64), "node": np.array(nodes, dtype=np.uint64).view(np.int64),
+            "bands": list(np.array(bands, dtype=np.uint64).reshape(-1, BANDS).view(np.int64))}
+
+
+def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Places of a spanning forest of the links among sorted sets of distinct hashes, each link of a Jaccard similarity
+    of at least ``least``. Every set is compared once with those not yet reached."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, np.cumsum(sizes)[:-1])
+    marks = np.zeros(len(known), dtype=np.int8)
+    left, out, flat, ends = np.arange(len(sets)), [], None, None
+    while len(left):
+        queue, left, flat = [int(left[0])], left[1:], None
+        while queue and len(left):
+            at = queue.pop()
+            if flat is None:
+                flat = np.concatenate([ids[i] for i in left])
+                ends = np.cumsum(sizes[left])
+            marks[ids[at]] = 1
+            totals = np.concatenate([[0], np.cumsum(marks[flat], dtype=np.int64)])
+            marks[ids[at]] = 0
+            shared = totals[ends] - totals[ends - sizes[left]]
+            near = shared / np.maximum(sizes[left] + sizes[at] - shared, 1) >= least
+            if near.any():
+                found, left, flat = left[near].tolist(), left[~near], None
+                out += [(at, i) for i in found]
+                queue += found
+    return out
+
+
+def _similar_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Verified links within each posting of a sorted partition; the sets of one posting are held at a time."""
+    release()
+    posting, nodes, sets, a, b = None, [], [], [], []
+
+    def close() -> None:
+        if len(nodes) > 1:
+            for i, j in similar_forest(sets, least):
+                a.append(nodes[i])
+                b.append(nodes[j])
+        nodes.clear()
+        sets.clear()
+
+    for batch in batches:
+        for key, node, content in zip(
+                batch.column("posting").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
+            if key != posting:
+                close()
+                posting = key
+            nodes.append(node)
+            sets.append(np.frombuffer(content, dtype="<u8"))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a.clear()
+        b.clear()
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def similar_links(marked: DataFrame, nodes: DataFrame, shingle: int, max_bits: int, least: float) -> DataFrame:
+    """a and b: links between different sets of shingles of a Jaccard similarity of at least ``least``, enough of them
+    to connect whatever such links within a posting connect.
+
+    ``marked`` has text, fp, node and __row of every document, ``nodes`` has node, bands and __first, the __row of one
+    document, for every distinct set. A posting is a group of SimHash neighbours or a min-wise band. Postings with the
+    same members are verified once, and sets are made again only of texts that share a posting with another.
+    """
+    prints = materialize(marked.select("fp", "node").distinct(), "prints")
+    roots = components(links(prints.select("fp").distinct(), max_bits))
+    neighbours = prints.join(roots.withColumnRenamed("node", "__of"), F.col("fp") == F.col("__of"), "left").select(
+        F.xxhash64(F.coalesce("root", "fp")).alias("posting"), "node").distinct()
+    posted = materialize(nodes.select(F.explode("bands").alias("posting"), "node").union(neighbours), "postings")
+    members = posted.groupBy("posting").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("low < high")
+    once = members.groupBy("n", "low", "high", "sum").agg(F.min("posting").alias("__once")).select("__once")
+    shared = materialize(posted.join(once, F.col("posting") == F.col("__once"), "left_semi"), "shared-postings")
+    met = shared.select(F.col("node").alias("__met")).distinct()
+    rows = nodes.join(met, F.col("node") == F.col("__met"), "left_semi").select("__first")
+    texts = marked.select("text", "node", "__row").join(rows, F.col("__row") == F.col("__first"), "left_semi")
+
+    def prepare():
+        release()
+        return lambda texts: {"shingles": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts]}
+
+    sets = per_text(texts, ("node",), prepare, "shingles binary").withColumnRenamed("node", "__of")
+    return shared.join(sets, F.col("node") == F.col("__of")).select("posting", "node", "shingles").repartition(
+        "posting").sortWithinPartitions("posting").mapInArrow(
+        lambda batches: _similar_links(batches, least), "a bigint, b bigint")
+
+
+def first_of_similar(docs: DataFrame, shingle: int, max_bits: int, least: float) -> DataFrame:
+    """One row of ``docs`` (doc_id, text and any others) for each component of texts whose sets of word shingles have a
+    Jaccard similarity of at least ``least``: that with the smallest doc_id.
+
+    Shingles are compared by 64-bit hashes. Of rows that share an id, one is kept; a row without an id only if its
+    component has no other. Texts without words are alike.
+    """
+    plain, restored = set_aside(docs)
+
+    def prepare():
+        release()
+        return lambda texts: _marks(texts, shingle)
+
+    marked = materialize(per_text(
+        plain, tuple(plain.columns), prepare, "fp bigint, node bigint, bands array<bigint>").withColumn(
+        "__row", F.monotonically_increasing_id()), "fingerprints")  # written, so the numbers stand
+    nodes = materialize(marked.groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("one"),
+        F.any_value("bands").alias("bands")).withColumn("__first", F.col("one.__row")), "distinct-sets")
+    roots = components(similar_links(marked, nodes, shingle, max_bits, least)).withColumnRenamed("node", "__of")
+    first = nodes.select("node", "one").join(roots, F.col("node") == F.col("__of"), "left").groupBy(
+        F.coalesce("root", "node")).agg(F.min("one").alias("one"))
+    return restored(marked.join(
+        first.select(F.col("one.__row").alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi"))

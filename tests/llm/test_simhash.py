@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import corpus_pipeline as cp
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -142,3 +143,48 @@ def test_odd_rows(odd_docs, no_docs):
     assert firsts.columns == odd_docs.columns
     ids = [r["doc_id"] for r in firsts.collect()]
     assert sorted(ids) == sorted({r["component_id"] for r in got}) and simhash.first_of_groups(no_docs, 5, 5).count() == 0
+
+
+def shingle_sets(rows, shingle):
+    out = {}
+    for d, text in rows:
+        words = text.split()
+        out[d] = {tuple(words[i : i + shingle]) for i in range(max(len(words) - shingle + 1, min(len(words), 1)))}
+    return out
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3_000)]
+    rows = []
+    for _ in range(60):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.choice([0, 3, 20, 60, 150, 400]))]
+        for _ in range(rnd.randint(1, 6)):
+            share = rnd.choice([0, 0.01, 0.02, 0.03, 0.05])
+            rows.append((len(rows), " ".join(rnd.choice(vocabulary) if rnd.random() < share else w for w in base)))
+    sets = shingle_sets(rows, 5)
+    alike = {(a, b): len(sets[a] & sets[b]) / max(len(sets[a] | sets[b]), 1) for a, b in combinations(sets, 2)}
+    pairs = [p for p, x in alike.items() if x >= 0.8 or not (sets[p[0]] or sets[p[1]])]
+    prints = {d: simhash.fingerprint(t, 5) for d, t in rows}
+    assert sum(0.8 <= alike[p] < 1 and (prints[p[0]] ^ prints[p[1]]).bit_count() > 5 for p in pairs) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == {min(group) for group in classes(sets, pairs)}
+
+
+def test_near_fingerprints_of_unlike_texts_stay(spark):
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join(words * 40)), (2, " ".join(words * 40 + ["x", "y", "z", "u", "v"]))]
+    a, b = shingle_sets(rows, 5).values()
+    assert len(a & b) / len(a | b) < 0.8
+    assert (simhash.fingerprint(rows[0][1], 5) ^ simhash.fingerprint(rows[1][1], 5)).bit_count() <= 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert cp.drop_near_duplicates(spark, docs, "").count() == 2
+
+
+def test_similar_odd_rows(odd_docs, no_docs):
+    firsts = simhash.first_of_similar(odd_docs, 5, 5, 0.8)
+    assert firsts.columns == odd_docs.columns
+    ids = [r["doc_id"] for r in firsts.collect()]
+    assert sorted(ids) == [1, 2, 5, 6, 7, 8, 9, 10, 2**60 + 1]
+    assert simhash.first_of_similar(no_docs, 5, 5, 0.8).count() == 0
