@@ -7,7 +7,9 @@ is an empty gzip member, which readers of multi-member files pass over.
 
 Reading. Each archive is read as bytes. Members (or plain records at a version line) must decompress, have a sound
 header, their full declared length and matching digests. After a failed check the reader looks for the next place that
-passes them all, goes on from there, and logs the bytes between as a quarantined gap.
+passes them all, goes on from there, and logs the bytes between as a quarantined gap. Inside a member, also one whose
+compressed data is damaged or cut off, the search goes on in the content that comes out; sound records of it are kept, and
+each gap is logged with its place in the content.
 """
 
 from __future__ import annotations
@@ -108,23 +110,38 @@ class Unsound(ValueError):
     """A check failed; the text says which."""
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and the place after it."""
+def _member(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at ``at``, the place after it, and the fault that ended it early, if one did: then
+    the content is what came out before it."""
     unpacker = zlib.decompressobj(31)
-    parts, size, place = [], 0, at
-    try:
-        while not unpacker.eof:
-            chunk = data[place : place + CHUNK]
-            if not len(chunk):
-                raise Unsound("member is cut off")
+    parts, size, place, fault = [], 0, at, None
+    while not unpacker.eof and fault is None:
+        chunk = data[place : place + CHUNK]
+        if not len(chunk):
+            fault = "member is cut off"
+            break
+        before = unpacker.copy()
+        try:
             parts.append(unpacker.decompress(chunk))
-            size += len(parts[-1])
-            if size > LARGEST_BLOCK:
-                raise Unsound("member is too large")
             place += len(chunk)
-    except zlib.error as fault:
-        raise Unsound(f"member is damaged ({str(fault).split(':')[0]})") from fault
-    return b"".join(parts), place - len(unpacker.unused_data)
+        except zlib.error as error:
+            fault = f"member is damaged ({str(error).split(':')[0]})"
+            parts.append(_prefix(before, chunk))
+        size += len(parts[-1])
+        if size > LARGEST_BLOCK:
+            fault = "member is too large"
+    return b"".join(parts), place if fault else place - len(unpacker.unused_data), fault
+
+
+def _prefix(unpacker, chunk: memoryview) -> bytes:
+    """What comes out of a chunk before the fault in it, byte by byte."""
+    parts = []
+    try:
+        for i in range(len(chunk)):
+            parts.append(unpacker.decompress(chunk[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(parts)
 
 
 def _record(data: bytes | memoryview, at: int) -> tuple[dict, int]:
@@ -172,42 +189,101 @@ def _digest(stated: str | None, data: bytes, what: str) -> None:
         raise Unsound(f"{what} digest differs")
 
 
-def _at(data: memoryview, at: int) -> tuple[list[dict], int]:
-    """All records of the member, or the plain record, at ``at``."""
+def _consumed(data: memoryview, at: int, size: int) -> int:
+    """The place up to which the member at ``at`` must be read for the first ``size`` bytes of its content."""
+    unpacker, out, place = zlib.decompressobj(31), 0, at
+    while True:
+        before, chunk = unpacker.copy(), data[place : place + CHUNK]
+        try:
+            more = len(unpacker.decompress(chunk))
+        except zlib.error:
+            more = size
+        if out + more >= size:
+            break
+        out, place = out + more, place + len(chunk)
+    while out < size:
+        out += len(before.decompress(data[place : place + 1]))
+        place += 1
+    return place
+
+
+def _sound_records(content: bytes) -> tuple[list[dict], list[tuple[int, int, str]], int]:
+    """All sound records of a member's content, the ranges between them with the check that failed, and the end of the
+    last sound record."""
+    records, gaps, place, reach = [], [], 0, 0
+    while place < len(content):
+        try:
+            record, place = _record(content, place)
+            records.append(record)
+            reach = place
+        except Unsound as fault:
+            start, reason = place, str(fault)
+            while True:
+                found = VERSION.search(content, place + 1)
+                place = found.start() if found else len(content)
+                if not found:
+                    break
+                try:
+                    _record(content, place)
+                    break
+                except Unsound:
+                    continue
+            gaps.append((start, place, reason))
+    return records, gaps, reach
+
+
+def _at(data: memoryview, at: int) -> tuple[list[dict], int, list[str]]:
+    """The sound records of the member, or the plain record, at ``at``, the place after it, and what is wrong within.
+
+    A member of which nothing is sound is unsound. After a fault in its compressed data the place is that where its last
+    sound record ends.
+    """
     if bytes(data[at : at + 3]) != MEMBER_START:
         record, end = _record(data, at)
-        return [record], end
-    content, end = _member(data, at)
-    records, place = [], 0
-    while place < len(content):
-        record, place = _record(content, place)
-        records.append(record)
-    return records, end
+        return [record], end, []
+    content, end, fault = _member(data, at)
+    records, gaps, reach = _sound_records(content)
+    if not records and (fault or gaps):
+        raise Unsound(fault or gaps[0][2])
+    within = [f"{reason} (bytes {a} to {b} of the member's content)" for a, b, reason in gaps]
+    if fault:
+        end = _consumed(data, at, reach)
+        within.append(f"{fault} (after {len(content)} bytes of content)")
+    return records, end, within
+
+
+def _next_sound(data: bytes, view: memoryview, place: int) -> int:
+    """The next place after ``place`` with a sound record or with a member that holds one, else the end."""
+    while (found := RECORD_START.search(data, place + 1)) is not None:
+        place = found.start()
+        try:
+            if _at(view, place)[0]:
+                return place
+        except Unsound:
+            continue
+    return len(data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, list[dict] | str]]:
-    """Go through an archive: ``(start, end, records)`` for what is sound, ``(start, end, reason)`` for a gap."""
+    """Go through an archive: ``(start, end, records)`` for what is sound, ``(start, end, reason)`` for a gap.
+
+    Records out of a damaged member come with its range, which runs to the next sound place if its compressed data is
+    damaged; each gap within its content follows with an empty range at its end, and its reason names the place.
+    """
     view, at = memoryview(data), 0
     while at < len(data):
         try:
-            records, end = _at(view, at)
+            records, end, within = _at(view, at)
         except Unsound as fault:
-            reason, place = str(fault), at
-            while True:
-                found = RECORD_START.search(data, place + 1)
-                if found is None:
-                    place = len(data)
-                    break
-                place = found.start()
-                try:
-                    if _at(view, place)[0]:
-                        break
-                except Unsound:
-                    continue
-            yield at, place, reason
+            place = _next_sound(data, view, at)
+            yield at, place, str(fault)
             at = place
             continue
+        if within and within[-1].startswith("member is"):
+            end = _next_sound(data, view, end - 1)
         yield at, end, records
+        for reason in within:
+            yield end, end, reason
         at = end
 
 

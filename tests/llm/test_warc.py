@@ -104,3 +104,42 @@ def test_damaged_files_on_spark(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_round_trip(pages, f"{tmp_path}/none").count() == 0
+
+
+def one_member():
+    # Digits of a hash keep the compressed data long, so a fault in its middle has records before it.
+    made = [warc.build_record(i, f"http://x/{i}", random.Random(i).randbytes(600).hex().encode(), None, DATE) for i in range(40)]
+    return made, warc.gzip_member(b"".join(made))
+
+
+def test_an_unsound_record_in_a_member_costs_only_itself():
+    made, _ = one_member()
+    bad = bytearray(made[7])
+    bad[-40] ^= 1
+    data = warc.gzip_member(b"".join(made[:7]) + bytes(bad) + b"".join(made[8:])) + warc.gzip_member(records()[3])
+    found = list(warc.salvage(data))
+    assert keys(found) == [*range(7), *range(8, 40), 3]
+    reasons = [r for *_, r in found if isinstance(r, str)]
+    start = sum(map(len, made[:7]))
+    assert reasons == [f"block digest differs (bytes {start} to {start + len(bad)} of the member's content)"]
+
+
+@pytest.mark.parametrize("how", ["cut", "damaged"])
+def test_a_broken_member_keeps_the_records_before_the_fault(how):
+    _, member = one_member()
+    half = len(member) // 2
+    after = warc.gzip_member(records()[3])
+    broken = member[:half] if how == "cut" else member[:half] + b"\xff" * 400 + member[half + 400 :]
+    found = list(warc.salvage(broken + after))
+    got = keys(found)
+    assert got[-1] == 3 and got[:-1] == list(range(len(got) - 1)) and len(got) > 15
+    assert any("member is" in r for *_, r in found if isinstance(r, str))
+    assert keys(warc.salvage(broken))[:15] == list(range(15))
+
+
+def test_stored_records_of_a_broken_member_come_once():
+    made, _ = one_member()
+    member = warc.gzip_member(b"".join(made[:6]), level=0)
+    broken = member[: len(member) - len(made[5]) // 2]
+    assert keys(warc.salvage(broken)) == list(range(5))
+    assert keys(warc.salvage(broken + warc.gzip_member(records()[3]))) == [*range(5), 3]
