@@ -13,6 +13,8 @@ from folioguard.operators.tables import append_absent
 from folioguard.sources.csv import read_lexical
 from folioguard.sources.intake import FilePolicy, audit_files, bounded_content, empty_files
 
+# A file is audited as one binary value, which cannot be longer in Spark; nothing else bounds what lands.
+UNBOUNDED = FilePolicy(max_bytes=2_000_000_000, max_rows=2**63 - 1)
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -51,11 +53,13 @@ def _write_group(rows: DataFrame, digests: DataFrame, path: str) -> None:
 
 
 def land(
-    spark: SparkSession, landing: str, out: str, checkpoint: str, policy: FilePolicy = FilePolicy(),
-    files_per_trigger: int = 1000,
+    spark: SparkSession, landing: str, out: str, checkpoint: str, policy: FilePolicy = UNBOUNDED,
+    files_per_trigger: int = 1000, report: FilePolicy = FilePolicy(),
 ) -> StreamingQuery:
     """Process what has landed and stop.
 
+    Files beyond ``policy`` are refused. Those beyond the size or rows of ``report`` land whole; ``over_limit`` of their
+    audit row names the bound.
     The checkpoint remembers finished files. A micro-batch that is delivered twice changes nothing: the audit row is
     appended only if its path and digest are new, and a file's rows replace the partition named by its digest.
     """
@@ -64,7 +68,10 @@ def land(
         .option("maxFilesPerTrigger", files_per_trigger).load(landing))
 
     def record(audited: DataFrame) -> None:
-        flat = audited.withColumn("normalized_headers", F.array_join("normalized_headers", "|"))
+        over = F.when(F.col("length") > report.max_bytes, "file_too_large").when(
+            F.col("data_rows") > report.max_rows, "too_many_rows")
+        flat = audited.withColumns({
+            "normalized_headers": F.array_join("normalized_headers", "|"), "over_limit": over})
         append_once(flat, f"{out}/audit", ["path", "sha256"])
 
     def process(batch: DataFrame, _: int) -> None:

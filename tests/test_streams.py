@@ -125,6 +125,24 @@ def test_bad_files_do_not_stop_the_others(spark, tmp_path):
     assert (quoted["id_of_row"], quoted["amount"]) == ("9", "a\nb")
 
 
+def test_files_over_size_and_rows_land_whole(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    landing.mkdir()
+    bounds = I.FilePolicy()
+    n = bounds.max_rows + 1
+    (landing / "large.csv").write_text("id,text\n" + "".join(f"{i},{'x' * 100}\n" for i in range(n)))
+    (landing / "long.csv").write_text("id,text\n" + "".join(f"{i},\n" for i in range(n)))
+    (landing / "small.csv").write_text("id,text\n1,a\n")
+    assert (landing / "large.csv").stat().st_size > bounds.max_bytes
+    land(spark, str(landing), out, str(tmp_path / "cp")).awaitTermination()
+    audit = {r["file_name"]: r for r in spark.read.parquet(f"{out}/audit").collect()}
+    assert {f: (r["error_code"], r["over_limit"]) for f, r in audit.items()} == {
+        "large.csv": (None, "file_too_large"), "long.csv": (None, "too_many_rows"), "small.csv": (None, None)}
+    rows = spark.read.parquet(f"{out}/normalized/{header_folder(['id', 'text'])}")
+    assert {r["sha256"]: r["count"] for r in rows.groupBy("sha256").count().collect()} == {
+        audit["large.csv"]["sha256"]: n, audit["long.csv"]["sha256"]: n, audit["small.csv"]["sha256"]: 1}
+
+
 def test_policies(spark):
     known = X.policy_dimension(spark).toPandas().set_index("scope")
     assert known.loc["login_account_failure"].tolist() == [5, 900]
