@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioguard.llm import bpe, decontamination, language, lattice, quality, repeats, simhash, token_files, toxicity, warc
+from folioguard.llm import (
+    bpe, decontamination, language, lattice, pieces, quality, repeats, simhash, spelling, token_files, toxicity, tries, warc)
 from folioguard.llm.common import fold, table
 from folioguard.session import staging_path
 
@@ -83,3 +84,18 @@ def op3_toxicity_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), folds=7, held_out=2)
+
+
+@query("op11_spelling_variants", spelling.ORACLE)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+@query("op12_piece_round_trip")
+def op12_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_conversation_trie", tries.ORACLE)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
