@@ -451,4 +451,5 @@ MAX_FILE_BYTES = 10 * 1024 * 1024
 MAX_FILE_ROWS = 100_000
 MAX_FILE_COLUMNS = 200
 DELIMITERS = (",", ";", "\t", "|")
+DELIMITER_SAMPLE = 65_536
 NORMALIZATION_VERSION = "1"

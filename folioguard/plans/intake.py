@@ -248,6 +248,38 @@ def s4_file_audit(spark, sf_dir):
     return I.audit_files(_document_files(spark, sf_dir)).select("path", "length", "sha256", "encoding", "error_code")
 
 
+_RANGE_BYTES = 256 * 1024
+
+
+def _quoted_files(spark, sf_dir, label: str) -> str:
+    """Whole documents as CSV files of one folder a source; quoted cells hold quotes, marks and line ends."""
+    rows = table(spark, sf_dir, "documents").select(
+        F.coalesce("source", F.lit("none")).alias("source"), F.col("doc_id").cast("string").alias("Doc Id"),
+        F.coalesce("text", F.lit("")).alias("Whole Text"), F.coalesce("lang", F.lit("")).alias("Lang"))
+    path = staging_path(spark, label)
+    rows.repartition("source").write.partitionBy("source").options(
+        header=True, quote='"', escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+@query("s4_audit_in_ranges", """select coalesce(source, 'none') as source, count(*) data_rows, cast(3 as bigint) columns,
+ cast(0 as bigint) refused from documents group by 1""")
+def s4_audit_in_ranges(spark, sf_dir):
+    """Files of any size, audited in byte ranges that start inside and outside quotes."""
+    audited = I.audit_large_files(spark, _quoted_files(spark, sf_dir, "quoted"), I.FilePolicy(2**60, 2**62), _RANGE_BYTES)
+    return audited.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(
+        F.sum("data_rows").alias("data_rows"), F.max("column_count").cast("bigint").alias("columns"),
+        F.count("error_code").alias("refused"))
+
+
+@query("s2_split_records", """select cast(doc_id as varchar) doc_id, coalesce(text, '') whole_text, coalesce(lang, '') lang
+ from documents""")
+def s2_split_records(spark, sf_dir):
+    """The rows of those files, read in ranges."""
+    return C.read_lexical(spark, _quoted_files(spark, sf_dir, "split"), range_bytes=_RANGE_BYTES)
+
+
 @query("s5_delimiters", f"""select {_PATH} path, case doc_id%10 when 2 then null when 3 then null when 4 then ';'
  when 8 then 'unsupported' else ',' end delimiter from documents""")
 def s5_delimiters(spark, sf_dir):
@@ -258,7 +290,7 @@ def s5_delimiters(spark, sf_dir):
  when 4 then 'customer_id|transaction_amount' when 5 then 'amount|amount' when 6 then 'amount|unnamed|x'
  when 7 then 'amount|note' when 8 then 'a_b' when 9 then 'customer_id|amount' end headers,
  case doc_id%10 when 0 then 1 when 2 then null when 3 then null when 6 then 3 when 8 then 1 else 2 end column_count,
- case doc_id%10 when 0 then -1 when 2 then null when 3 then null else 1 end data_rows
+ cast(case doc_id%10 when 0 then -1 when 2 then null when 3 then null else 1 end as bigint) data_rows
  from documents""")
 def s6_header_checks(spark, sf_dir):
     audited = I.audit_files(_document_files(spark, sf_dir))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioguard.fixed_values import MAX_FILE_ROWS, NA_TOKENS
 from folioguard.functions.scalars import NUMBER_TEXT, integral, num_text
 from folioguard.operators.privacy import header_key, minimize, safe_cells
+from folioguard.sources import ranges
 
 _SHAPE = {"quote": '"', "escape": '"'}
 _AS_WRITTEN = {
@@ -58,30 +59,41 @@ def has_embedded_newlines(spark: SparkSession, path: str | list[str]) -> bool:
 
 def header_record(spark: SparkSession, path: str | list[str], delimiter: str, multi_line: bool) -> list[str]:
     """The first record as it is written: repeated, empty and quoted headers stay what they are."""
-    first = spark.read.options(header=False, sep=delimiter, multiLine=multi_line, **_SHAPE, **_AS_WRITTEN).csv(path).first()
+    first = spark.read.options(
+        header=False, sep=delimiter, multiLine=multi_line, recursiveFileLookup=True, maxColumns=1 << 20, **_SHAPE,
+        **_AS_WRITTEN).csv(path).first()
     headers = [h or "" for h in first] if first else []
     return [headers[0].removeprefix(BOM), *headers[1:]] if headers else []
 
 
 def read_lexical(
     spark: SparkSession, path: str | list[str], delimiter: str = ",", embedded_newlines: bool | None = None,
-    rename=collision_free, path_column: str | None = None,
+    rename=collision_free, path_column: str | None = None, range_bytes: int | None = None,
 ) -> DataFrame:
     """Every cell as the text it was written as: ``""``, ``N/A`` and leading zeros stay.
 
     Columns go by position, under the names ``rename`` makes of the header record; a row with fewer cells is filled with
-    empty ones, a row with more fails the read. A large file is read in splits unless quoted cells hold line ends;
-    that is looked up in one pass over the lines if ``embedded_newlines`` does not tell. ``path_column`` adds the file a
-    row came from. Files read together share one header record.
+    empty ones, a row with more fails the read. A large file is read in splits. Where quoted cells hold line ends, which is
+    looked up in one pass over the lines if ``embedded_newlines`` does not tell, the splits are ranges of known quoting
+    state. ``path_column`` adds the file a row came from. Files read together share one header record.
     """
     multi_line = has_embedded_newlines(spark, path) if embedded_newlines is None else embedded_newlines
     names = rename(header_record(spark, path, delimiter, multi_line))
     fields = ", ".join([*[f"c{i} string" for i in range(len(names))], "more string"])
-    raw = spark.read.options(
-        header=True, mode="PERMISSIVE", sep=delimiter, multiLine=multi_line, **_SHAPE, **_AS_WRITTEN).schema(fields).csv(path)
+    if multi_line:
+        shape = {"sep": delimiter, "multiLine": True, "maxColumns": max(20480, len(names) + 2), **_SHAPE, **_AS_WRITTEN}
+        shape = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in shape.items()}
+        records = ranges.records(spark, path, range_bytes).where("not header")
+        raw = records.select("file", F.from_csv("record", fields, shape).alias("r")).select("file", "r.*")
+    else:
+        raw = spark.read.options(
+            header=True, mode="PERMISSIVE", sep=delimiter, maxColumns=max(20480, len(names) + 2), **_SHAPE,
+            **_AS_WRITTEN).schema(fields).csv(path).withColumn("file", F.xxhash64("_metadata.file_path"))
+    if path_column:
+        raw = raw.join(ranges.listed_files(spark, path).select("file", F.col("path").alias("__path")), "file")
     too_long = F.raise_error(F.lit("malformed row: more cells than headers")).cast("boolean")
     cells = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)]
-    extra = [F.col("_metadata.file_path").alias(path_column)] if path_column else []
+    extra = [F.col("__path").alias(path_column)] if path_column else []
     return raw.where(F.when(F.col("more").isNotNull(), too_long).otherwise(True)).select(*cells, *extra)
 
 

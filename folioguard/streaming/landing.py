@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioguard.operators.tables import append_absent
+from folioguard.session import materialize
 from folioguard.sources.csv import read_lexical
-from folioguard.sources.intake import FilePolicy, audit_files, bounded_content, empty_files
+from folioguard.sources.intake import FilePolicy, audit_files, audit_large_files, empty_files
 
-# A file is audited as one binary value, which cannot be longer in Spark; nothing else bounds what lands.
-UNBOUNDED = FilePolicy(max_bytes=2_000_000_000, max_rows=2**63 - 1)
+# Files are read in ranges, so nothing bounds what lands.
+UNBOUNDED = FilePolicy(max_bytes=2**60, max_rows=2**63 - 1, max_columns=2**31 - 1)
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -30,8 +31,7 @@ def normalize_accepted(spark: SparkSession, audited: DataFrame, out: str) -> Non
     for (delimiter, headers), files in groups.items():
         digests = spark.createDataFrame([(f["path"], f["sha256"]) for f in files], "__path string, sha256 string")
         rows = read_lexical(
-            spark, [f["path"] for f in files], delimiter, embedded_newlines=True,
-            rename=lambda written, h=headers: _as_audited(written, h), path_column="__path")
+            spark, [f["path"] for f in files], delimiter, rename=lambda written, h=headers: _as_audited(written, h), path_column="__path")
         _write_group(rows, digests, f"{out}/{header_folder(headers)}")
 
 
@@ -54,12 +54,12 @@ def _write_group(rows: DataFrame, digests: DataFrame, path: str) -> None:
 
 def land(
     spark: SparkSession, landing: str, out: str, checkpoint: str, policy: FilePolicy = UNBOUNDED,
-    files_per_trigger: int = 1000, report: FilePolicy = FilePolicy(),
+    files_per_trigger: int = 1000, report: FilePolicy = FilePolicy(), range_bytes: int | None = None,
 ) -> StreamingQuery:
     """Process what has landed and stop.
 
-    Files beyond ``policy`` are refused. Those beyond the size or rows of ``report`` land whole; ``over_limit`` of their
-    audit row names the bound.
+    Files beyond ``policy`` are refused. Those beyond the size, columns or rows of ``report`` land whole; ``over_limit`` of
+    their audit row names the bound. A file is audited and read in ranges, so its size is no bound.
     The checkpoint remembers finished files. A micro-batch that is delivered twice changes nothing: the audit row is
     appended only if its path and digest are new, and a file's rows replace the partition named by its digest.
     """
@@ -69,18 +69,20 @@ def land(
 
     def record(audited: DataFrame) -> None:
         over = F.when(F.col("length") > report.max_bytes, "file_too_large").when(
+            F.col("column_count") > report.max_columns, "too_many_columns").when(
             F.col("data_rows") > report.max_rows, "too_many_rows")
         flat = audited.withColumns({
             "normalized_headers": F.array_join("normalized_headers", "|"), "over_limit": over})
         append_once(flat, f"{out}/audit", ["path", "sha256"])
 
     def process(batch: DataFrame, _: int) -> None:
-        audited = audit_files(bounded_content(batch, policy), policy).persist()
-        try:
-            normalize_accepted(batch.sparkSession, audited, f"{out}/normalized")
-            record(audited)
-        finally:
-            audited.unpersist()
+        paths = [r["path"] for r in batch.select("path").collect()]  # bounded by the trigger
+        if not paths:
+            return
+        session = batch.sparkSession
+        audited = materialize(audit_large_files(session, paths, policy, range_bytes, with_empty=False), "audited")
+        normalize_accepted(session, audited, f"{out}/normalized")
+        record(audited)
 
     # The stream never sees empty files, so they are recorded on the way in.
     empty = empty_files(spark, landing)

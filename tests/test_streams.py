@@ -143,6 +143,24 @@ def test_files_over_size_and_rows_land_whole(spark, tmp_path):
         audit["large.csv"]["sha256"]: n, audit["long.csv"]["sha256"]: n, audit["small.csv"]["sha256"]: 1}
 
 
+def test_wide_and_quoted_files_land_in_ranges(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    landing.mkdir()
+    names = [f"c{i}" for i in range(300)]
+    (landing / "wide.csv").write_text(",".join(names) + "\n" + ",".join("1" * 300) + "\n")
+    cells = "".join(f'{i},"line\none of {i}",{i}\n' for i in range(400))
+    (landing / "quoted.csv").write_text("id,note,n\n" + cells)
+    land(spark, str(landing), out, str(tmp_path / "cp"), range_bytes=512).awaitTermination()
+    audit = {r["file_name"]: r for r in spark.read.parquet(f"{out}/audit").collect()}
+    assert {f: (r["error_code"], r["over_limit"]) for f, r in audit.items()} == {
+        "wide.csv": (None, "too_many_columns"), "quoted.csv": (None, None)}
+    wide = spark.read.parquet(f"{out}/normalized/{header_folder(names)}")
+    assert wide.count() == 1 and wide.first()["c299"] == "1"
+    rows = spark.read.parquet(f"{out}/normalized/{header_folder(['id', 'note', 'n'])}").collect()
+    assert sorted((int(r["id"]), r["note"], r["n"]) for r in rows) == [
+        (i, f"line\none of {i}", str(i)) for i in range(400)]
+
+
 def test_policies(spark):
     known = X.policy_dimension(spark).toPandas().set_index("scope")
     assert known.loc["login_account_failure"].tolist() == [5, 900]
