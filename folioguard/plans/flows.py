@@ -353,13 +353,27 @@ def x1_x3_admission(spark, sf_dir):
     return X.admit(X.with_policy(requests, policies(spark))).drop("scope")
 
 
-@query("x1_admission_stream", _ADMISSION)
-def x1_admission_stream(spark, sf_dir):
+def admission_tick(events):
+    """A request that is not decided but moves the watermark past all events."""
+    return events.agg(F.max("ts").alias("last")).select(
+        F.lit("").alias("scope"), F.lit("").alias("subject"), F.lit("").alias("request_id"),
+        F.lit(0).cast("bigint").alias("at_micros"), F.lit(X.TICK).alias("kind"),
+        (F.coalesce("last", F.lit("2000-01-01").cast("timestamp")).cast("timestamp") + F.expr("interval 9999 days")).alias("ts"))
+
+
+def _stream(spark, sf_dir, folders: int, late_by: str):
+    """Decisions over events dealt out to ``folders`` micro-batches by id, so that each has events of the whole time."""
     from folioguard.session import staging_path
 
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    decisions = X.admit_stream(X.with_policy(admission_requests(events), policies(spark)))
+    session = X.with_state_store(spark)
+    events = table(spark, sf_dir, "events")
+    source, last = staging_path(spark, "requests"), staging_path(spark, "tick")
+    for i in range(folders):
+        admission_requests(events.where(F.pmod("event_id", F.lit(folders)) == i)).coalesce(1).write.parquet(f"{source}/p{i}")
+    admission_tick(events).coalesce(1).write.parquet(f"{source}/p{folders}")
+    requests = session.readStream.schema(X.REQUEST).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", True).parquet(source)
+    decisions = X.admit_stream(X.with_policy(requests, policies(session)), late_by)
     out, checkpoint = staging_path(spark, "decisions"), staging_path(spark, "admission")
     job = decisions.writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -367,6 +381,28 @@ def x1_admission_stream(spark, sf_dir):
     return spark.read.schema(X.DECISION).parquet(out).drop("scope")
 
 
+@query("x1_admission_stream", _ADMISSION)
+def x1_admission_stream(spark, sf_dir):
+    """Two files out of order, nothing late: decided as the batch job does."""
+    return _stream(spark, sf_dir, 2, "9000 days")
+
+
+# The first file moves the watermark to its last event less an hour; what is older in the second comes late.
+_LATE = f"""with edge as (select max(epoch_ms(ts)) - 3600000 as w from events where event_id%2=0),
+ kept as (select * from events where event_id%2=0 or epoch_us(ts) > (select w*1000 from edge)),
+ late as (select cast(user_id as varchar) subject, {_REQUEST} request_id, epoch_us(ts) at_micros, {_KIND} kind, 'late' outcome,
+  0 remaining, cast(0 as bigint) retry_after_seconds from events
+  where event_id%2=1 and epoch_us(ts) <= (select w*1000 from edge)),
+ decided as ({_ADMISSION.replace("from events)", "from kept)")})
+ select * from decided union all select * from late"""
+
+
+@query("x1_late_requests", _LATE)
+def x1_late_requests(spark, sf_dir):
+    """The same two files with an hour allowed: every request has a row."""
+    return _stream(spark, sf_dir, 2, "1 hour")
+
+
 _SCOPES = tuple(X.ADMISSION_POLICIES)
 _SCOPE_SQL = "case event_id%7 " + " ".join(f"when {i} then '{s}'" for i, s in enumerate(_SCOPES)) + " end"
 

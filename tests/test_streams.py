@@ -1,4 +1,5 @@
 import pandas as pd
+from pyspark.sql import functions as F
 
 from folioguard.sources import intake as I
 from folioguard.streaming import admission as X
@@ -49,7 +50,7 @@ def test_reset_clears(spark):
 def test_idle_time_cuts_a_key_without_changing_decisions(spark):
     rows = [("a", f"r{i}", t, "consume") for i, t in enumerate((0, 1, 2, 59, 125, 126, 127, 300, 301, 302))]
     df = requests(spark, rows)
-    assert X.idle_runs(df).select("run").distinct().count() == 3
+    assert X.independent_runs(df).select("run").distinct().count() == 3
     admitted, expected = [], []
     for _, request, at, _ in rows:
         admitted, outcome, remaining, wait = X.decide(admitted, at * SECOND, request, 2, 60 * SECOND)
@@ -57,25 +58,97 @@ def test_idle_time_cuts_a_key_without_changing_decisions(spark):
     assert outcomes(df) == expected
 
 
+def test_resets_cut_a_key_without_changing_decisions(spark):
+    rows = [("a", f"r{i:02}", i // 2, "reset" if i in (4, 5, 13) else "consume") for i in range(24)]
+    df = requests(spark, rows)
+    assert X.independent_runs(df).select("run", "part").distinct().count() == 4
+    admitted, expected = [], []
+    for _, request, at, kind in rows:
+        if kind == "reset":
+            admitted = []
+            expected.append(("reset", 2, 0))
+            continue
+        admitted, outcome, remaining, wait = X.decide(admitted, at * SECOND, request, 2, 60 * SECOND)
+        expected.append((outcome, remaining, wait))
+    assert outcomes(df) == expected
+
+
+STREAM = ("scope string, subject string, request_id string, at_micros long, kind string, ts timestamp, "
+          "max_requests int, window_seconds long")
+
+
+def streamed(spark, tmp_path, batches, late_by, limit=2, window=60):
+    """Decisions of a stream that gets one file of requests a micro-batch."""
+    session = X.with_state_store(spark)
+    folder = tmp_path / "in"
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([
+            (s, subject, request, at * SECOND, kind, limit if s == "s" else None, window if s == "s" else None)
+            for s, subject, request, at, kind in rows],
+            "scope string, subject string, request_id string, at_micros long, kind string, max_requests int, window_seconds long")
+        df.withColumn("ts", F.timestamp_micros("at_micros")).select(
+            *[part.split(" ")[0] for part in STREAM.split(", ")]).coalesce(1).write.parquet(str(folder / f"p{i}"))
+    source = session.readStream.schema(STREAM).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(
+        str(folder))
+    job = X.admit_stream(source, late_by).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(X.DECISION).parquet(str(tmp_path / "out"))
+
+
+TICK = ("", "", "", 10**6, X.TICK)
+
+
+def test_requests_out_of_order_are_decided_as_the_batch(spark, tmp_path):
+    rows = [("s", subject, f"{subject}{i}", i * 7 + j, "reset" if i % 11 == 5 else "consume")
+            for j, subject in enumerate(("a", "b", "c")) for i in range(40)]
+    rows += [("other", "a", f"o{i}", i, "consume") for i in range(3)]
+    # The second micro-batch is older than the first in part; all is within the allowed time.
+    first = [r for i, r in enumerate(rows) if i % 3]
+    second = [r for i, r in enumerate(rows) if i % 3 == 0]
+    got = streamed(spark, tmp_path, [first, second, [TICK]], "1 hour")
+    df = spark.createDataFrame([(*r[:3], r[3] * SECOND, r[4], 2 if r[0] == "s" else None, 60 if r[0] == "s" else None) for r in rows],
+                               "scope string, subject string, request_id string, at_micros long, kind string, "
+                               "max_requests int, window_seconds long")
+    batch = X.admit(df)
+    assert batch.where("outcome = 'denied'").count() > 0 and batch.where("outcome = 'reset'").count() > 0
+    assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
+
+
+def test_late_requests_get_a_row(spark, tmp_path):
+    first = [("s", "a", "r0", 100, "consume"), ("s", "a", "r1", 500, "consume"), ("s", "b", "x", 100, "consume")]
+    second = [("s", "a", "r2", 490, "consume"), ("s", "a", "late1", 120, "consume"), ("s", "new", "late2", 1, "reset")]
+    third = [("s", "a", "r3", 495, "consume"), ("s", "a", "late3", 100, "consume")]
+    got = {r["request_id"]: (r["outcome"], r["remaining"]) for r in streamed(
+        spark, tmp_path, [first, second, third, [TICK]], "60 seconds").collect()}
+    assert got == {
+        "r0": ("admitted", 1), "x": ("admitted", 1), "late1": ("late", 0), "late2": ("late", 0), "late3": ("late", 0),
+        "r2": ("admitted", 1), "r3": ("admitted", 0), "r1": ("denied", 0)}
+
+
 def test_stream_decides_as_the_batch(spark, sf_dir, tmp_path):
-    from folioguard.plans.flows import admission_requests, policies
+    from folioguard.plans.flows import admission_requests, admission_tick, policies
     from folioguard.sources.portfolio import table
 
+    session = X.with_state_store(spark)
     events = table(spark, sf_dir, "events")
-    cuts = events.selectExpr("percentile(cast(event_id as double), array(0.3, 0.7)) as c").first()["c"]
-    parts = ["event_id < {0}", "event_id >= {0} and event_id < {1}", "event_id >= {1}"]
-    for i, part in enumerate(parts):
-        # One file per micro-batch, in time order.
-        events.where(part.format(*cuts)).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/p{i}"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    decided = X.admit_stream(X.with_policy(admission_requests(stream), policies(spark)))
-    job = decided.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    span = events.selectExpr("max(ts) - min(ts) as s").first()["s"]
+    for i in range(3):  # every micro-batch has events of the whole time
+        events.where(f"event_id % 3 = {i}").coalesce(1).write.parquet(str(tmp_path / f"in/p{i}"))
+    stream = session.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    admission_tick(events).write.parquet(str(tmp_path / "tick"))
+    tick = session.readStream.schema(X.REQUEST).parquet(str(tmp_path / "tick"))
+    asked = X.with_policy(admission_requests(stream), policies(session)).unionByName(X.with_policy(tick, policies(session)))
+    job = X.admit_stream(asked, f"{span.days + 2} days").writeStream.format("parquet").option(
+        "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     job.awaitTermination()
-    streamed = spark.read.schema(X.DECISION).parquet(str(tmp_path / "out"))
-    batch = X.admit(X.with_policy(admission_requests(events).drop("ts"), policies(spark)))
-    assert batch.where("outcome = 'denied'").count() > 0
-    assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
+    # The tick was in the first micro-batch, so what came in the others is behind the watermark.
+    got = spark.read.schema(X.DECISION).parquet(str(tmp_path / "out"))
+    assert got.count() == events.count()
+    batch = X.admit(X.with_policy(admission_requests(events.where("event_id % 3 = 0")).drop("ts"), policies(spark)))
+    assert got.where("outcome = 'late'").count() == events.where("event_id % 3 > 0").count()
+    decided = got.where("outcome <> 'late'")
+    assert decided.exceptAll(batch).isEmpty() and batch.exceptAll(decided).isEmpty()
 
 
 def test_landing_is_incremental_and_idempotent(spark, tmp_path):
