@@ -248,32 +248,32 @@ def s4_file_audit(spark, sf_dir):
     return I.audit_files(_document_files(spark, sf_dir)).select("path", "length", "sha256", "encoding", "error_code")
 
 
-_RANGE_BYTES = 256 * 1024
+_RANGE_BYTES = 1 << 20
 
 
 def _quoted_files(spark, sf_dir, label: str) -> str:
-    """Whole documents as CSV files of one folder a source; quoted cells hold quotes, marks and line ends."""
+    """Whole documents as CSV files of one folder a language; quoted cells hold quotes, marks and line ends."""
     rows = table(spark, sf_dir, "documents").select(
-        F.coalesce("source", F.lit("none")).alias("source"), F.col("doc_id").cast("string").alias("Doc Id"),
-        F.coalesce("text", F.lit("")).alias("Whole Text"), F.coalesce("lang", F.lit("")).alias("Lang"))
+        F.coalesce("lang", F.lit("none")).alias("folder"), F.col("doc_id").cast("string").alias("Doc Id"),
+        F.coalesce("text", F.lit("")).alias("Whole Text"), F.coalesce("source", F.lit("")).alias("Source"))
     path = staging_path(spark, label)
-    rows.repartition("source").write.partitionBy("source").options(
+    rows.write.partitionBy("folder").options(
         header=True, quote='"', escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 
-@query("s4_audit_in_ranges", """select coalesce(source, 'none') as source, count(*) data_rows, cast(3 as bigint) columns,
+@query("s4_audit_in_ranges", """select coalesce(lang, 'none') as folder, count(*) data_rows, cast(3 as bigint) columns,
  cast(0 as bigint) refused from documents group by 1""")
 def s4_audit_in_ranges(spark, sf_dir):
     """Files of any size, audited in byte ranges that start inside and outside quotes."""
     audited = I.audit_large_files(spark, _quoted_files(spark, sf_dir, "quoted"), I.FilePolicy(2**60, 2**62), _RANGE_BYTES)
-    return audited.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(
+    return audited.groupBy(F.regexp_extract("path", "folder=([^/]*)/", 1).alias("folder")).agg(
         F.sum("data_rows").alias("data_rows"), F.max("column_count").cast("bigint").alias("columns"),
         F.count("error_code").alias("refused"))
 
 
-@query("s2_split_records", """select cast(doc_id as varchar) doc_id, coalesce(text, '') whole_text, coalesce(lang, '') lang
+@query("s2_split_records", """select cast(doc_id as varchar) doc_id, coalesce(text, '') whole_text, coalesce(source, '') source
  from documents""")
 def s2_split_records(spark, sf_dir):
     """The rows of those files, read in ranges."""

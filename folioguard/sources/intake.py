@@ -156,7 +156,8 @@ def audit_large_files(
         "has_bom": c("length") - F.coalesce("bytes", F.lit(0)) >= 2,  # the reader leaves the mark out
         "has_nul": F.coalesce("nul", F.lit(False)),
         "is_utf8": read,
-        "sample": F.when(read & ~F.coalesce("nul", F.lit(False)), F.coalesce("sample", F.lit(""))),
+        "sample": F.when(read & ~F.coalesce("nul", F.lit(False)), F.substring(
+            F.coalesce("sample", F.lit("")), 1, DELIMITER_SAMPLE)),  # its last bytes may be half a character
         "header": F.when(read, F.coalesce(F.rtrim(c("header").cast("string"), F.lit("\r\n")), F.lit(""))),
         "data_rows": F.when(read, F.coalesce("n_records", F.lit(0)) - 1),
     }).withColumn("delimiter", detect_delimiter(c("sample"), policy))

@@ -153,3 +153,9 @@ def test_the_delimiter_comes_from_a_sample_of_many_lines(spark):
     rows = spark.createDataFrame([("x.csv", len(text), bytearray(text.encode()))], "path string, length long, content binary")
     assert csv.Sniffer().sniff(text).delimiter == ";"
     assert I.audit_files(rows).first()["delimiter"] == ";"
+
+
+def test_a_sample_may_end_inside_a_character(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,note\n" + "".join(f"{i},{'é' * 97}日\n" for i in range(3000)))
+    found = I.audit_large_files(spark, str(tmp_path)).first()
+    assert (found["delimiter"], found["data_rows"], found["error_code"]) == (",", 3000, None)
