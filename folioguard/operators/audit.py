@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioguard.functions.scalars import n_if, type_of
+from folioguard.session import materialize
 
 GENESIS = hashlib.sha256(b"").hexdigest()
 WORKSPACE = ["organization_id", "workspace_id"]
@@ -109,3 +111,68 @@ def chain_summary(checked: DataFrame) -> DataFrame:
     """Events and findings per workspace."""
     return checked.groupBy(*WORKSPACE).agg(
         F.count("*").alias("events"), n_if(F.size("findings") > 0).alias("suspect_events"))
+
+
+# An event with one of these is not what was written, or not where it was written.
+LOCAL_FINDINGS = ("altered", "out_of_order", "forked")
+_ID = "__id"
+
+
+def place_events(chained: DataFrame) -> DataFrame:
+    """Where every event of stored chains stands: place, reaches_genesis, first_broken and all findings.
+
+    ``place`` counts the events from the start of an event's chain to itself, ``reaches_genesis`` tells whether that start
+    is a genesis event, and ``first_broken`` is the sequence of the first event on the way (itself included) that is
+    altered, out of order or forked. Added findings: ``unreachable`` (the chain of previous hashes ends before a genesis),
+    ``broken_ancestor``, and ``circular`` (the hashes lead back to the event, or to such a circle; its place is null).
+
+    List ranking by pointer doubling over hash links: each round an event takes over what the event it points at knows
+    and points twice as far, so the rounds are the logarithm of the longest chain, and no chain is walked by one task. Only
+    events that have not reached a start yet take part in a round.
+    """
+    checked = materialize(check_chain(chained).withColumn(_ID, F.monotonically_increasing_id()), "checked-chain")
+    broken = F.arrays_overlap("findings", F.array(*[F.lit(f) for f in LOCAL_FINDINGS]))
+    narrow = checked.select(
+        _ID, *WORKSPACE, "audit_sequence", "event_hash", "previous_event_hash",
+        F.when(broken, F.col("audit_sequence")).alias("broken"),
+        F.col("previous_event_hash").eqNullSafe(F.lit(GENESIS)).alias("genesis"))
+    owners = narrow.where("event_hash is not null").groupBy(
+        *WORKSPACE, F.col("event_hash").alias("previous_event_hash")).agg(
+        F.min(F.struct("audit_sequence", _ID)).alias("owner"))
+    linked = narrow.where("not genesis").join(owners, [*WORKSPACE, "previous_event_hash"], "left").select(
+        _ID, F.col(f"owner.{_ID}").alias("up"), F.lit(1).cast("bigint").alias("place"), "broken", "genesis")
+    starts = narrow.where("genesis").select(
+        _ID, F.lit(None).cast("bigint").alias("up"), F.lit(1).cast("bigint").alias("place"), "broken", "genesis")
+    state = materialize(linked.unionByName(starts), "chain-links")
+    done, waiting = [state.where("up is null")], state.where("up is not null")
+    known = state
+    left, longest = waiting.count(), state.count()
+    while left and longest:
+        further = known.select(
+            F.col(_ID).alias("at"), F.col("up").alias("next"), F.col("place").alias("steps"),
+            F.col("broken").alias("earlier"), F.col("genesis").alias("start"))
+        moved = materialize(waiting.join(further, F.col("up") == F.col("at")).select(
+            _ID, F.col("next").alias("up"), (F.col("place") + F.col("steps")).alias("place"),
+            F.coalesce("earlier", "broken").alias("broken"), F.col("start").alias("genesis")), "chain-places")
+        done.append(moved.where("up is null"))
+        waiting = moved.where("up is not null")
+        # What an event points at may be done or waiting; both know the same distance or all of the way.
+        known = reduce(DataFrame.unionByName, done, waiting)
+        left, longest = waiting.count(), longest // 2
+    placed = reduce(DataFrame.unionByName, done).select(_ID, "place", F.col("genesis").alias("reaches_genesis"),
+                                                       F.col("broken").alias("first_broken"))
+    joined = checked.join(placed, _ID, "left").drop(_ID)
+    more = F.array_compact(F.array(
+        F.when(F.col("place").isNull(), "circular").when(~F.col("reaches_genesis"), "unreachable"),
+        F.when(F.col("first_broken") != F.col("audit_sequence"), "broken_ancestor")))
+    return joined.withColumns({
+        "reaches_genesis": F.coalesce("reaches_genesis", F.lit(False)), "findings": F.concat("findings", more)})
+
+
+def intact_prefixes(placed: DataFrame) -> DataFrame:
+    """Per workspace: events, events of the longest intact stretch from a genesis, the sequence of the first broken event,
+    and how many events have no way to a genesis."""
+    intact = F.col("reaches_genesis") & F.col("first_broken").isNull()
+    return placed.groupBy(*WORKSPACE).agg(
+        F.count("*").alias("events"), F.coalesce(F.max(F.when(intact, F.col("place"))), F.lit(0)).alias("intact_events"),
+        F.min("first_broken").alias("first_broken"), n_if(~F.col("reaches_genesis")).alias("unreachable_events"))

@@ -622,15 +622,54 @@ def w7_audit_chain_check(spark, sf_dir):
 
 
 
-@query("w7_broken_links", with_tables(
-    "select organization_id, workspace_id, audit_sequence from audit_payloads where audit_sequence%200 in (7, 9)",
-    "audit_payloads"))
-def w7_broken_links(spark, sf_dir):
-    """Events that lost their previous hash, or their own."""
+# Stored chains with damage: a changed payload, a lost previous hash, a lost own hash.
+_DAMAGE = {"actor_id": (11, "'someone else'"), "previous_event_hash": (7, "cast(null as varchar(64))"),
+           "event_hash": (9, "cast(null as varchar(64))")}
+_DAMAGED_SQL = f"""{CHAIN}, stored as (select c.organization_id, c.workspace_id, c.audit_sequence, h.head,
+  case when c.audit_sequence%200=7 then null else c.previous_event_hash end previous_event_hash,
+  case when c.audit_sequence%200=9 then null else c.event_hash end event_hash, c.audit_sequence%200=11 changed
+  from chain c join h using (organization_id, workspace_id, audit_sequence)),
+ claims as (select organization_id, workspace_id, previous_event_hash, count(*) n from stored group by 1,2,3),
+ owners as (select organization_id, workspace_id, event_hash, min(audit_sequence) owner from stored
+  where event_hash is not null group by 1,2,3),
+ judged as (select s.*, o.owner, coalesce(s.previous_event_hash = '{U.GENESIS}', false) genesis,
+   coalesce(changed or sha256(concat(head, s.previous_event_hash, '"}}')) <> s.event_hash
+    or s.event_hash is null or s.previous_event_hash is null, true) altered, coalesce(c.n, 1) > 1 forked,
+   coalesce(o.owner >= s.audit_sequence, false) out_of_order
+  from stored s left join owners o on o.organization_id=s.organization_id and o.workspace_id=s.workspace_id
+   and o.event_hash=s.previous_event_hash
+  left join claims c on c.organization_id=s.organization_id and c.workspace_id=s.workspace_id
+   and c.previous_event_hash=s.previous_event_hash),
+ walked as (select organization_id, workspace_id, audit_sequence, cast(1 as bigint) place, genesis reaches_genesis,
+   case when altered or forked or out_of_order then audit_sequence end first_broken from judged
+   where genesis or owner is null
+  union all select j.organization_id, j.workspace_id, j.audit_sequence, w.place+1, w.reaches_genesis,
+   coalesce(w.first_broken, case when altered or forked or out_of_order then j.audit_sequence end)
+   from walked w join judged j on j.organization_id=w.organization_id and j.workspace_id=w.workspace_id
+   and j.owner=w.audit_sequence and not j.genesis)"""
+
+
+def _damaged(spark, sf_dir):
     chained = U.build_chain(derive(spark, sf_dir, "audit_payloads"))
     place = F.col("audit_sequence") % 200
-    broken = chained.withColumns({
-        "previous_event_hash": F.when(place == 7, F.lit(None)).otherwise(F.col("previous_event_hash")),
-        "event_hash": F.when(place == 9, F.lit(None)).otherwise(F.col("event_hash"))})
-    found = U.check_chain(broken).where(F.array_contains("findings", F.when(place == 7, "unlinked").otherwise("altered")))
-    return found.where(place.isin(7, 9)).select("organization_id", "workspace_id", "audit_sequence")
+    return chained.withColumns({
+        name: F.when(place == at, F.expr(value)).otherwise(F.col(name)) for name, (at, value) in _DAMAGE.items()})
+
+
+@query("w7_broken_links", f"""{_DAMAGED_SQL} select w.*, concat_ws(',', case when altered then 'altered' end,
+  case when not genesis and owner is null then 'unlinked' end, case when out_of_order then 'out_of_order' end,
+  case when forked then 'forked' end, case when not reaches_genesis then 'unreachable' end,
+  case when first_broken <> w.audit_sequence then 'broken_ancestor' end) findings
+ from walked w join judged j using (organization_id, workspace_id, audit_sequence)""")
+def w7_broken_links(spark, sf_dir):
+    """Every event of damaged chains with its place and all findings, successors of a lost hash included."""
+    return U.place_events(_damaged(spark, sf_dir)).select(
+        "organization_id", "workspace_id", "audit_sequence", "place", "reaches_genesis", "first_broken",
+        F.array_join("findings", ",").alias("findings"))
+
+
+@query("w7_intact_prefixes", f"""{_DAMAGED_SQL} select organization_id, workspace_id, count(*) events,
+ coalesce(max(place) filter (where reaches_genesis and first_broken is null), 0) intact_events,
+ min(first_broken) first_broken, count(*) filter (where not reaches_genesis) unreachable_events from walked group by 1, 2""")
+def w7_intact_prefixes(spark, sf_dir):
+    return U.intact_prefixes(U.place_events(_damaged(spark, sf_dir)))

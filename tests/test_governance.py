@@ -178,3 +178,67 @@ def test_mapping_hash_is_that_of_canonical_json(spark):
                          separators=(",", ":"))
     got = P.mapping_hashes(spark.createDataFrame(rows, schema), versions).first()["mapping_hash"]
     assert got == "sha256:" + hashlib.sha256(payload.encode()).hexdigest()
+
+
+def by_walking(rows):
+    """Place, reach and first broken event of every stored event, one step at a time."""
+    own = {}
+    for r in sorted(rows, key=lambda r: r["audit_sequence"], reverse=True):
+        if r["event_hash"] is not None:
+            own[r["workspace_id"], r["event_hash"]] = r
+    out = {}
+    for r in rows:
+        at, seen, path = r, set(), []
+        while True:
+            path.append(at)
+            if at["previous_event_hash"] == U.GENESIS:
+                reaches = True
+                break
+            nxt = own.get((at["workspace_id"], at["previous_event_hash"]))
+            if nxt is None:
+                reaches = False
+                break
+            if nxt["audit_sequence"] in seen:
+                path = None
+                break
+            seen.add(nxt["audit_sequence"])
+            at = nxt
+        if path is None:
+            out[r["audit_sequence"]] = (None, False, None)
+            continue
+        broken = [e["audit_sequence"] for e in path if set(e["findings"]) & set(U.LOCAL_FINDINGS)]
+        out[r["audit_sequence"]] = (len(path), reaches, broken[-1] if broken else None)
+    return out
+
+
+def test_places_by_pointer_doubling(spark):
+    chained = U.build_chain(events(spark, 60).repartition(5)).cache()
+    hash_of = {r["audit_sequence"]: r["event_hash"] for r in chained.collect()}
+
+    def damaged(**changes):
+        df = chained
+        for column, values in changes.items():
+            c = F.col(column)
+            for at, value in values.items():
+                c = F.when(F.col("audit_sequence") == at, F.lit(value)).otherwise(c)
+            df = df.withColumn(column, c)
+        return df
+
+    cases = [
+        chained, damaged(reason={7: "x", 30: "y"}), damaged(event_hash={9: None, 40: None}),
+        damaged(previous_event_hash={10: None, 33: "nowhere"}), chained.where("audit_sequence not in (0, 12, 25)"),
+        # a circle, a second successor, a link to a later event
+        damaged(previous_event_hash={6: hash_of[18], 21: hash_of[9], 31: hash_of[43]}),
+    ]
+    for case in cases:
+        got = U.place_events(case).collect()
+        checked = U.check_chain(case).collect()
+        assert {r["audit_sequence"]: (r["place"], r["reaches_genesis"], r["first_broken"]) for r in got} == by_walking(checked)
+        assert len(got) == len(checked)
+    circular = {r["audit_sequence"] for r in got if "circular" in r["findings"]}
+    assert {6, 9, 12, 15, 18} <= circular
+    whole = U.intact_prefixes(U.place_events(chained)).collect()
+    assert all(r["intact_events"] == r["events"] and r["first_broken"] is None for r in whole)
+    lost = U.intact_prefixes(U.place_events(cases[2])).collect()
+    assert sum(r["unreachable_events"] for r in lost) > 0
+    assert U.place_events(chained.limit(0)).count() == 0
