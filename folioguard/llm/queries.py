@@ -65,8 +65,9 @@ def op7_language_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_prefix_doubling_dedup")
 def op5_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.strip_repeats(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    stripped = repeats.strip_repeats(table(spark, sf_dir, "documents"), passages=repeats.PASSAGE)
+    return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                           "n_passages", "n_passage_bytes")
 
 
 @query("op9_template_decontamination", decontamination.ORACLE)

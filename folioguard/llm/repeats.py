@@ -21,6 +21,7 @@ Equal texts have one name (their SHA-256) throughout and are settled alike.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,6 +37,7 @@ from folioguard.llm.common import release, small_batches
 from folioguard.session import materialize
 
 MIN_LEN = 400
+PASSAGE = (200, 51)  # bytes and whole words of a passage of over 50 words
 CHUNK = 1 << 16
 LOCAL_MEMBERS = 20_000
 DOC = ("d1", "d2")
@@ -385,25 +387,91 @@ def packed(texts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return rows.mapInArrow(run, f"{declared}d1 bigint, d2 bigint, packed binary")
 
 
-def without(data: bytes, spans: list[dict]) -> tuple[bytes, int]:
-    """What is left of ``data``, and the number of maximal stretches removed."""
-    left, at, n = [], 0, 0
+def stretches(spans: list[dict]) -> list[tuple[int, int]]:
+    """Maximal stretches that the spans cover; spans that touch are one."""
+    out: list[tuple[int, int]] = []
     for start, end in sorted((s["start"], s["end"]) for s in spans):
-        if start > at or not n:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def whole_words(data: bytes, start: int, end: int) -> int:
+    """Words of ``data`` that lie wholly between the two places."""
+    words = len(data[start:end].split())
+    cut_left = start > 0 and not data[start - 1 : start].isspace() and not data[start : start + 1].isspace()
+    cut_right = end < len(data) and not data[end - 1 : end].isspace() and not data[end : end + 1].isspace()
+    return max(0, words - cut_left - cut_right)
+
+
+def without(data: bytes, spans: list[dict], least_words: int = 0) -> tuple[bytes, int]:
+    """What is left of ``data``, and the number of maximal stretches removed; those with fewer whole words stay."""
+    left, at, n = [], 0, 0
+    for start, end in stretches(spans):
+        if not least_words or whole_words(data, start, end) >= least_words:
             left.append(data[at:start])
+            at = end
             n += 1
-        at = max(at, end)
     left.append(data[at:])
     return b"".join(left), n
 
 
+def spans_inside(texts: DataFrame, short: DataFrame, min_len: int, local_members: int) -> DataFrame:
+    """``repeated_spans`` for a longer window, looked for only where shorter repeated windows (``short``) lie.
+
+    Every shorter window inside a repeated one is repeated too, so both of its places lie within stretches of ``short``;
+    nothing is missed, and the rounds see only the repeated part of the corpus.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i, blob in enumerate(batch.column("packed")):
+                cuts = [c for c in stretches(batch.column("spans")[i].as_py()) if c[1] - c[0] >= min_len]
+                if not cuts:
+                    continue
+                data = unpack.decompress(blob.as_py())
+                parts = [data[a:b] for a, b in cuts]
+                n = len(cuts)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([hashlib.sha256(p).digest() for p in parts], type=pa.binary()), pa.array(parts, type=pa.binary()),
+                    pa.array([batch.column("d1")[i].as_py()] * n, type=pa.int64()),
+                    pa.array([batch.column("d2")[i].as_py()] * n, type=pa.int64()),
+                    pa.array([c[0] for c in cuts], type=pa.int64())], names=["digest", "data", "of1", "of2", "at"])
+
+    held_texts = packed(texts).join(short, list(DOC)).select(*DOC, "packed", "spans")
+    parts = materialize(held_texts.mapInArrow(
+        run, "digest binary, data binary, of1 bigint, of2 bigint, at bigint"), "repeated-parts")
+    found = repeated_spans(parts.select("digest", "data"), min_len, local_members)
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.frombuffer(b"".join([d[:16] for d in batch.column("digest").to_pylist()]), dtype="<i8")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[0::2]), pa.array(names[1::2]), *[batch.column(c) for c in ("of1", "of2", "at")]],
+                names=[*DOC, "of1", "of2", "at"])
+
+    places = parts.select("digest", "of1", "of2", "at").mapInArrow(
+        head, "d1 bigint, d2 bigint, of1 bigint, of2 bigint, at bigint").distinct()  # equal texts have equal parts
+    shifted = places.join(found, list(DOC)).select(F.col("of1").alias("d1"), F.col("of2").alias("d2"), F.transform(
+        "spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end"))).alias("spans"))
+    return shifted.groupBy(*DOC).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def strip_repeats(
     docs: DataFrame, keep: Sequence[str] = ("doc_id",), min_len: int = MIN_LEN, local_members: int = LOCAL_MEMBERS,
-    as_text: bool = False,
+    as_text: bool = False, least_words: int = 0, passages: tuple[int, int] | None = None,
 ) -> DataFrame:
     """``keep``, kept (the remaining bytes), n_bytes, n_removed and n_spans of every document.
 
-    With ``as_text``, kept is text: of a character that a cut goes through nothing is left.
+    ``passages``, a shorter length in bytes and a number of words, adds n_passages and n_passage_bytes: the maximal stretches
+    of strings of that length that are met elsewhere, if they hold so many whole words, and their bytes.
+
+    With ``as_text``, kept is text: of a character that a cut goes through nothing is left. With ``least_words``, a maximal
+    repeated stretch goes only if it holds so many whole words.
 
     Null and empty texts have nothing to remove, nor have texts shorter than ``min_len`` bytes. Repeated rows are
     copies of one another and lose all windows. Every row comes out, null ids too; an empty table gives no rows.
@@ -411,7 +479,14 @@ def strip_repeats(
     keep = list(keep)
     small_batches(docs.sparkSession)
     texts = named_texts(docs, keep)
-    spans = repeated_spans(texts, min_len, local_members)
+    if passages is None:
+        spans = repeated_spans(texts, min_len, local_members).select(*DOC, "spans", F.lit(None).cast(
+            "array<struct<start:bigint,end:bigint>>").alias("short"))
+    else:
+        short = materialize(repeated_spans(texts, passages[0], local_members), "short-spans")
+        long = spans_inside(texts, short, min_len, local_members)
+        spans = short.withColumnRenamed("spans", "short").join(long, list(DOC), "left").select(*DOC, "spans", "short")
+    added = ["n_passages", "n_passage_bytes"] if passages else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -419,18 +494,21 @@ def strip_repeats(
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 some = batch.slice(first, 512)
-                kept, sizes, runs = [], [], []
-                for blob, cut in zip(some.column("packed").to_pylist(), some.column("spans").to_pylist()):
+                kept, numbers = [], []
+                for blob, cut, near in zip(*[some.column(c).to_pylist() for c in ("packed", "spans", "short")]):
                     data = unpack.decompress(blob)
-                    rest, n = without(data, cut) if cut else (data, 0)
+                    rest, n = without(data, cut, least_words) if cut else (data, 0)
                     kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
-                    sizes.append((len(data), len(data) - len(rest)))
-                    runs.append(n)
+                    sizes = [b - a for a, b in stretches(near or []) if whole_words(data, a, b) >= passages[1]] if passages else []
+                    numbers.append((len(data), len(data) - len(rest), n, len(sizes), sum(sizes)))
+                names = ["n_bytes", "n_removed", "n_spans", *added]
                 yield pa.RecordBatch.from_arrays(
                     [*[some.column(c) for c in keep], pa.array(kept, type=pa.string() if as_text else pa.binary()),
-                     *[pa.array([s[i] for s in sizes], type=pa.int64()) for i in (0, 1)], pa.array(runs, type=pa.int64())],
-                    names=[*keep, "kept", "n_bytes", "n_removed", "n_spans"])
-
-    joined = packed(texts, keep).join(spans, list(DOC), "left").select(*[F.col(f"`{c}`") for c in keep], "packed", "spans")
-    declared = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema[:-2])
-    return joined.mapInArrow(run, f"{declared}kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint")
+                     *[pa.array([row[i] for row in numbers], type=pa.int64()) for i in range(len(names))]],
+                    names=[*keep, "kept", *names])
+
+    joined = packed(texts, keep).join(spans, list(DOC), "left").select(
+        *[F.col(f"`{c}`") for c in keep], "packed", "spans", "short")
+    declared = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema[:-3])
+    more = "".join(f", {c} bigint" for c in ["n_bytes", "n_removed", "n_spans", *added])
+    return joined.mapInArrow(run, f"{declared}kept {'string' if as_text else 'binary'}{more}")

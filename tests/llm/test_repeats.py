@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioguard.llm import repeats
+from folioguard.llm.queries import QUERIES
 
 
 def plain(rows, size):
@@ -92,3 +93,45 @@ def test_cut_characters_leave_no_trace(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     texts = [r["kept"] for r in repeats.strip_repeats(docs, min_len=20, as_text=True).orderBy("doc_id").collect()]
     assert texts == ["é!", "ê?"] or texts == ["!", "?"] or all("a" not in t for t in texts)
+
+
+def test_stretches_with_few_whole_words_stay():
+    data = b"one two three four five six"
+    assert repeats.whole_words(data, 0, len(data)) == 6
+    assert repeats.whole_words(data, 1, len(data)) == 5
+    assert repeats.whole_words(data, 3, 13) == 2
+    assert repeats.whole_words(data, 5, 15) == 1  # wo three f
+    spans = [{"start": 4, "end": 9}, {"start": 8, "end": 18}, {"start": 24, "end": 27}]
+    assert repeats.stretches(spans) == [(4, 18), (24, 27)]
+    assert repeats.without(data, spans, least_words=3) == (b"one  five six", 1)
+    assert repeats.without(data, spans) == (b"one  five ", 2)
+
+
+def plain_passages(rows, size, words):
+    met = Counter()
+    for _, text in rows:
+        data = (text or "").encode()
+        met.update(data[p : p + size] for p in range(len(data) - size + 1))
+    out = {}
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        spans = [{"start": p, "end": p + size} for p in range(len(data) - size + 1) if met[data[p : p + size]] > 1]
+        sizes = [b - a for a, b in repeats.stretches(spans) if repeats.whole_words(data, a, b) >= words]
+        out[str(doc_id)] = (len(sizes), sum(sizes))
+    return out
+
+
+@pytest.mark.parametrize("size, letters, short", [(20, "abcdefgh ", 9), (40, "abcé ", 40), (16, "a ", 8)])
+def test_passages_beside_longer_repeats(spark, size, letters, short):
+    rows = invented(size, letters)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert stripped(docs, min_len=size, passages=(short, 3)) == plain(rows, size)
+    got = repeats.strip_repeats(docs, min_len=size, passages=(short, 3)).collect()
+    assert {str(r["doc_id"]): (r["n_passages"], r["n_passage_bytes"]) for r in got} == plain_passages(rows, short, 3)
+
+
+def test_query_on_the_given_table(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = QUERIES["op5_prefix_doubling_dedup"](spark, sf_dir).collect()
+    assert sorted((str(r[0]), *r[1:5]) for r in got) == plain(rows, 400)
+    assert {str(r["doc_id"]): (r["n_passages"], r["n_passage_bytes"]) for r in got} == plain_passages(rows, *repeats.PASSAGE)
