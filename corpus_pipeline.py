@@ -18,11 +18,14 @@ LEAST_LANGUAGE_SCORE = 0.3
 SHINGLE_WORDS = 5
 NEAR_BITS = 5
 LEAST_SIMILARITY = 0.8
+PASSAGE_WORDS = 51  # passages of over 50 words
+PASSAGE_BYTES = 200  # and of at least so many bytes: shorter words than three letters on average are not looked for
 CACHED_WORDS = 120_000  # workers share an executor's memory with what the earlier stages made it grow to
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the network learned; those without a letter or with a low score go."""
+    """Documents in a language the network learned; those without a letter (null and empty texts too) or with a low score
+    go. Repeated rows and null ids are judged like any other; other columns stay, whatever their names."""
     plain, restored = set_aside(docs, ("doc_id", "text", "lang"))
     named = language.identify(plain, keep=plain.columns)
     return restored(named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
@@ -35,13 +38,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that are met elsewhere. No document goes, though a text may be left empty.
+    """Texts without the passages of ``PASSAGE_WORDS`` words and over that are met elsewhere, the first time included. No
+    document goes, though a text may be left empty.
 
-    A null text stays null; ``n_chars``, where there is one, follows the text.
+    A null text stays null, an empty one empty; repeated rows are copies of one another and are emptied if they hold
+    enough words. ``n_chars``, where there is one, follows the text. Other columns stay, whatever their names.
     """
     plain, restored = set_aside(docs)
     rows = plain.withColumn("__null", F.col("text").isNull())
-    stripped = repeats.strip_repeats(rows, [c for c in rows.columns if c != "text"], as_text=True)
+    stripped = repeats.strip_repeats(
+        rows, [c for c in rows.columns if c != "text"], PASSAGE_BYTES, as_text=True, least_words=PASSAGE_WORDS)
     out = restored(stripped.withColumn("text", F.when(~F.col("__null"), F.col("kept"))))
     if "n_chars" not in docs.columns:
         return out
@@ -49,7 +55,8 @@ def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, parameters changed or not."""
+    """Documents that hold no benchmark item, parameters changed or not. Null and empty texts hold none and stay; repeated
+    rows are judged like any other, and other columns stay, whatever their names."""
     plain, restored = set_aside(docs)
     return restored(decontamination.keep_clean(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
