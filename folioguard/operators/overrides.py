@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioguard.functions.scalars import txt
 from folioguard.operators.tables import same
+from folioguard.session import materialize
 
 SHORTEST = "INTERVAL 15 MINUTES"
 LONGEST = "INTERVAL 90 DAYS"
@@ -76,23 +79,38 @@ def judge_requests(requests: DataFrame, issues: DataFrame) -> DataFrame:
     return joined.withColumn("error_code", code).drop("severity", "override_allowed")
 
 
-def overlapping(overrides: DataFrame, candidates: DataFrame, id_column: str = "override_id") -> DataFrame:
+def overlapping(
+    overrides: DataFrame, candidates: DataFrame, id_column: str = "override_id", ranges: int | None = None
+) -> DataFrame:
     """Candidates whose validity meets another stored override of the same issue.
 
     Intervals of an issue are put in order of their start. One meets an earlier interval if the latest end before it is
     after its start, and a later one if the next start is before its end: two running values instead of pairs, whatever
     the intervals' lengths. A row stored under the candidate's own id is the candidate itself.
+
+    The sorted intervals are dealt into ``ranges`` of rows (the session's shuffle partitions unless given), so an issue with
+    very many of them lies in several. The running values inside a range start from what the ranges before and after it
+    carry over: the latest end and the next start by issue, a row for each issue and range.
     """
     cuts = [*ISSUE_KEY, "overridden_at", "expires_at", id_column]
     rows = candidates.select(*cuts, F.lit(False).alias("__stored"), F.lit(True).alias("__asked")).unionByName(
         overrides.select(*cuts, F.lit(True).alias("__stored"), F.lit(False).alias("__asked")))
     one = rows.groupBy(*cuts).agg(F.max("__stored").alias("__stored"), F.max("__asked").alias("__asked"))
-    order = Window.partitionBy(*ISSUE_KEY).orderBy("overridden_at", "expires_at", id_column)
-    latest = F.max(F.when(F.col("__stored"), F.col("expires_at"))).over(
-        order.rowsBetween(Window.unboundedPreceding, -1))
-    following = F.min(F.when(F.col("__stored"), F.col("overridden_at"))).over(
-        order.rowsBetween(1, Window.unboundedFollowing))
-    marked = one.select(*cuts, "__asked", latest.alias("__latest"), following.alias("__next"))
+    dealt = one.repartitionByRange(*([ranges] if ranges else []), *[F.col(c) for c in cuts])
+    ranged = materialize(dealt.withColumn("__range", F.spark_partition_id()), "interval-ranges")
+    end = F.when(F.col("__stored"), F.col("expires_at"))
+    start = F.when(F.col("__stored"), F.col("overridden_at"))
+    by_range = Window.partitionBy(*ISSUE_KEY).orderBy("__range")
+    carried = ranged.groupBy(*ISSUE_KEY, "__range").agg(F.max(end).alias("e"), F.min(start).alias("s")).select(
+        *[F.col(c).alias(f"__{c}") for c in ISSUE_KEY], F.col("__range").alias("__of"),
+        F.max("e").over(by_range.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.min("s").over(by_range.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    same_issue = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ISSUE_KEY], F.col("__range") == F.col("__of"))
+    order = Window.partitionBy(*ISSUE_KEY, "__range").orderBy("overridden_at", "expires_at", id_column)
+    marked = ranged.join(carried, same_issue).select(
+        *cuts, "__asked",
+        F.greatest("__before", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))).alias("__latest"),
+        F.least("__after", F.min(start).over(order.rowsBetween(1, Window.unboundedFollowing))).alias("__next"))
     hits = marked.where(F.col("__asked") & (
         (F.col("__latest") > F.col("overridden_at")) | (F.col("__next") < F.col("expires_at")))).select(id_column)
     return candidates.join(hits.distinct(), id_column, "left_semi")

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from folioguard.operators import rules as R
 from folioguard.operators import summaries as S
+from folioguard.operators.paging import page_directory
+from folioguard.operators.sketches import STANDARD_ERROR, distinct_sketches, merged_estimates
 from folioguard.plans.quality import PROFILE
 from folioguard.plans.registry import query
 from folioguard.plans.sql import ANOMALY_CTES, PORTFOLIO_COLUMNS, on_anomalies, on_portfolio, with_ctes
-from folioguard.sources.portfolio import portfolio
+from folioguard.session import materialize
+from folioguard.sources.portfolio import portfolio, table
 
 # The median may lie half a cent between two amounts, so sums with imputed amounts are compared to a tenth of a cent.
 _MEDIAN = {
@@ -194,6 +197,35 @@ def w5_evidence_page(spark, sf_dir):
     return S.page(portfolio(spark, sf_dir, keep_key=True), ["o_orderkey", "transaction_id"], 3)
 
 
+@query("w5_deep_page", """select l_orderkey, l_linenumber, l_extendedprice from lineitem
+ order by l_extendedprice desc, l_orderkey, l_linenumber limit 250 offset 49750""")
+def w5_deep_page(spark, sf_dir):
+    """Page 200: one or two of the written ranges are opened."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    return page_directory(rows, order, range_rows=20_000).page(200)
+
+
+_SKETCH_SQL = """select month, exact_customers, cast(1 as int) within_bound from (
+ select strftime(o_orderdate, '%Y-%m') as month, count(distinct o_custkey) exact_customers from orders group by 1
+ union all select 'all', count(distinct o_custkey) from orders)"""
+
+
+@query("a6_merged_sketches", _SKETCH_SQL)
+def a6_merged_sketches(spark, sf_dir):
+    """Customers a month and over all months from monthly sketches, next to the exact counts: within three errors."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_custkey").cast("string").alias("customer_id"))
+    sketches = materialize(distinct_sketches(rows, ["customer_id"], ["month"]), "sketches")
+    found = merged_estimates(sketches, ["month"]).unionByName(
+        merged_estimates(sketches).withColumn("month", F.lit("all")))
+    exact = rows.groupBy("month").agg(F.countDistinct("customer_id").alias("exact_customers")).unionByName(
+        rows.agg(F.lit("all").alias("month"), F.countDistinct("customer_id").alias("exact_customers")))
+    off = F.abs(F.col("estimate") - F.col("exact_customers")) / F.greatest("exact_customers", F.lit(1))
+    return found.join(exact, "month").select(
+        "month", "exact_customers", (off <= 3 * STANDARD_ERROR).cast("int").alias("within_bound"))
+
+
 @query("t3_top_segments", on_portfolio(
     "select coalesce(segment,'Unknown') segment, count(*) records from portfolio group by 1 order by 2 desc, 1 limit 8"))
 def t3_top_segments(spark, sf_dir):

@@ -106,6 +106,31 @@ def test_overlap_is_half_open(spark):
     assert {r["override_id"] for r in O.overlapping(rows, rows).collect()} == {1, 2}
 
 
+def test_overlap_of_a_hot_issue_over_many_ranges(spark):
+    """One issue with nearly all rows lies in several ranges; what they carry over finds the same as all pairs."""
+    import random
+
+    rnd = random.Random(12)
+    rows = []
+    for i in range(400):
+        start = rnd.randrange(0, 60_000)
+        length = rnd.choice([1, 3, 10, 30]) if i % 97 else 9_000
+        issue = (1 if i % 10 else i % 3, "run") if i % 50 else (None, "run")
+        rows.append((i, issue[1], issue[0], start, start + length))
+    df = spark.createDataFrame(rows, "override_id int, validation_run_id string, issue_ordinal int, s int, e int").select(
+        "override_id", "validation_run_id", "issue_ordinal", F.timestamp_seconds("s").alias("overridden_at"),
+        F.timestamp_seconds("e").alias("expires_at"))
+    expected = {a[0] for a in rows for b in rows if a[0] != b[0] and a[1:3] == b[1:3] and a[3] < b[4] and b[3] < a[4]}
+    assert 0 < len(expected) < len(rows)
+    for ranges in (1, 9, 150):
+        assert {r["override_id"] for r in O.overlapping(df, df, ranges=ranges).collect()} == expected
+    asked = df.where("override_id % 4 = 0")
+    stored = df.where("override_id % 4 > 0")
+    against = {a[0] for a in rows if a[0] % 4 == 0 for b in rows
+               if b[0] % 4 and a[1:3] == b[1:3] and a[3] < b[4] and b[3] < a[4]}
+    assert {r["override_id"] for r in O.overlapping(stored, asked, ranges=9).collect()} == against
+
+
 def test_lifetimes_and_reasons(spark):
     df = spark.createDataFrame([
         (0, at("2026-01-01T00:00:00"), at("2026-01-01T00:15:00"), "long enough reason"),
