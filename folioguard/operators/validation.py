@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioguard.fixed_values import CONCEPT_CAPABILITIES, DIMENSION_WEIGHTS, MAPPING_ISSUES, VALIDATION_POLICY
@@ -30,16 +30,27 @@ def stripped(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) ->
         blank_to_null(F.col(f.normalized_column)).alias(f"v{i}") for i, f in enumerate(fields)])
 
 
-def field_evidence(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) -> DataFrame:
-    """Missing and invalid values per key and mapped field, from one aggregation."""
-    counts = []
+def cell_counts(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) -> DataFrame:
+    """``by``, i, value, lost, n: everything the evidence needs, from one scan in which a cell is parsed once.
+
+    A row gives one line (i = -1) with a mark for each field in ``lost``, 1 where it is missing, and a line for each invalid cell
+    with its field number and value. Lines are counted before they are shuffled, so what travels is the patterns of
+    missing fields and the distinct invalid values.
+    """
+    marks, cells = [], []
     for i, f in enumerate(fields):
         v = F.col(f"v{i}")
-        counts += [
-            n_if(v.isNull()).alias(f"m{i}"),
-            n_if(v.isNotNull() & ~valid_value(v, f.target_type)).alias(f"i{i}"),
-        ]
-    one = stripped(lexical, fields, by).groupBy(*by).agg(*counts)
+        marks.append(F.when(v.isNull(), "1").otherwise("0"))
+        cells.append(F.when(v.isNotNull() & ~valid_value(v, f.target_type), F.struct(
+            F.lit(i).alias("i"), v.alias("value"), F.lit("").alias("lost"))))
+    whole = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("value"), F.concat(*marks).alias("lost"))
+    rows = stripped(lexical, fields, by)
+    lines = rows.select(*by, F.inline(F.array_compact(F.array(whole, *cells))))
+    return lines.groupBy(*by, "i", "value", "lost").agg(F.count("*").alias("n"))
+
+
+def _lines(counts: DataFrame, fields: Sequence[Field], by: Sequence[str], *more: str) -> DataFrame:
+    """A row per key and field."""
     lines = F.array(*[
         F.struct(
             F.lit(i).alias("position"), F.lit(f.concept).alias("concept"), F.lit(f.target_type).alias("target_type"),
@@ -47,37 +58,43 @@ def field_evidence(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str
             F.col(f"i{i}").alias("invalid_count"))
         for i, f in enumerate(fields)
     ])
-    return one.select(*by, F.inline(lines))
+    return counts.select(*by, *more, F.inline(lines))
 
 
-def invalid_values(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) -> DataFrame:
-    """Distinct invalid values per key and concept."""
-    pairs = []
-    for i, f in enumerate(fields):
-        v = F.col(f"v{i}")
-        pairs.append(F.when(
-            v.isNotNull() & ~valid_value(v, f.target_type),
-            F.struct(F.lit(f.concept).alias("concept"), v.alias("value"))))
-    rows = stripped(lexical, fields, by)
-    long = rows.select(*by, F.explode(F.array_compact(F.array(*pairs))).alias("x"))
-    return long.select(*by, "x.*").distinct()
+def _totals(cells: DataFrame, fields: Sequence[Field], by: Sequence[str]) -> DataFrame:
+    def total(of: Column) -> Column:
+        return F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0))
 
+    return cells.groupBy(*by).agg(
+        *[total(F.substring("lost", i + 1, 1) == "1").alias(f"m{i}") for i in range(len(fields))],
+        *[total(F.col("i") == i).alias(f"i{i}") for i in range(len(fields))])
 
-def masked_examples(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str], n: int = 3) -> DataFrame:
-    """The ``n`` smallest distinct invalid values, hashed.
 
-    The row-number filter lets Spark keep ``n`` rows per group in every task before it shuffles.
-    """
-    place = F.row_number().over(Window.partitionBy(*by, "concept").orderBy("value"))
-    few = invalid_values(lexical, fields, by).withColumn("place", place).where(F.col("place") <= n)
+def field_evidence(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) -> DataFrame:
+    """Missing and invalid values per key and mapped field."""
+    return _lines(_totals(cell_counts(lexical, fields, by), fields, by), fields, by)
+
+
+def _smallest(cells: DataFrame, fields: Sequence[Field], by: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` smallest invalid values per key and field, hashed; every task keeps ``n`` before it shuffles."""
+    place = F.row_number().over(Window.partitionBy(*by, "i").orderBy("value"))
+    few = cells.where("i >= 0").withColumn("place", place).where(F.col("place") <= n)
     ordered = F.array_sort(F.collect_list(F.struct("place", masked(F.col("value")).alias("m"))))
-    return few.groupBy(*by, "concept").agg(F.transform(ordered, lambda x: x["m"]).alias("masked_examples"))
+    concepts = F.array(*[F.lit(f.concept) for f in fields])
+    return few.groupBy(*by, F.get(concepts, F.col("i")).alias("concept")).agg(
+        F.transform(ordered, lambda x: x["m"]).alias("masked_examples"))
+
+
+def masked_examples(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str], n: int = 3) -> DataFrame:
+    """The ``n`` smallest distinct invalid values per key and concept, hashed."""
+    return _smallest(cell_counts(lexical, fields, by), fields, by, n)
 
 
 def mapping_issues(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) -> DataFrame:
     """Per key, the mapping-level issues in field order as one array."""
-    evidence = field_evidence(lexical, fields, by)
-    rows = evidence.join(masked_examples(lexical, fields, by), [*by, "concept"], "left")
+    cells = cell_counts(lexical, fields, by)  # both uses read one shuffle
+    evidence = _lines(_totals(cells, fields, by), fields, by)
+    rows = evidence.join(_smallest(cells, fields, by, 3), [*by, "concept"], "left")
     caps = F.lit(None).cast("array<string>")
     for concept, dependent in CONCEPT_CAPABILITIES.items():
         names = ("quality_review", *dependent)
