@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from folioguard.fixed_values import REVIEW_COLUMNS, RULE_INPUTS, RULES, RULESET_VERSION
 from folioguard.functions.keyed import attach
 from folioguard.functions.scalars import clip, missing, n_if, num, present_text, r1
-from folioguard.operators.quantiles import Quantile, average_ranks, exact_quantiles
+from folioguard.operators.quantiles import (
+    Quantile, average_ranks, exact_quantiles, quantiles_of, ranks_of, value_counts)
 from folioguard.session import materialize, together
 
 RULE_IDS = [rule_id for rule_id, _ in RULES]
@@ -57,23 +59,26 @@ def repeated_keys(df: DataFrame) -> DataFrame | None:
 
 def segment_medians(df: DataFrame) -> DataFrame:
     """Median amount per segment, segments as they are written, null left out."""
-    wanted = [Quantile("segment_amount", num(df, "transaction_amount"), 0.5, grouped=True)]
+    wanted = [Quantile("segment_amount", num(df, "transaction_amount"), 0.5, grouped=True, spread=False)]
     return exact_quantiles(df, wanted, F.col("segment")).select(
         F.col("grp").alias("segment"), F.col("n").alias("records"), F.col("quantile").alias("median_amount"))
 
 
-def rule_baselines(df: DataFrame) -> DataFrame:
-    """Portfolio and segment baselines, from two numeric columns and the segment."""
+AMOUNT_REQUEST = 0
+
+
+def _baseline_requests(df: DataFrame) -> tuple[list[Quantile], Column | None]:
     amount = num(df, "transaction_amount")
     wanted = [
-        Quantile("amount", amount, 0.992),
-        Quantile("frequency", num(df, "transaction_frequency"), 0.992),
-    ]
+        Quantile("amount", amount, 0.992, spread=False), Quantile("frequency", num(df, "transaction_frequency"), 0.992)]
     if "segment" in df.columns:
-        wanted.append(Quantile("segment_amount", amount, 0.5, grouped=True))
-        return exact_quantiles(df, wanted, F.col("segment"))
-    wanted.append(Quantile("overall_amount", amount, 0.5))
-    return exact_quantiles(df, wanted)
+        return [*wanted, Quantile("segment_amount", amount, 0.5, grouped=True, spread=False)], F.col("segment")
+    return [*wanted, Quantile("overall_amount", amount, 0.5, spread=False)], None
+
+
+def rule_baselines(df: DataFrame) -> DataFrame:
+    """Portfolio and segment baselines, from two numeric columns and the segment."""
+    return exact_quantiles(df, *_baseline_requests(df))
 
 
 def rule_thresholds(baselines: DataFrame) -> DataFrame:
@@ -88,29 +93,56 @@ def rule_thresholds(baselines: DataFrame) -> DataFrame:
     )
 
 
-def rule_statuses(df: DataFrame) -> DataFrame:
-    """``df`` plus one status column per rule.
+@dataclass(frozen=True)
+class RuleFacts:
+    """What the rules compare a row with: thresholds, and written tables of segment medians, repeated keys and ranks."""
 
-    The baselines and the repeated record keys come from their own aggregations and are written, so the planner knows
-    their size; while they are small, the pass that writes the statuses needs no shuffle.
-    """
+    thresholds: Row
+    baselines: DataFrame
+    copies: DataFrame | None
+    ranks: DataFrame | None
+
+
+def rule_facts(df: DataFrame, ranks: bool = False) -> RuleFacts:
+    """The facts of a portfolio. Amounts, amounts by segment and frequencies are counted in one scan; thresholds, medians
+    and ranks all come from these written counts, side by side. Record keys are counted beside."""
     require_rule_inputs(df)
+    wanted, by = _baseline_requests(df)
     repeated = repeated_keys(df)
-    jobs = [lambda: materialize(rule_baselines(df), "baselines")]
-    if repeated is not None:
-        jobs.append(lambda: materialize(repeated.withColumnRenamed("copies", "__copies"), "repeated-keys"))
-    baselines, *copies = together(*jobs)
-    limits = rule_thresholds(baselines).first()
+
+    def from_counts():
+        counts = value_counts(df, wanted, by)
+        jobs = [lambda: materialize(quantiles_of(counts, wanted), "baselines")]
+        if ranks:
+            jobs.append(lambda: materialize(_percent_ranks(ranks_of(counts, AMOUNT_REQUEST)), "amount-ranks"))
+        baselines, *ranked = together(*jobs)
+        return rule_thresholds(baselines).first(), baselines, ranked[0] if ranked else None
+
+    def keys():
+        return None if repeated is None else materialize(repeated.withColumnRenamed("copies", "__copies"), "repeated-keys")
+
+    (thresholds, baselines, ranked), copies = together(from_counts, keys)
+    return RuleFacts(thresholds, baselines, copies, ranked)
+
+
+def rule_statuses(df: DataFrame, facts: RuleFacts | None = None) -> DataFrame:
+    """``df`` plus one status column per rule.
+
+    The baselines and the repeated record keys are written, so the planner knows their size; while they are small, the
+    pass that writes the statuses needs no shuffle.
+    """
+    facts = facts or rule_facts(df)
+    limits, copies = facts.thresholds, facts.copies
     rows = df
     if "segment" in df.columns:
-        medians = baselines.where(F.col("name") == "segment_amount").select(
+        medians = facts.baselines.where(F.col("name") == "segment_amount").select(
             F.col("grp").alias("segment"), F.col("quantile").alias("__median"))
         rows = attach(rows, medians, [(F.col("segment"), "segment")], ["__median"])
     else:
         rows = rows.withColumn("__median", F.lit(limits["median_amount"]).cast("double"))
-    if copies:
+    if copies is not None:
         on = [(F.col(k), k) for k in duplicate_key(df)[0]]
-        rows = attach(rows, copies[0], on, ["__copies"])
+        rows = attach(rows, copies, on, ["__copies"])
     else:
         rows = rows.withColumn("__copies", F.lit(None).cast("long"))
     amount, income = num(df, "transaction_amount"), num(df, "income")
@@ -171,26 +203,28 @@ def explain_rules(statuses: DataFrame) -> DataFrame:
     }).drop("__labels", "__skipped")
 
 
-def amount_percent_ranks(df: DataFrame) -> DataFrame:
-    """Average percent rank of every distinct amount: ``transaction_amount, records, amount_rank``."""
-    return average_ranks(df, num(df, "transaction_amount")).select(
+def _percent_ranks(ranked: DataFrame) -> DataFrame:
+    return ranked.select(
         F.col("v").alias("transaction_amount"), F.col("c").alias("records"),
         (F.col("rank") / F.col("n")).alias("amount_rank"))
 
 
-def attach_amount_rank(rows: DataFrame, source: DataFrame) -> DataFrame:
-    """``rows`` plus ``amount_rank``: average rank over the number of amounts, zero where there is no amount.
+def amount_percent_ranks(df: DataFrame) -> DataFrame:
+    """Average percent rank of every distinct amount: ``transaction_amount, records, amount_rank``."""
+    return _percent_ranks(average_ranks(df, num(df, "transaction_amount")))
+
 
-    The ranks come from ``source``, the frame the rows were made from, so that only the amount is read for them.
-    """
-    ranks = materialize(amount_percent_ranks(source).withColumnsRenamed({"amount_rank": "__rank"}), "amount-ranks")
-    ranked = attach(rows, ranks, [(num(rows, "transaction_amount"), "transaction_amount")], ["__rank"])
+def attach_amount_rank(rows: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``rows`` plus ``amount_rank``: average rank over the number of amounts, zero where there is no amount."""
+    known = ranks.select("transaction_amount", F.col("amount_rank").alias("__rank"))
+    ranked = attach(rows, known, [(num(rows, "transaction_amount"), "transaction_amount")], ["__rank"])
     return ranked.withColumn("amount_rank", F.coalesce("__rank", F.lit(0.0))).drop("__rank")
 
 
 def detect_anomalies(df: DataFrame) -> DataFrame:
     """Statuses, explanations and the 0-100 review score for every row of ``df``."""
-    rows = attach_amount_rank(explain_rules(rule_statuses(df)), df)
+    facts = rule_facts(df, ranks=True)
+    rows = attach_amount_rank(explain_rules(rule_statuses(df, facts)), facts.ranks)
     shortfall = F.coalesce(clip(70 - num(df, "repayment_history_score"), 0.0, 70.0), F.lit(0.0)) / 70
     income = num(df, "income")
     burden = F.coalesce(clip(F.when(income > 0, num(df, "existing_debt") / income), 0.0, 1.0), F.lit(0.0))

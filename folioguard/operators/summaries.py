@@ -19,10 +19,21 @@ DEFAULT_OUTCOMES = ((0, "Repaid"), (1, "Defaulted"))
 def medians_of(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact medians of the parseable values, all from one pass; a column without any is left out."""
     there = [c for c in columns if c in df.columns]
-    found = exact_quantiles(df, [Quantile(c, num(df, c), 0.5) for c in there]).collect() if there else []
+    found = exact_quantiles(df, [Quantile(c, num(df, c), 0.5, spread=False) for c in there]).collect() if there else []
     return {r["name"]: r["quantile"] for r in found}
 
 
+def _median_row(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
+    """One struct of the same medians as a plan, null where nothing parses; None when no column is there."""
+    there = [c for c in columns if c in df.columns]
+    if not there:
+        return None
+    found = exact_quantiles(df, [Quantile(c, num(df, c), 0.5, spread=False) for c in there])
+    return found.agg(F.struct(*[
+        F.max(F.when(F.col("name") == c, F.col("quantile"))).alias(c) if c in there else F.lit(None).cast("double").alias(c)
+        for c in columns]))
+
+
 def imputed(df: DataFrame, column: str, default: float = 0.0, medians: dict[str, float] | None = None) -> Column:
     """Parseable values, the median elsewhere; ``default`` throughout when nothing parses."""
     if column not in df.columns:
@@ -33,8 +44,6 @@ def imputed(df: DataFrame, column: str, default: float = 0.0, medians: dict[str,
 
 def kpi_record(df: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
     """The older ten-value KPI record. It imputes; the governed metrics do not."""
-    medians = medians_of(df, ["transaction_amount", "defaulted"])
-    amount, outcome = (imputed(df, c, medians=medians) for c in ("transaction_amount", "defaulted"))
     customers = F.countDistinct("customer_id") if "customer_id" in df.columns else F.count("*")
     source = anomalies if anomalies is not None and "is_suspicious" in anomalies.columns else df
     no_rows = F.lit(0).cast("long")
@@ -47,13 +56,29 @@ def kpi_record(df: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
         suspicious = no_rows
     high = n_if(F.col("risk_level") == "High") if "risk_level" in source.columns else no_rows
     flags = source.agg(F.struct(suspicious.alias("suspicious"), high.alias("high")))
-    one = df.agg(
-        F.count("*").alias("records_processed"),
-        F.coalesce(F.sum(amount), F.lit(0.0)).alias("total_revenue"),
-        customers.alias("total_customers"),
-        F.coalesce(F.avg(amount), F.lit(0.0)).alias("average_transaction_value"),
-        F.coalesce(r1((1 - F.avg(clip(outcome, 0.0, 1.0))) * 100), F.lit(0.0)).alias("loan_repayment_rate"),
-    )
+    amount, outcome = (num(df, c) if c in df.columns else F.lit(None).cast("double") for c in (
+        "transaction_amount", "defaulted"))
+    sums = df.agg(
+        F.count("*").alias("records_processed"), customers.alias("total_customers"),
+        F.count(amount).alias("amounts"), F.sum(amount).alias("amount_sum"),
+        F.count(outcome).alias("outcomes"), F.sum(clip(outcome, 0.0, 1.0)).alias("outcome_sum"))
+    # The median stands for every value that does not parse, so it enters the sums times their number; it is worked out
+    # beside them.
+    medians = _median_row(df, ["transaction_amount", "defaulted"])
+    one = sums.withColumn("__m", medians.scalar()) if medians is not None else sums.withColumn(
+        "__m", F.struct(*[F.lit(None).cast("double").alias(c) for c in ("transaction_amount", "defaulted")]))
+    n = F.col("records_processed")
+
+    def filled(total: str, count: str, median: Column) -> Column:
+        rest = (n - F.col(count)) * F.coalesce(median, F.lit(0.0))
+        return F.coalesce(F.col(total), F.lit(0.0)) + F.when(n > F.col(count), rest).otherwise(0.0)
+
+    revenue = filled("amount_sum", "amounts", F.col("__m")["transaction_amount"])
+    defaults = filled("outcome_sum", "outcomes", clip(F.col("__m")["defaulted"], 0.0, 1.0))
+    one = one.select(
+        "records_processed", revenue.alias("total_revenue"), "total_customers",
+        F.when(n > 0, revenue / n).otherwise(0.0).alias("average_transaction_value"),
+        F.when(n > 0, r1((1 - defaults / n) * 100)).otherwise(0.0).alias("loan_repayment_rate"))
     one = one.withColumn("__f", flags.scalar()).withColumn("__q", assess(df).select(
         F.struct("composite_score", "missing_cells", "duplicate_rows")).scalar())
     return one.select(
@@ -77,12 +102,16 @@ def monthly_amount(df: DataFrame, impute: bool = True) -> DataFrame:
         month = F.col("month").cast("string")
     else:
         month = F.lit("Unknown")
-    amount = imputed(df, "transaction_amount") if impute else num(df, "transaction_amount")
-    return (
-        df.select(month.alias("month"), amount.alias("a"))
-        .groupBy("month").agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("transaction_amount"))
-        .orderBy("month")
-    )
+    amount = num(df, "transaction_amount") if "transaction_amount" in df.columns else F.lit(None).cast("double")
+    medians = _median_row(df, ["transaction_amount"]) if impute else None
+    months = df.select(month.alias("month"), amount.alias("a")).groupBy("month").agg(
+        F.coalesce(F.sum("a"), F.lit(0.0)).alias("s"), (F.count("*") - F.count("a")).alias("lost"))
+    median = F.coalesce(F.col("__m")["transaction_amount"], F.lit(0.0)) if medians is not None else F.lit(0.0)
+    if medians is not None:
+        months = months.withColumn("__m", medians.scalar())
+    return months.select(
+        "month", (F.col("s") + F.when(F.col("lost") > 0, F.col("lost") * median).otherwise(0.0)).alias("transaction_amount")
+    ).orderBy("month")
 
 
 def category_counts(df: DataFrame, column: str, value_name: str = "records") -> DataFrame:

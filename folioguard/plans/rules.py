@@ -144,7 +144,7 @@ def w2_segment_medians(spark, sf_dir):
     "on transaction_amount=ra"))
 def w3_amount_percent_rank(spark, sf_dir):
     rows = portfolio(spark, sf_dir, keep_key=True)
-    ranked = R.attach_amount_rank(rows, rows)
+    ranked = R.attach_amount_rank(rows, R.amount_percent_ranks(rows))
     return ranked.select("o_orderkey", F.round("amount_rank", 9).alias("amount_rank"))
 
 
