@@ -386,6 +386,7 @@ class ModelBundle:
     metrics: DataFrame
     confusion: DataFrame
     provenance: DataFrame
+    preparation: Preparation | None = None  # known where the run was trained; the stored tables hold it
     feature_columns: list[str] = field(default_factory=lambda: list(MODEL_INPUTS))
     approval_status: str = "demonstration_unapproved"
 
@@ -422,15 +423,14 @@ def train(
             raise ModelBlocked(f"Model exploration is blocked: the {name} split does not contain both outcome classes.")
     rows = {name: sizes[name]["rows"] for name, _ in SPLITS}
 
-    def fitted(name: str, part: DataFrame, n: int) -> PipelineModel:
-        weighted = balanced(part)
-        stages = feature_stages(learn_preparation(part))
-        return Pipeline(stages=[*stages, candidates(float(n), seed)[name]]).fit(weighted)
+    def fitted(name: str, part: DataFrame, n: int, learned: Preparation) -> PipelineModel:
+        return Pipeline(stages=[*feature_stages(learned), candidates(float(n), seed)[name]]).fit(balanced(part))
 
     parts = {name: frame.where(F.col("split") == name) for name, _ in SPLITS}
     board = None
+    learned = learn_preparation(parts["train"])  # the same for all candidates
     for name in only or list(candidates(1.0, seed)):
-        scored = apply_model(fitted(name, parts["train"], rows["train"]), parts["validation"])
+        scored = apply_model(fitted(name, parts["train"], rows["train"], learned), parts["validation"])
         line = score_measures(scored).select(
             F.lit(name).alias("model"), F.lit("validation").alias("evaluation_split"), "*")
         board = line if board is None else board.unionByName(line)
@@ -438,7 +438,8 @@ def train(
     board = spark.createDataFrame(lines, board.schema)
     best = lines[0]["model"]
     both = frame.where(F.col("split").isin("train", "validation"))
-    final = fitted(best, both, rows["train"] + rows["validation"])
+    learned = learn_preparation(both)
+    final = fitted(best, both, rows["train"] + rows["validation"], learned)
     tested = apply_model(final, parts["holdout"])
     overlap = 0
     if strategy == GROUP_SPLIT:
@@ -466,7 +467,7 @@ def train(
         F.lit("uncalibrated_demonstration_score").alias("probability_status"),
     )
     return ModelBundle(
-        best, final, board, score_measures(tested), confusion_matrix(tested), provenance)
+        best, final, board, score_measures(tested), confusion_matrix(tested), provenance, learned)
 
 
 def score_records(bundle: ModelBundle, records: DataFrame) -> DataFrame:

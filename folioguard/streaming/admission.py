@@ -191,6 +191,9 @@ def with_state_store(spark: SparkSession) -> SparkSession:
     """A session for ``admit_stream``, with the state store it needs; the caller's settings stay as they are."""
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # A batch writes its changes, not the whole store, and old versions go soon.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    session.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
     return session
 
 

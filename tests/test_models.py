@@ -138,3 +138,41 @@ def test_demo_source_prefers_the_file(spark, tmp_path):
 def test_intents(spark, text, expected):
     df = spark.createDataFrame([(text,)], "q string")
     assert df.select(Q.intent(F.col("q"))).first()[0] == expected
+
+
+@pytest.mark.parametrize("name", ["Logistic Regression", "Decision Tree", "Random Forest"])
+def test_scores_from_tables_are_those_of_the_model(spark, demo, tmp_path, name):
+    from folioguard.operators import model_tables as MT
+
+    bundle = Y.train(demo, only=[name])
+    MT.save_bundle(bundle, str(tmp_path / "run"))
+    tables = MT.model_tables(spark, str(tmp_path / "run"))
+    complete = demo.dropDuplicates(["transaction_id"]).where(
+        " and ".join(f"{n} is not null" for n in Y.MODEL_INPUTS)).withColumn(
+        "segment", F.when(F.col("transaction_id").endswith("7"), "never seen").otherwise(F.col("segment")))
+    got = {r["transaction_id"]: r["score"] for r in MT.score_by_tables(complete, "transaction_id", tables).collect()}
+    fitted = Y.apply_model(bundle.model, complete.withColumn("label", F.lit(0.0))).select("transaction_id", "score").collect()
+    assert len(got) == len(fitted) > 100
+    assert all(got[r["transaction_id"]] == pytest.approx(r["score"], abs=1e-9) for r in fitted)
+    again = MT.load_bundle(spark, str(tmp_path / "run"))
+    assert again.name == name and again.run_id == bundle.run_id
+    assert again.metrics.first() == bundle.metrics.first()
+
+
+def test_a_stored_run_is_of_exactly_these_rows(spark, demo, tmp_path, monkeypatch):
+    from folioguard.operators import model_tables as MT
+
+    calls = []
+
+    def quick(df, seed, policy):
+        calls.append(df.count())
+        return Y.train(df, seed, only=["Decision Tree"], policy=policy)
+
+    monkeypatch.setattr(MT, "train", quick)
+    folder = str(tmp_path / "models")
+    one, _ = MT.stored_bundle(demo, folder=folder)
+    again, _ = MT.stored_bundle(demo.repartition(7), folder=folder)
+    assert calls == [1200] and one.run_id == again.run_id
+    changed, _ = MT.stored_bundle(demo.where("transaction_id <> 'TXN-200000'"), folder=folder)
+    assert len(calls) == 2 and changed.run_id != one.run_id
+    assert MT.load_bundle(spark, folder + "/nothing") is None
