@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -79,29 +82,51 @@ def first_jobs(jobs: DataFrame) -> DataFrame:
         "dataset_version_id", "j.*")
 
 
+def is_uuid(c: Column) -> Column:
+    """Whether text spells a UUID: 32 hexadecimal digits with hyphens, braces or a ``urn:uuid:`` in any of the usual places."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "urn:|uuid:", ""), r"^[{}]+|[{}]+$", ""), "-", "")
+    return F.coalesce(bare.rlike("^[0-9a-fA-F]{32}$"), F.lit(False))
+
+
 def check_references(jobs: DataFrame) -> DataFrame:
-    """JSON references of validation jobs: exactly the expected keys, own version, digest in form."""
+    """``reference_ok`` of validation jobs: the job's type, exactly the expected keys with text in each, the job's own
+    version, a digest in form, and a version and a mapping that are named by UUIDs."""
     parsed = jobs.withColumn("__r", F.from_json("input_reference", REFERENCE_TYPE))
     keys = F.map_keys("__r")
     wanted = F.array(*[F.lit(k) for k in REFERENCE_KEYS])
     exact = (F.size(F.array_except(keys, wanted)) == 0) & (F.size(F.array_except(wanted, keys)) == 0)
     own = F.element_at("__r", F.lit("dataset_version_id")) == F.col("dataset_version_id")
     digest = F.element_at("__r", F.lit("schema_fingerprint")).rlike("^[0-9a-f]{64}$")
-    named = F.element_at("__r", F.lit("mapping_version_id")) != ""
-    ok = F.coalesce(exact & own & digest & named, F.lit(False))
+    # A number or an object is no text, though the map above would show it as such.
+    quoted = reduce(and_, [
+        F.col("input_reference").rlike(rf'"{key}"\s*:\s*"') for key in REFERENCE_KEYS])
+    named = is_uuid(F.element_at("__r", F.lit("dataset_version_id"))) & is_uuid(F.element_at("__r", F.lit("mapping_version_id")))
+    typed = F.col("job_type") == "dataset.validate"
+    ok = F.coalesce(typed & exact & own & digest & quoted & named, F.lit(False))
     return parsed.withColumn("reference_ok", ok).drop("__r")
 
 
-def parse_object_keys(rows: DataFrame, column: str = "object_key") -> DataFrame:
-    """Six path parts: stage, organisation, workspace, dataset, version, file name; every id well formed."""
+def match_claimed_keys(jobs: DataFrame, column: str = "object_key") -> DataFrame:
+    """``key_matches``: the key is well formed, and its organisation, workspace and version are those of the job."""
     parts = F.split(column, "/")
+    same = reduce(and_, [F.get(parts, F.lit(at)).eqNullSafe(F.col(name)) for at, name in (
+        (1, "organization_id"), (2, "workspace_id"), (4, "dataset_version_id"))])
+    return jobs.withColumn("key_matches", F.coalesce(well_formed(parts) & same, F.lit(False)))
+
+
+def well_formed(parts: Column) -> Column:
     component = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,127}$"
-    middle = F.slice(parts, 2, 4)
-    ok = (
+    return (
         (F.size(parts) == 6)
         & (F.get(parts, F.lit(0)) == "quarantine")
         & (F.get(parts, F.lit(5)) == "original.csv")
-        & F.forall(middle, lambda p: p.rlike(component)))
+        & F.forall(F.slice(parts, 2, 4), lambda p: p.rlike(component)))
+
+
+def parse_object_keys(rows: DataFrame, column: str = "object_key") -> DataFrame:
+    """Six path parts: stage, organisation, workspace, dataset, version, file name; every id well formed."""
+    parts = F.split(column, "/")
+    ok = well_formed(parts)
     return rows.withColumns({
         "key_ok": F.coalesce(ok, F.lit(False)),
         "organization_id": F.get(parts, F.lit(1)),

@@ -34,6 +34,21 @@ def require_rule_inputs(df: DataFrame) -> None:
             f"Risk rule evaluation is blocked: Risk-rule evaluation is missing required inputs: {', '.join(absent)}.")
 
 
+def rule_readiness(columns: DataFrame) -> DataFrame:
+    """The same guard for many datasets at once: ``dataset_id`` and one row a dataset with status, the absent inputs in
+    order and the message; ``columns`` has dataset_id and normalized_column."""
+    there = columns.where(F.col("normalized_column").isin(*RULE_INPUTS)).groupBy("dataset_id").agg(
+        F.collect_set("normalized_column").alias("there"))  # at most the rule inputs
+    wanted = F.array(*[F.lit(c) for c in RULE_INPUTS])
+    absent = F.array_join(F.array_except(wanted, F.coalesce("there", F.array().cast("array<string>"))), ", ")
+    rows = columns.select("dataset_id").distinct().join(there, "dataset_id", "left")
+    return rows.select(
+        "dataset_id", F.when(absent == "", "ready").otherwise("blocked").alias("status"), absent.alias("missing_inputs"),
+        F.when(absent != "", F.concat(F.lit(
+            "Risk rule evaluation is blocked: Risk-rule evaluation is missing required inputs: "), absent, F.lit("."))).alias(
+            "message"))
+
+
 def duplicate_key(df: DataFrame) -> tuple[list[str], Column] | None:
     """Columns that identify a record, and where they can be used."""
     if "transaction_id" in df.columns:

@@ -561,12 +561,75 @@ def w8_first_jobs(spark, sf_dir):
     return L.first_jobs(derive(spark, sf_dir, "jobs"))
 
 
-@query("f17_job_references", with_tables(
-    "select job_id, case when input_reference like '%mapping_version_id%' then 1 else 0 end reference_ok from jobs",
-    "jobs"))
+def _uuid(key: str, prefix: str, digest: str) -> str:
+    """SQL for a UUID-shaped name made of a digest."""
+    h = f"{digest}(concat('{prefix}-', cast({key} as varchar(20))))"
+    return ("concat(" + ", '-', ".join(f"substr({h}, {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+            + ")")
+
+
+_OWN, _MAPPING = _uuid("o_orderkey", "version", "md5"), _uuid("o_orderkey", "mapping", "md5")
+
+
+def _reference_sql(kind: str = "o_orderkey%9") -> str:
+    """A reference with one defect in each of several kinds."""
+    schema = "sha256(concat('schema-', cast(o_custkey as varchar(20))))"
+
+    def pair(key: str, value: str) -> str:
+        return f"concat('\"{key}\":\"', {value}, '\"')"
+
+    version, mapping, digest = (pair("dataset_version_id", _OWN), pair("mapping_version_id", _MAPPING),
+                                pair("schema_fingerprint", schema))
+
+    def whole(*parts: str) -> str:
+        return "concat('{', " + ", ',', ".join(parts) + ", '}')"
+
+    return f"""case {kind} when 0 then {whole(pair("dataset_version_id", _MAPPING), mapping, digest)}
+ when 1 then {whole(version, digest)} when 2 then {whole(version, mapping, digest, pair("more", "'x'"))}
+ when 3 then {whole(version, mapping, pair("schema_fingerprint", f"upper({schema})"))}
+ when 4 then {whole(version, pair("mapping_version_id", "concat('mapping-', cast(o_orderkey as varchar(20)))"), digest)}
+ when 5 then {whole(version, "concat('\"mapping_version_id\":', cast(o_orderkey as varchar(20)))", digest)}
+ when 6 then '[]' else {whole(version, mapping, digest)} end"""
+
+
+_JOB_TYPE = "case when o_orderkey%5=0 then 'dataset.scan' else 'dataset.validate' end"
+_HEX = "'^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$'"
+
+
+@query("f17_job_references", f"""with j as (select o_orderkey job_id, {_OWN} version, {_JOB_TYPE} job_type,
+  {_reference_sql()} r from orders)
+ select job_id, cast(coalesce(job_type='dataset.validate' and json_type(r)='OBJECT'
+  and list_sort(json_keys(r))=['dataset_version_id','mapping_version_id','schema_fingerprint']
+  and json_type(r,'$.dataset_version_id')='VARCHAR' and json_type(r,'$.mapping_version_id')='VARCHAR'
+  and json_type(r,'$.schema_fingerprint')='VARCHAR' and r->>'$.dataset_version_id'=version
+  and regexp_full_match(r->>'$.schema_fingerprint','[0-9a-f]{{64}}')
+  and regexp_matches(r->>'$.dataset_version_id', {_HEX}) and regexp_matches(r->>'$.mapping_version_id', {_HEX}), false) as int)
+  reference_ok from j""")
 def f17_job_references(spark, sf_dir):
-    checked = L.check_references(derive(spark, sf_dir, "jobs"))
-    return checked.select("job_id", F.col("reference_ok").cast("int").alias("reference_ok"))
+    from folioguard.sources.portfolio import table
+
+    sha = _reference_sql().replace("sha256(", "sha2_256(").replace("sha2_256(concat('schema-', cast(o_custkey as varchar(20))))",
+                                                               "sha2(concat('schema-', cast(o_custkey as varchar(20))), 256)")
+    jobs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.expr(_OWN).alias("dataset_version_id"), F.expr(_JOB_TYPE).alias("job_type"),
+        F.expr(sha).alias("input_reference"))
+    return L.check_references(jobs).select("job_id", F.col("reference_ok").cast("int").alias("reference_ok"))
+
+
+_CLAIMED = ("concat('quarantine/org-', cast(o_custkey%7 as varchar(20)), '/ws-', cast(o_custkey%3 as varchar(20)), '/ds/version-', "
+            "cast(o_orderkey%4 as varchar(20)), '/original.csv')")
+
+
+@query("f14_claimed_keys", f"""select o_orderkey, cast(o_custkey%7=o_custkey%5 and o_custkey%3=0 and o_orderkey%4=2 as int)
+ key_matches from orders""")
+def f14_claimed_keys(spark, sf_dir):
+    """Keys against the organisation, workspace and version of the job that claims them."""
+    from folioguard.sources.portfolio import table
+
+    jobs = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.expr("concat('org-', cast(o_custkey%5 as varchar(20)))").alias("organization_id"),
+        F.lit("ws-0").alias("workspace_id"), F.lit("version-2").alias("dataset_version_id"), F.expr(_CLAIMED).alias("object_key"))
+    return L.match_claimed_keys(jobs).select("o_orderkey", F.col("key_matches").cast("int").alias("key_matches"))
 
 
 _PATHS = ("case o_orderkey%4 when 0 then concat('quarantine/org-', cast(o_custkey as varchar(20)), '/ws/data set/v/"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioguard.fixed_values import CONCEPTS, HEADER_ALIASES
+from folioguard.fixed_values import CONCEPTS, HEADER_ALIASES, RULE_INPUTS
 from folioguard.functions.scalars import n_if
 from folioguard.operators import headers as H
 from folioguard.operators import privacy as V
+from folioguard.operators.rules import rule_readiness
 from folioguard.plans.registry import query
 from folioguard.session import staging_path
 from folioguard.sources import artifacts as A
@@ -333,6 +334,26 @@ def h2_w4_collision_suffixes(spark, sf_dir):
     return H.suffix_collisions(header_catalogue(spark, sf_dir), ["dataset_id"])
 
 
+_RULE_COLUMNS = ", ".join(f"case when not list_contains(c, '{c}') then '{c}' end" for c in RULE_INPUTS)
+
+
+@query("r16_rule_readiness", f"""with h as (select dataset_id, normalized_column from ({{base}})),
+ d as (select dataset_id, list(normalized_column) c from h group by 1),
+ m as (select dataset_id, array_to_string(list_filter([{_RULE_COLUMNS}], lambda x: x is not null), ', ') missing_inputs from d)
+ select dataset_id, case when missing_inputs='' then 'ready' else 'blocked' end status, missing_inputs,
+ case when missing_inputs<>'' then concat('Risk rule evaluation is blocked: Risk-rule evaluation is missing required inputs: ',
+  missing_inputs, '.') end message from m""".replace("{base}", f"""select c_custkey dataset_id,
+  unnest(list_filter([{', '.join(f"case when (c_custkey*{i + 3}+{i})%{i + 7}>0 then '{c}' end" for i, c in enumerate(RULE_INPUTS))},
+   'note'], lambda x: x is not null)) normalized_column from customer"""))
+def r16_rule_readiness(spark, sf_dir):
+    """Datasets that lack one rule input or another, and what the guard says of each."""
+    names = F.array(*[F.when(F.expr(f"(c_custkey*{i + 3}+{i})%{i + 7}>0"), F.lit(c)) for i, c in enumerate(RULE_INPUTS)],
+                    F.lit("note"))
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("dataset_id"), F.explode(F.array_compact(names)).alias("normalized_column"))
+    return rule_readiness(rows)
+
+
 @query("h3_concept_suggestions", f"""with {_HEADERS_SQL}, k as ({_KNOWN_SQL}) select dataset_id, position, source_column,
  normalized_column, concept suggested_concept, cast(coalesce(conf,0) as double) confidence, case when concept is null
  then 'unmapped' else 'suggested' end status, cast(concept is not null as int) confirmation_required
