@@ -13,8 +13,7 @@ from folioguard.operators.summaries import largest_segment, most_common_category
 MODEL_MEASURES = ("accuracy", "precision", "recall", "f1_score", "roc_auc", "pr_auc")
 _METRIC_FIELDS = (
     "label", "status", "value", "currency", "quality_status", "definition_version", "unavailable_reason", "recovery",
-    "logic_version",
-)
+    "logic_version", "source_reference")
 
 
 def normalized_question(c: Column) -> Column:
@@ -103,7 +102,8 @@ def answers(
             lost("transaction_value"),
             fill(ANSWERS["transaction_value"], total=shown("transaction_value"),
                  average=shown("average_transaction_value"),
-                 definition=f["transaction_value"]["definition_version"], dataset=f["dataset"])),
+                 definition=f["transaction_value"]["definition_version"],
+                 dataset=F.coalesce(f["transaction_value"]["source_reference"], f["dataset"]))),
         "data_quality": fill(
             ANSWERS["data_quality"], score=percent1(quality["value"]), status=quality["quality_status"],
             missing=thousands(f["missing_values"]["value"]), duplicates=thousands(f["duplicate_rows"]["value"])),

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioguard.fixed_values import MODEL_CATEGORICAL, MODEL_INPUTS, MODEL_NUMERIC, RULESET_VERSION
+from folioguard.fixed_values import ANSWERS, MODEL_CATEGORICAL, MODEL_INPUTS, MODEL_NUMERIC, RULESET_VERSION
 from folioguard.functions.hashing import key_pads, subject_digest
 from folioguard.operators import metrics as M
 from folioguard.operators import modeling as Y
-from folioguard.operators.model_tables import model_tables, score_by_tables, stored_bundle
 from folioguard.operators import questions as Q
 from folioguard.operators import rules as R
-from folioguard.plans.quality import METRIC_CTES
+from folioguard.operators.model_tables import model_tables, score_by_tables, stored_bundle
+from folioguard.operators.profile import fingerprint
+from folioguard.plans.quality import _PLAIN, METRIC_CTES
 from folioguard.plans.registry import query
 from folioguard.plans.sql import ANOMALY_CTES, on_portfolio, with_ctes
 from folioguard.sources.portfolio import portfolio, table
@@ -64,11 +65,12 @@ _ANSWER = f"""case intent
  when 'why_flagged' then concat(tx, ' was flagged because ', lower(notes), '.', {_CAVEAT})
  when 'transaction_value' then concat('Total transaction value is NGN ', format('{{:,}}', total),
   ', with an average of NGN ', format('{{:,}}', average),
-  '. This is transaction value, not recognized revenue. Definition: portfolio.transaction-value/1.0.0; source: portfolio.')
+  '. This is transaction value, not recognized revenue. Definition: portfolio.transaction-value/1.0.0; source: ',
+  (select dataset_reference from reference), '.')
  when 'data_quality' then concat('The composite data quality score is ', format('{{:.1f}}', composite), '% (warn). I found ',
   format('{{:,}}', missing_cells), ' missing values and ', format('{{:,}}', duplicate_rows),
   ' duplicate rows. Review the six quality dimensions because a composite score never overrides a blocking issue.')
- when 'model' then 'On the final holdout, the demonstration model scored 0.91 accuracy, 0.52 precision, 0.44 recall, 0.48 F1-score, 0.80 ROC-AUC, and 0.39 PR-AUC. Its output is uncalibrated, the model is unapproved, and every score requires human review.'
+ when 'model' then '{ANSWERS["model_none"]}'
  when 'segment' then concat('The largest customer segment is ', seg, ', and total unique customers are ',
   format('{{:,}}', cu), '.')
  else 'Review the governed metric definitions, resolve dataset issues, inspect versioned rule evidence, and use the accessible report for a traceable summary.' end"""
@@ -83,23 +85,34 @@ _FACT_ROW = """select (select suspicious_category from anomalies where is_suspic
  (select cast(round_even(avg(transaction_amount),0) as bigint) from portfolio) average,
  (select coalesce(segment,'Unknown') from portfolio group by 1 order by count(*) desc, 1 limit 1) seg,
  (select cu from facts) cu, composite, missing_cells, duplicate_rows from score"""
-SAMPLE_MEASURES = {
-    "accuracy": 0.91, "precision": 0.52, "recall": 0.44, "f1_score": 0.48, "roc_auc": 0.80, "pr_auc": 0.39}
+
+
+def _answer_facts(spark, sf_dir):
+    rows = portfolio(spark, sf_dir, keep_key=True)
+    plain = rows.drop("o_orderkey")
+    anomalies = R.detect_anomalies(rows)
+    reference = fingerprint(plain.select(*_PLAIN)).first()["dataset_reference"]
+    metrics = M.metric_table(plain, anomalies, RULESET_VERSION, reference=reference)
+    return Q.facts(plain, anomalies, metrics, ["o_orderkey"], reference)
 
 
 @query("q2_answers", with_ctes(
     ANOMALY_CTES, f"select conv_id, turn, intent, {_ANSWER} answer from told, one", **METRIC_CTES, **_QUESTIONS,
     one=_FACT_ROW))
 def q2_answers(spark, sf_dir):
-    rows = portfolio(spark, sf_dir, keep_key=True)
-    plain = rows.drop("o_orderkey")
-    anomalies = R.detect_anomalies(rows)
-    metrics = M.metric_table(plain, anomalies, RULESET_VERSION)
-    one = Q.facts(plain, anomalies, metrics, ["o_orderkey"], "portfolio")
-    told = Q.answers(user_questions(spark, sf_dir), "question", one, SAMPLE_MEASURES)
+    """Answers without a model run, each with the reference of the dataset it is about."""
+    told = Q.answers(user_questions(spark, sf_dir), "question", _answer_facts(spark, sf_dir))
     return told.select("conv_id", "turn", "intent", "answer")
 
 
+@query("q2_model_answers")
+def q2_model_answers(spark, sf_dir):
+    """Answers about the model, from the holdout measures of the stored run."""
+    measures = stored_bundle(portfolio(spark, sf_dir))[0].metrics.first().asDict()
+    told = Q.answers(user_questions(spark, sf_dir), "question", _answer_facts(spark, sf_dir), measures)
+    return told.where("intent = 'model'").select("conv_id", "turn", "answer")
+
+
 # --- models ---
 @query("a36_class_counts", on_portfolio(
     "select count(*) total_rows, count(defaulted) eligible_rows, count(*) filter (where defaulted=0) class_0, "
