@@ -170,7 +170,8 @@ ISSUES = {
         "Map every required rule input before evaluating suspicious activity.",
         ("risk_rule_evaluation",), False),
 }
-# mapping-level issue texts: code -> (severity, dimension, message, recovery, override_allowed)
+# --- fixed values: mapping-level issue texts ---
+# code -> (severity, dimension, message, recovery, override_allowed)
 MAPPING_ISSUES = {
     "missing_required_field": (
         "block", "completeness",
@@ -253,7 +254,8 @@ METRICS = {
         "High-priority rule records", "records", "portfolio.high-priority-rule-records/1.0.0",
         ("is_suspicious", "risk_level")),
 }
-# reasons a metric is unavailable: key -> (reason, recovery)
+# --- fixed values: reasons a metric is unavailable ---
+# key -> (reason, recovery)
 UNAVAILABLE = {
     "no_amount": (
         "The dataset has no mapped transaction amount.",
@@ -385,7 +387,8 @@ QUESTION_INTENTS = (
     ("model", ("model", "accuracy", "precision", "recall", "f1", "auc")),
     ("segment", ("customers", "segments", "segment")),
 )
-# answer texts; {name} marks a fact put in by the operator
+# --- fixed values: answer texts ---
+# {name} marks a fact put in by the operator
 ANSWERS = {
     "empty": "Ask about risk, suspicious records, transaction value, data quality, model performance, "
              "or next actions.",
@@ -418,7 +421,7 @@ ANSWERS = {
     "caveat": " Coverage caveat: {count} record-rule evaluations were not evaluated because required evidence was "
               "missing or invalid.",
 }
-# narrative texts built from metric rows and from the older KPI record
+# --- fixed values: narrative texts built from metric rows and from the older KPI record ---
 METRIC_NARRATIVES = {
     "quality": "Composite data quality is {value}% ({status}); review the six dimensions and blocking issues before "
                "relying on it.",
