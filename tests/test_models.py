@@ -141,9 +141,17 @@ def test_intents(spark, text, expected):
 
 
 @pytest.mark.parametrize("name", ["Logistic Regression", "Decision Tree", "Random Forest"])
-def test_scores_from_tables_are_those_of_the_model(spark, demo, tmp_path, name):
+def test_scores_from_tables_are_those_of_the_model(spark, demo, tmp_path, name, monkeypatch):
     from folioguard.operators import model_tables as MT
 
+    whole = Y.candidates
+
+    def smaller(weight_sum, seed):
+        found = whole(weight_sum, seed)
+        found["Random Forest"].setNumTrees(9)
+        return found
+
+    monkeypatch.setattr(Y, "candidates", smaller)
     bundle = Y.train(demo, only=[name])
     MT.save_bundle(bundle, str(tmp_path / "run"))
     tables = MT.model_tables(spark, str(tmp_path / "run"))

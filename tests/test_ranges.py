@@ -73,7 +73,7 @@ def test_maps_compose_to_the_whole(lines, per_range):
         (s.end, s.closed, s.n, s.widest.tolist(), s.head.tolist(), s.tail.tolist(), s.first) for s in state]
 
 
-@pytest.mark.parametrize("range_bytes", [1, 7, 40, 1 << 20])
+@pytest.mark.parametrize("range_bytes", [5, 40, 1 << 20])
 def test_records_of_any_range_size(spark, tmp_path, monkeypatch, range_bytes):
     monkeypatch.setattr(R, "GROUP_RANGES", 3)
     rnd = random.Random(range_bytes)
