@@ -383,11 +383,14 @@ def admission_tick(events):
         (F.coalesce("last", F.lit("2000-01-01").cast("timestamp")).cast("timestamp") + F.expr("interval 9999 days")).alias("ts"))
 
 
+STATE_PARTITIONS = 12
+
+
 def _stream(spark, sf_dir, folders: int, late_by: str):
     """Decisions over events dealt out to ``folders`` micro-batches by id, so that each has events of the whole time."""
     from folioguard.session import staging_path
 
-    session = X.with_state_store(spark)
+    session = X.with_state_store(spark, STATE_PARTITIONS)
     events = table(spark, sf_dir, "events")
     source, last = staging_path(spark, "requests"), staging_path(spark, "tick")
     for i in range(folders):

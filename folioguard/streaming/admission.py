@@ -187,9 +187,15 @@ class AdmissionProcessor(StatefulProcessor):
 Request = namedtuple("Request", [*KEY, *PENDING])
 
 
-def with_state_store(spark: SparkSession) -> SparkSession:
-    """A session for ``admit_stream``, with the state store it needs; the caller's settings stay as they are."""
+def with_state_store(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session for ``admit_stream``, with the state store it needs; the caller's settings stay as they are.
+
+    ``partitions`` is the number of state stores, fixed for the life of a checkpoint (the session's shuffle partitions
+    unless given). A store sets some megabytes of disk aside however little it holds.
+    """
     session = spark.newSession()
+    if partitions:
+        session.conf.set("spark.sql.shuffle.partitions", str(partitions))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # A batch writes its changes, not the whole store, and old versions go soon.
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
