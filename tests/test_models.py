@@ -184,3 +184,14 @@ def test_a_stored_run_is_of_exactly_these_rows(spark, demo, tmp_path, monkeypatc
     changed, _ = MT.stored_bundle(demo.where("transaction_id <> 'TXN-200000'"), folder=folder)
     assert len(calls) == 2 and changed.run_id != one.run_id
     assert MT.load_bundle(spark, folder + "/nothing") is None
+
+
+def test_training_rows_are_dealt_over_parts(spark):
+    rows = spark.range(50_000, numPartitions=1).select(
+        F.lit("same").alias("customer_id"), (F.col("id") % 7).cast("double").alias("income"),
+        F.when(F.col("id") % 3 > 0, F.lit(1.0)).otherwise(0.0).alias("label"))
+    dealt = Y.spread(rows, 50_000)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 3 and max(sizes) < 1.2 * Y.ROWS_PER_PART
+    assert dealt.exceptAll(rows).isEmpty() and rows.exceptAll(dealt).isEmpty()
+    assert Y.spread(rows, Y.ROWS_PER_PART) is rows
