@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioguard.sources.portfolio import table
 
+ROWS_PER_TASK = 250_000
 _ORG = "concat('org-', cast({k}%5 as varchar(20)))"
 _WS = "concat('ws-', cast({k}%25 as varchar(20)))"
 _TENANT = {"organization_id": _ORG, "workspace_id": _WS}
@@ -173,12 +174,23 @@ TABLES: dict[str, tuple[str, str | None, dict[str, str]]] = {
 
 
 
+def _dealt(rows: DataFrame, copies: int) -> DataFrame:
+    """``rows`` dealt evenly so that no task makes many more than ``ROWS_PER_TASK`` rows of them.
+
+    A small file is read by one task, and the rows it stands for may be many times its size. Parquet keeps the count.
+    """
+    parts = -(-rows.count() * copies // ROWS_PER_TASK)
+    if parts <= 1:
+        return rows
+    return rows.withColumn("__deal", F.monotonically_increasing_id()).repartition(parts, "__deal").drop("__deal")
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Governance table ``name`` as Spark derives it."""
     source, copies, columns = TABLES[name]
     rows = table(spark, sf_dir, source)
     if copies:
-        rows = rows.withColumn("position", F.explode(F.sequence(F.lit(1), F.lit(int(copies)))))
+        rows = _dealt(rows, int(copies)).withColumn("position", F.explode(F.sequence(F.lit(1), F.lit(int(copies)))))
     return rows.select([F.expr(spark_sql(e)).alias(n) for n, e in columns.items()])
 
 

@@ -8,6 +8,7 @@ from folioguard.operators import mapping as P
 from folioguard.operators import overrides as O
 from folioguard.operators import tables as T
 from folioguard.operators import validation as D
+from folioguard.sources import catalogue as K
 
 VALUES = ("1", "1.5", "true", "2026-08-25", "bad")
 VALID = {
@@ -267,3 +268,15 @@ def test_places_by_pointer_doubling(spark):
     lost = U.intact_prefixes(U.place_events(cases[2])).collect()
     assert sum(r["unreachable_events"] for r in lost) > 0
     assert U.place_events(chained.limit(0)).count() == 0
+
+
+def test_derived_copies_are_made_by_several_tasks(spark, tmp_path, monkeypatch):
+    spark.range(1000, numPartitions=1).select(
+        F.when(F.col("id") % 10 > 0, 7).alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    plain = K.derive(spark, str(tmp_path), "mapping_fields")
+    assert plain.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(K, "ROWS_PER_TASK", 1000)
+    dealt = K.derive(spark, str(tmp_path), "mapping_fields")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 2000
+    assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
