@@ -394,7 +394,8 @@ def records(spark: SparkSession, path: Paths, range_bytes: int | None = None) ->
 # -- whole-file facts
 
 def file_digests(spark: SparkSession, path: Paths, max_bytes: int = WHOLE_FILE) -> DataFrame:
-    """file and sha256 of its bytes. SHA-256 is sequential, so a file streams through one task, line by line."""
+    """file and sha256 of its bytes. SHA-256 is sequential, so a file streams through one task, line by line; other files
+    go to other tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, size, done, plain, marked = None, 0, 0, None, None
@@ -425,7 +426,9 @@ def file_digests(spark: SparkSession, path: Paths, max_bytes: int = WHOLE_FILE)
         if file is not None:
             yield row()
 
-    made = file_lines(spark, path, WHOLE_FILE, max_bytes).mapInArrow(run, "file bigint, sha256 string")
+    # A split as large as the largest file cuts no file, and no task is dealt more than that many bytes.
+    most = listed_files(spark, path).where(F.col("length") <= max_bytes).agg(F.max("length")).first()[0]
+    made = file_lines(spark, path, max(most or 0, RANGE_BYTES), max_bytes).mapInArrow(run, "file bigint, sha256 string")
     return materialize_in(spark, made, "digests")
 
 

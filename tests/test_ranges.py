@@ -109,6 +109,16 @@ def test_digests_are_of_the_bytes(spark, tmp_path):
     assert got == {f"f{i}.csv": hashlib.sha256(c).hexdigest() for i, c in enumerate(contents)}
 
 
+def test_digests_of_several_files_are_made_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "RANGE_BYTES", 1 << 16)
+    contents = [f"{i},b\n".encode() * 50_000 for i in range(4)]
+    for i, c in enumerate(contents):
+        (tmp_path / f"f{i}.csv").write_bytes(c)
+    digests = R.file_digests(spark, str(tmp_path))
+    assert len(digests.inputFiles()) == 4
+    assert {r["sha256"] for r in digests.collect()} == {hashlib.sha256(c).hexdigest() for c in contents}
+
+
 def test_split_reading_equals_a_plain_reader(spark, tmp_path):
     rnd = random.Random(4)
     rows = [[str(i), rnd.choice(["", "N/A", " pad ", 'say "hi", twice', "two\nlines", "cr\rhere", "a\r\nb", "ü;|\t"]),
