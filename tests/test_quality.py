@@ -135,3 +135,15 @@ def test_outcome_labels_and_counts(spark):
     df = spark.createDataFrame([("0", "x"), ("1", None), ("7", "x")], "defaulted string, c string")
     assert {r[0]: r[1] for r in S.outcome_breakdown(df).collect()} == {"Defaulted": 2, "Repaid": 1}
     assert [tuple(r) for r in S.category_counts(df, "c").collect()] == [("x", 2), ("Unknown", 1)]
+
+
+def test_metric_values_do_not_sort_the_rows(spark):
+    rows = [portfolio_row(customer_id=c, transaction_amount=a, currency=u) for c, a, u in [
+        ("A", 1.0, "NGN"), ("A", 2.0, " ngn "), ("B", None, None), (None, 6.0, "NGN")]]
+    values = M._values(frame(spark, rows), None)
+    one = values.first()
+    assert (one["amount_sum"], one["amount_avg"], one["customers"], one["currency"]) == (9.0, 3.0, 2, "NGN")
+    plan = values._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert "HashAggregate" in [line for line in plan if "Aggregate" in line][-1]
+    empty = M._values(frame(spark, []), None).first()
+    assert (empty["amount_sum"], empty["amount_avg"], empty["customers"], empty["outcome_zero"]) == (None, None, 0, 0)
