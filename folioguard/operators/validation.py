@@ -13,6 +13,7 @@ from folioguard.functions.scalars import blank_to_null, n_if
 from folioguard.operators.mapping import Field, canonicalize, valid_value
 from folioguard.operators.profile import assess, capability_results, issue_struct, severity_count
 from folioguard.operators.tables import append_absent, difference
+from folioguard.session import materialize, together
 
 DETAIL_KEYS = {
     "validation_runs": ["validation_run_id"],
@@ -92,7 +93,8 @@ def masked_examples(lexical: DataFrame, fields: Sequence[Field], by: Sequence[st
 
 def mapping_issues(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) -> DataFrame:
     """Per key, the mapping-level issues in field order as one array."""
-    cells = cell_counts(lexical, fields, by)  # both uses read one shuffle
+    # Written, because the two uses do not share a shuffle and each would parse every cell.
+    cells = materialize(cell_counts(lexical, fields, by), "cell-counts")
     evidence = _lines(_totals(cells, fields, by), fields, by)
     rows = evidence.join(_smallest(cells, fields, by, 3), [*by, "concept"], "left")
     caps = F.lit(None).cast("array<string>")
@@ -125,8 +127,10 @@ def validate(lexical: DataFrame, fields: Sequence[Field], by: Sequence[str]) ->
 
     Readiness is worked out again over all issues; the fitness score keeps its value from before.
     """
-    assessment = assess(canonicalize(lexical, fields, by), by)
-    joined = assessment.join(mapping_issues(lexical, fields, by), list(by))
+    # Written, because the counts and the repeats would each parse every cell.
+    canonical, issues = together(
+        lambda: materialize(canonicalize(lexical, fields, by), "canonical"), lambda: mapping_issues(lexical, fields, by))
+    joined = assess(canonical, by).join(issues, list(by))
     runs = joined.withColumn("issues", F.concat("mapping_issues", "issues")).drop("mapping_issues", "capabilities")
     runs = runs.withColumn("capabilities", capability_results())
     review = F.filter("capabilities", lambda x: x["capability"] == "quality_review")

@@ -243,7 +243,7 @@ LEXICAL = {
 
 
 def lexical_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders")
+    rows = _dealt(table(spark, sf_dir, "orders"), 1)
     day = "date_format(o_orderdate,'yyyy-MM-dd')"
     return rows.select([F.expr(e.replace("{d}", day)).alias(n) for n, e in LEXICAL.items()])
 

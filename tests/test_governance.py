@@ -280,3 +280,14 @@ def test_derived_copies_are_made_by_several_tasks(spark, tmp_path, monkeypatch):
     sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 6000 and max(sizes) < 2000
     assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
+
+
+def test_cells_are_parsed_once_for_counts_and_examples(spark):
+    names = ["version", *[f.normalized_column for f in FIELDS]]
+    rows = spark.createDataFrame([("a", *["bad"] * len(FIELDS)), ("a", *[None] * len(FIELDS))], ", ".join(
+        f"{n} string" for n in names))
+    found = D.mapping_issues(rows, FIELDS, ["version"])
+    assert found.inputFiles() and all("cell-counts" in f for f in found.inputFiles())
+    runs = D.validate(rows, FIELDS, ["version"])
+    assert all("cell-counts" in f or "canonical" in f for f in runs.inputFiles())
+    assert runs.first()["verdict"] == "blocked"
