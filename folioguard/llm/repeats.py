@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioguard.llm.common import release, small_batches
-from folioguard.session import materialize
+from folioguard.session import discard, materialize, staging_path
 
 MIN_LEN = 400
 PASSAGE = (200, 51)  # bytes and whole words of a passage of over 50 words
@@ -288,7 +288,7 @@ def _compare(batches: Iterator[pa.RecordBatch], lengths: Lengths) -> Iterator[pa
         yield _batch(dict(zip(SPAN_KINDS, zip(*out))), SPAN_KINDS)
 
 
-def _count_windows(crowded: DataFrame, lengths: Lengths) -> DataFrame:
+def _count_windows(crowded: DataFrame, lengths: Lengths, folder: str) -> DataFrame:
     """The same for ranks with very many members: a row for each window, counted by Spark."""
     need, size = lengths.min_len, lengths.block
     kinds = {"w1": pa.int64(), "w2": pa.int64(), "offset": pa.int32(), "d1": pa.int64(), "d2": pa.int64(),
@@ -307,7 +307,7 @@ def _count_windows(crowded: DataFrame, lengths: Lengths) -> DataFrame:
                 yield _batch(out, kinds)
 
     rows = materialize(crowded.mapInArrow(
-        run, "w1 bigint, w2 bigint, offset int, d1 bigint, d2 bigint, start bigint, known boolean"), "windows")
+        run, "w1 bigint, w2 bigint, offset int, d1 bigint, d2 bigint, start bigint, known boolean"), "windows", folder)
     key = ["w1", "w2", "offset"]
     twice = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return rows.where("not known").join(twice, key).select(*DOC, "start", (F.col("start") + need).alias("end"))
@@ -315,15 +315,19 @@ def _count_windows(crowded: DataFrame, lengths: Lengths) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, min_len: int = MIN_LEN, local_members: int = LOCAL_MEMBERS) -> DataFrame:
     """d1, d2 (the head of a text's SHA-256) and ``spans``, structs (start, end) that may overlap: together the bytes
-    that windows met elsewhere cover. ``texts`` has digest and data, a row for each document."""
-    lengths = Lengths(min_len)
-    sampled = materialize(sample_positions(texts, lengths), "positions")
+    that windows met elsewhere cover. ``texts`` has digest and data, a row for each document.
+
+    The spans are written; the tables of the rounds go as soon as nothing reads them any more."""
+    spark, lengths = texts.sparkSession, Lengths(min_len)
+    first, folder = staging_path(spark, "first-round"), staging_path(spark, "rounds")
+    sampled = materialize(sample_positions(texts, lengths), "positions", first)
     met = sampled.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("name"))
     live = materialize(sampled.join(ranked(met, "name"), F.col("k") == F.col("name")).select(
-        F.col("rank_of_sorted").alias("rank"), "u", *DOC, "lo", "to_place", "more"), "ranked-positions")
+        F.col("rank_of_sorted").alias("rank"), "u", *DOC, "lo", "to_place", "more"), "ranked-positions", folder)
+    discard(spark, first)
 
     pairs = materialize(live.groupBy("rank", "u").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*DOC, "lo", "to_place", "more")).alias("one")), "rank-pairs")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*DOC, "lo", "to_place", "more")).alias("one")), "rank-pairs", folder)
     twice = pairs.where("n > 1").select(F.col("rank").alias("of_rank"), F.col("u").alias("of_u"))
     past = live.join(twice, (F.col("rank") == F.col("of_rank")) & (F.col("u") == F.col("of_u"))).select(
         *DOC, F.col("lo").alias("start"), (F.col("lo") + F.col("more") + lengths.min_len).alias("end"))
@@ -332,8 +336,8 @@ def repeated_spans(texts: DataFrame, min_len: int = MIN_LEN, local_members: int
         F.col("rank").alias("of_rank"))
     wanted = pairs.join(several, F.col("rank") == F.col("of_rank")).select(
         "rank", (F.col("n") > 1).alias("known"), "one.*")
-    found = materialize(contexts(wanted, packed(texts), lengths), "contexts")
-    parts = materialize(blocks(found, lengths), "blocks")
+    found = materialize(contexts(wanted, packed(texts), lengths), "contexts", folder)
+    parts = materialize(blocks(found, lengths), "blocks", folder)
 
     key = ["rank", "block", "common", "common2"]
     all_bytes = F.struct("whole", "whole2")
@@ -342,7 +346,7 @@ def repeated_spans(texts: DataFrame, min_len: int = MIN_LEN, local_members: int
     reranked = ranked(classes, *key).select(
         *[F.col(c).alias(f"of_{c}") for c in key], "members", "agreed", F.col("rank_of_sorted").alias("rank2"))
     left = materialize(parts.join(reranked, [F.col(c) == F.col(f"of_{c}") for c in key]).select(
-        *RUN, "block", "rank2", "members", "agreed"), "reranked-blocks")
+        *RUN, "block", "rank2", "members", "agreed"), "reranked-blocks", folder)
 
     top = F.least(F.col("to_place"), F.col("block") * lengths.block + (lengths.block - 1))
     least = F.greatest(F.col("to_place") - F.col("more"), F.col("block") * lengths.block)
@@ -354,11 +358,13 @@ def repeated_spans(texts: DataFrame, min_len: int = MIN_LEN, local_members: int
     members = left.where("not agreed").join(found.select(*run_key, "context"), run_key)
     near = members.where(F.col("members") <= local_members).repartition("rank2").sortWithinPartitions("rank2")
     compared = near.mapInArrow(lambda batches: _compare(batches, lengths), SPAN_FIELDS)
-    counted = _count_windows(members.where(F.col("members") > local_members), lengths)
+    counted = _count_windows(members.where(F.col("members") > local_members), lengths, folder)
 
     spans = past.union(agreed).union(compared).union(counted)
-    return spans.groupBy(*DOC, "start").agg(F.max("end").alias("end")).groupBy(*DOC).agg(
-        F.collect_list(F.struct("start", "end")).alias("spans"))
+    found_spans = materialize(spans.groupBy(*DOC, "start").agg(F.max("end").alias("end")).groupBy(*DOC).agg(
+        F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    discard(spark, folder)
+    return found_spans
 
 
 def named_texts(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -442,9 +448,10 @@ def spans_inside(texts: DataFrame, short: DataFrame, min_len: int, local_members
                     pa.array([batch.column("d2")[i].as_py()] * n, type=pa.int64()),
                     pa.array([c[0] for c in cuts], type=pa.int64())], names=["digest", "data", "of1", "of2", "at"])
 
+    folder = staging_path(texts.sparkSession, "inside")
     held_texts = packed(texts).join(short, list(DOC)).select(*DOC, "packed", "spans")
     parts = materialize(held_texts.mapInArrow(
-        run, "digest binary, data binary, of1 bigint, of2 bigint, at bigint"), "repeated-parts")
+        run, "digest binary, data binary, of1 bigint, of2 bigint, at bigint"), "repeated-parts", folder)
     found = repeated_spans(parts.select("digest", "data"), min_len, local_members)
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,7 +465,9 @@ def spans_inside(texts: DataFrame, short: DataFrame, min_len: int, local_members
         head, "d1 bigint, d2 bigint, of1 bigint, of2 bigint, at bigint").distinct()  # equal texts have equal parts
     shifted = places.join(found, list(DOC)).select(F.col("of1").alias("d1"), F.col("of2").alias("d2"), F.transform(
         "spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end"))).alias("spans"))
-    return shifted.groupBy(*DOC).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    inside = materialize(shifted.groupBy(*DOC).agg(F.flatten(F.collect_list("spans")).alias("spans")), "inside-spans")
+    discard(texts.sparkSession, folder)
+    return inside
 
 
 def strip_repeats(
@@ -483,7 +492,7 @@ def strip_repeats(
         spans = repeated_spans(texts, min_len, local_members).select(*DOC, "spans", F.lit(None).cast(
             "array<struct<start:bigint,end:bigint>>").alias("short"))
     else:
-        short = materialize(repeated_spans(texts, passages[0], local_members), "short-spans")
+        short = repeated_spans(texts, passages[0], local_members)
         long = spans_inside(texts, short, min_len, local_members)
         spans = short.withColumnRenamed("spans", "short").join(long, list(DOC), "left").select(*DOC, "spans", "short")
     added = ["n_passages", "n_passage_bytes"] if passages else []

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from folioguard.llm.common import per_text, release, set_aside
 from folioguard.llm.components import components
-from folioguard.session import materialize
+from folioguard.session import discard, materialize, staging_path
 
 SEED = 42
 POSITIONS = 8
@@ -302,24 +302,27 @@ def _similar_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def similar_links(marked: DataFrame, nodes: DataFrame, shingle: int, max_bits: int, least: float) -> DataFrame:
+def similar_links(
+    marked: DataFrame, nodes: DataFrame, shingle: int, max_bits: int, least: float, folder: str | None = None,
+) -> DataFrame:
     """a and b: links between different sets of shingles of a Jaccard similarity of at least ``least``, enough of them
     to connect whatever such links within a posting connect.
 
     ``marked`` has text, fp, node and __row of every document, ``nodes`` has node, bands and __first, the __row of one
     document, for every distinct set. A posting is a group of SimHash neighbours or a min-wise band. Postings with the
-    same members are verified once, and sets are made again only of texts that share a posting with another.
+    same members are verified once, and sets are made again only of texts that share a posting with another. The result
+    reads tables in ``folder``.
     """
-    prints = materialize(marked.select("fp", "node").distinct(), "prints")
-    roots = components(links(prints.select("fp").distinct(), max_bits))
+    prints = materialize(marked.select("fp", "node").distinct(), "prints", folder)
+    roots = components(links(prints.select("fp").distinct(), max_bits), folder)
     neighbours = prints.join(roots.withColumnRenamed("node", "__of"), F.col("fp") == F.col("__of"), "left").select(
         F.xxhash64(F.coalesce("root", "fp")).alias("posting"), "node").distinct()
-    posted = materialize(nodes.select(F.explode("bands").alias("posting"), "node").union(neighbours), "postings")
+    posted = materialize(nodes.select(F.explode("bands").alias("posting"), "node").union(neighbours), "postings", folder)
     members = posted.groupBy("posting").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("low < high")
     once = members.groupBy("n", "low", "high", "sum").agg(F.min("posting").alias("__once")).select("__once")
-    shared = materialize(posted.join(once, F.col("posting") == F.col("__once"), "left_semi"), "shared-postings")
+    shared = materialize(posted.join(once, F.col("posting") == F.col("__once"), "left_semi"), "shared-postings", folder)
     met = shared.select(F.col("node").alias("__met")).distinct()
     rows = nodes.join(met, F.col("node") == F.col("__met"), "left_semi").select("__first")
     texts = marked.select("text", "node", "__row").join(rows, F.col("__row") == F.col("__first"), "left_semi")
@@ -339,9 +342,11 @@ def first_of_similar(docs: DataFrame, shingle: int, max_bits: int, least: float)
     Jaccard similarity of at least ``least``: that with the smallest doc_id.
 
     Shingles are compared by 64-bit hashes. Of rows that share an id, one is kept; a row without an id only if its
-    component has no other. Texts without words are alike.
+    component has no other. Texts without words are alike. All staged tables but the marked rows and the numbers of
+    those that stay are gone before the rows are picked.
     """
     plain, restored = set_aside(docs)
+    folder = staging_path(docs.sparkSession, "similar")
 
     def prepare():
         release()
@@ -352,9 +357,10 @@ def first_of_similar(docs: DataFrame, shingle: int, max_bits: int, least: float)
         "__row", F.monotonically_increasing_id()), "fingerprints")  # written, so the numbers stand
     nodes = materialize(marked.groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("one"),
-        F.any_value("bands").alias("bands")).withColumn("__first", F.col("one.__row")), "distinct-sets")
-    roots = components(similar_links(marked, nodes, shingle, max_bits, least)).withColumnRenamed("node", "__of")
+        F.any_value("bands").alias("bands")).withColumn("__first", F.col("one.__row")), "distinct-sets", folder)
+    roots = components(similar_links(marked, nodes, shingle, max_bits, least, folder), folder).withColumnRenamed("node", "__of")
     first = nodes.select("node", "one").join(roots, F.col("node") == F.col("__of"), "left").groupBy(
         F.coalesce("root", "node")).agg(F.min("one").alias("one"))
-    return restored(marked.join(
-        first.select(F.col("one.__row").alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi"))
+    kept = materialize(first.select(F.col("one.__row").alias("__kept")), "kept-rows")
+    discard(docs.sparkSession, folder)
+    return restored(marked.join(kept, F.col("__row") == F.col("__kept"), "left_semi"))

@@ -56,12 +56,19 @@ def together(*jobs: Callable[[], T]) -> list[T]:
         return [done.result() for done in [pool.submit(job) for job in jobs]]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Cut lineage by writing a Parquet table below the shared folder and reading it back.
 
-    A lost executor then costs a re-read of its splits instead of the whole upstream job.
+    A lost executor then costs a re-read of its splits instead of the whole upstream job. Tables in a ``folder``
+    below the shared one can be discarded together.
     """
     spark = df.sparkSession
-    path = staging_path(spark, label)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}" if folder else staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of staged tables once all that is made of them is written; else they stay on disk."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -135,3 +135,18 @@ def test_query_on_the_given_table(spark, sf_dir):
     got = QUERIES["op5_prefix_doubling_dedup"](spark, sf_dir).collect()
     assert sorted((str(r[0]), *r[1:5]) for r in got) == plain(rows, 400)
     assert {str(r["doc_id"]): (r["n_passages"], r["n_passage_bytes"]) for r in got} == plain_passages(rows, *repeats.PASSAGE)
+
+
+def test_tables_of_the_rounds_are_gone_when_the_spans_are_written(spark):
+    import os
+
+    from folioguard.session import shared_dir
+
+    docs = spark.createDataFrame(invented(20, "abcdefgh"), "doc_id long, text string")
+    before = set(os.listdir(shared_dir(spark)))
+    found = stripped(docs, min_len=20)
+    assert sum(r[2] for r in found) > 0
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before} == {"spans"}
+    before = set(os.listdir(shared_dir(spark)))
+    assert stripped(docs, min_len=20, passages=(9, 3)) == found
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before} == {"spans", "inside-spans"}
