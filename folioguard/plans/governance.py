@@ -726,7 +726,7 @@ def _damaged(spark, sf_dir):
  from walked w join judged j using (organization_id, workspace_id, audit_sequence)""")
 def w7_broken_links(spark, sf_dir):
     """Every event of damaged chains with its place and all findings, successors of a lost hash included."""
-    return U.place_events(_damaged(spark, sf_dir)).select(
+    return U.place_events(_damaged(spark, sf_dir), [*U.WORKSPACE, "audit_sequence"]).select(
         "organization_id", "workspace_id", "audit_sequence", "place", "reaches_genesis", "first_broken",
         F.array_join("findings", ",").alias("findings"))
 
@@ -735,4 +735,4 @@ def w7_broken_links(spark, sf_dir):
  coalesce(max(place) filter (where reaches_genesis and first_broken is null), 0) intact_events,
  min(first_broken) first_broken, count(*) filter (where not reaches_genesis) unreachable_events from walked group by 1, 2""")
 def w7_intact_prefixes(spark, sf_dir):
-    return U.intact_prefixes(U.place_events(_damaged(spark, sf_dir)))
+    return U.intact_prefixes(U.place_events(_damaged(spark, sf_dir), [*U.WORKSPACE, "audit_sequence"]))

@@ -270,6 +270,35 @@ def test_places_by_pointer_doubling(spark):
     assert U.place_events(chained.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_places_over_batches_need_few_rounds(spark, monkeypatch, batch):
+    chained = U.build_chain(events(spark, 60)).cache()
+    hash_of = {r["audit_sequence"]: r["event_hash"] for r in chained.collect()}
+    # a lost hash, a second successor, and circles within a batch and over several, with events that lead to them
+    previous = F.col("previous_event_hash")
+    for at_, to in {3: hash_of[6], 22: hash_of[55], 41: hash_of[8], 17: None}.items():
+        previous = F.when(F.col("audit_sequence") == at_, F.lit(to)).otherwise(previous)
+    labels = []
+    plain = U.materialize
+    monkeypatch.setattr(U, "materialize", lambda df, label, *more: labels.append(label) or plain(df, label, *more))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch))
+    try:
+        for case in (chained, chained.withColumn("previous_event_hash", previous)):
+            labels.clear()
+            got = U.place_events(case, ["audit_sequence"]).collect()
+            rounds = labels.count("chain-places")
+            assert rounds <= (4 if batch == 3 else 2) or case is not chained
+            assert {r["audit_sequence"]: (r["place"], r["reaches_genesis"], r["first_broken"]) for r in got} == by_walking(
+                U.check_chain(case).collect())
+            assert len(got) == 60
+    finally:
+        spark.conf.set(key, before)
+    assert any("circular" in r["findings"] for r in got)
+    chained.unpersist()
+
+
 def test_derived_copies_are_made_by_several_tasks(spark, tmp_path, monkeypatch):
     spark.range(1000, numPartitions=1).select(
         F.when(F.col("id") % 10 > 0, 7).alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
