@@ -178,17 +178,23 @@ def _probes(reduced: DataFrame) -> DataFrame:
     return reduced.select("key", "reduced").mapInArrow(run, "key bigint, probe bigint")
 
 
+def _by_merge(side: DataFrame) -> DataFrame:
+    """``side`` for a join that is never by broadcast: it is as long as the vocabulary, and Spark sizes it by its compressed
+    file, or probes by the words they come from, a hundredth of them."""
+    return side.hint("merge")
+
+
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """word, n, other, other_n: every ordered pair of distinct words of ``vocabulary`` (word, n) that differ by exactly
     one inserted, deleted or replaced code point."""
     words = materialize(_with_keys(vocabulary), "reduced-words")
     known = words.select(F.col("key").alias("other_key")).distinct()
     pairs = materialize(
-        _probes(words.select("key", "reduced").distinct()).join(known, F.col("probe") == F.col("other_key"))
+        _probes(words.select("key", "reduced").distinct()).join(_by_merge(known), F.col("probe") == F.col("other_key"))
         .select("key", "other_key").distinct(), "reduced-pairs")
     others = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("key").alias("of_key"))
-    return words.drop("reduced").join(pairs, "key").join(
-        others, (F.col("other_key") == F.col("of_key")) & (F.levenshtein("word", "other", 1) == 1)).select(
+    return words.drop("reduced").join(_by_merge(pairs), "key").join(
+        _by_merge(others), (F.col("other_key") == F.col("of_key")) & (F.levenshtein("word", "other", 1) == 1)).select(
         "word", "n", "other", "other_n")
 
 
@@ -198,7 +204,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     roots = materialize(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         onward = roots.select(F.col("word").alias("at"), F.col("root").alias("further"))
-        stepped = roots.join(onward, F.col("root") == F.col("at"), "left")
+        stepped = roots.join(_by_merge(onward), F.col("root") == F.col("at"), "left")
         moved = materialize(
             stepped.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("m")),
             "roots")
@@ -223,8 +229,8 @@ def variants(counts: DataFrame, least_count: int = LEAST_COUNT, least_ratio: int
         F.col("word").alias("of_word"), "n_near", F.when(common, F.col("best.other")).alias("form"),
         F.when(common, -F.col("best.minus")).alias("form_n")), "near-words")
     roots = _roots(near.where("form is not null").select(F.col("of_word").alias("word"), "form"))
-    return vocabulary.join(near, F.col("word") == F.col("of_word"), "left").drop("of_word").join(
-        roots, "word", "left").select(
+    return vocabulary.join(_by_merge(near), F.col("word") == F.col("of_word"), "left").drop("of_word").join(
+        _by_merge(roots), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n",
         F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), "form_n")
 

@@ -86,6 +86,28 @@ def test_chains_lead_to_one_root(spark):
     assert got == by_hand(counts)
 
 
+def test_tables_as_long_as_the_vocabulary_are_not_broadcast(spark, monkeypatch):
+    rnd = random.Random(7)
+    counts = {"".join(rnd.choice("aeinrst") for _ in range(6)): rnd.choice([5, 30, 200]) for _ in range(300)}
+    plans = []
+
+    def planned(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def noted(df, label, folder=None):
+        planned(df)
+        return materialize(df, label, folder)
+
+    materialize = spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", noted)
+    found = spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n bigint"))
+    planned(found)
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) >= 4 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in joins)
+    assert as_dict(found) == by_hand(counts)
+
+
 def test_counts_garble_by_document(spark, odd_docs, no_docs):
     expected: Counter = Counter()
     for r in odd_docs.collect():
