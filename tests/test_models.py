@@ -195,3 +195,18 @@ def test_training_rows_are_dealt_over_parts(spark):
     assert len(sizes) == 3 and max(sizes) < 1.2 * Y.ROWS_PER_PART
     assert dealt.exceptAll(rows).isEmpty() and rows.exceptAll(dealt).isEmpty()
     assert Y.spread(rows, Y.ROWS_PER_PART) is rows
+
+
+def test_rows_are_read_once_for_counts_and_scores(spark, demo, monkeypatch):
+    labels = []
+
+    def noted(df, label, folder=None):
+        labels.append(label)
+        return materialize(df, label, folder)
+
+    materialize = Y.materialize
+    monkeypatch.setattr(Y, "materialize", noted)
+    bundle = Y.train(demo, only=["Decision Tree", "Logistic Regression"])
+    assert labels.count("model-rows") == 1 and labels.count("model-frame") == 1 and labels.count("scores") == 3
+    assert sum(r["records"] for r in bundle.confusion.collect()) == bundle.provenance.first()["test_rows"]
+    assert Y.candidates(1.0, 42)["Random Forest"].getCacheNodeIds()
