@@ -197,6 +197,32 @@ def test_training_rows_are_dealt_over_parts(spark):
     assert Y.spread(rows, Y.ROWS_PER_PART) is rows
 
 
+def test_records_walk_trees_without_a_row_for_every_level(spark):
+    from folioguard.operators import model_tables as MT
+
+    names = {n: i for i, n in enumerate(Y.MODEL_NUMERIC)}
+    first, text = Y.MODEL_NUMERIC[0], Y.MODEL_CATEGORICAL[0]
+    inputs = spark.createDataFrame(
+        [(i, n, None, 7.0, None, 2.0, 4.0) for n, i in names.items()]
+        + [(len(names), text, "a", None, "a", None, None), (len(names) + 1, text, "b", None, "a", None, None)], MT.INPUTS)
+    nodes = spark.createDataFrame([
+        (0, 0, 1, 2, names[first], 1.0, None, None, 2), (0, 1, None, None, None, None, None, 0.25, 2),
+        (0, 2, 3, 4, len(names), None, [1.0], None, 2), (0, 3, None, None, None, None, None, 0.5, 2),
+        (0, 4, None, None, None, None, None, 1.0, 2), (1, 0, None, None, None, None, None, 0.0, 2)], MT.NODES)
+    tables = {"inputs": inputs, "nodes": nodes}
+    rows = [("low", 6.0, "b"), ("high a", 7.0, "a"), ("high b", 6.1, "b"), ("nothing", None, None), (None, 100.0, "odd")]
+    kinds = ", ".join(f"{n} {'double' if n in names else 'string'}" for n in MODEL_INPUTS)
+    records = spark.createDataFrame(
+        [(k, *[v if n == first else t if n == text else None for n in MODEL_INPUTS]) for k, v, t in rows], f"k string, {kinds}")
+    scored = MT.score_by_tables(records, "k", tables)
+    assert {r["k"]: r["score"] for r in scored.collect()} == {
+        "low": 0.125, "high a": 0.25, "high b": 0.5, "nothing": 0.25, None: 0.5}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Generate" not in plan  # no row for a tree or a level
+    with pytest.raises(Exception, match="a key is repeated"):
+        MT.score_by_tables(records.unionByName(records), "k", tables).collect()
+
+
 def test_rows_are_read_once_for_counts_and_scores(spark, demo, monkeypatch):
     labels = []
 
